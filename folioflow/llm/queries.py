@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import duplicate_groups
 from .mixing import mix
+from .ngram_join import ngram_components
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngram_components(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return duplicate_groups(documents(spark, sf_dir))
 
@@ -22,6 +27,7 @@ def op6_source_mix(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mix": op6_source_mix,
     }

@@ -75,3 +75,28 @@ def text_slices(ids, texts, most_bytes: int = 1 << 20):
             got_ids, got, n = [], [], 0
     if got:
         yield got_ids, got
+
+
+def key_runs(batches, keys: list[str]):
+    """Yields one pyarrow table for each run of equal ``keys`` in a sorted stream
+    of record batches; a run may go over several batches."""
+    import pyarrow as pa
+
+    last, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in cols)
+            if parts and key != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            last = key
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield pa.Table.from_batches(parts)
