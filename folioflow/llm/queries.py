@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .exact_dedup import duplicate_groups
 from .mixing import mix
 from .ngram_join import ngram_components
@@ -17,6 +18,16 @@ def op1_ngram_jaccard(spark, sf_dir):
     return ngram_components(documents(spark, sf_dir))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_round_trip(spark, sf_dir):
+    return round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
 def op5_exact_dedup(spark, sf_dir):
     return duplicate_groups(documents(spark, sf_dir))
 
@@ -28,6 +39,7 @@ def op6_source_mix(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_bpe_round_trip": op2_bpe_round_trip,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mix": op6_source_mix,
     }
