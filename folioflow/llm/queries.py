@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .exact_dedup import duplicate_groups
+from .media import stored_features
 from .mixing import mix
 from .ngram_join import ngram_components
+from .toxicity import scored_documents
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +38,22 @@ def op6_source_mix(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
+def op9_media_columns(spark, sf_dir):
+    return stored_features(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark, sf_dir):
+    return scored_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mix": op6_source_mix,
+        "op9_media_columns": op9_media_columns,
+        "op10_toxicity": op10_toxicity,
     }
 
 
