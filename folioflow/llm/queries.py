@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
+from .cdc_dedup import repeats_of
+from .chat_format import formatted_pairs
 from .exact_dedup import duplicate_groups
 from .media import stored_features
 from .mixing import mix
 from .ngram_join import ngram_components
+from .pii import pseudonymised
 from .toxicity import scored_documents
 
 
@@ -30,6 +33,14 @@ def op2_bpe_round_trip(spark, sf_dir):
     return round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_cdc_substrings(spark, sf_dir):
+    return repeats_of(documents(spark, sf_dir))
+
+
+def op4_chat_format(spark, sf_dir):
+    return formatted_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return duplicate_groups(documents(spark, sf_dir))
 
@@ -38,6 +49,10 @@ def op6_source_mix(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
+def op7_pii_pseudonyms(spark, sf_dir):
+    return pseudonymised(documents(spark, sf_dir))
+
+
 def op9_media_columns(spark, sf_dir):
     return stored_features(documents(spark, sf_dir))
 
@@ -50,16 +65,59 @@ def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_cdc_substrings": op3_cdc_substrings,
+        "op4_chat_format": op4_chat_format,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mix": op6_source_mix,
+        "op7_pii_pseudonyms": op7_pii_pseudonyms,
         "op9_media_columns": op9_media_columns,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_source_mix": OP6}
-
+    return {"op4_chat_format": OP4, "op5_exact_dedup": OP5, "op6_source_mix": OP6}
+
+
+OP4 = r"""
+WITH la AS (
+  SELECT conv_id, max(turn) AS lt FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), fo AS (
+  SELECT conv_id - 1 AS conv_id, coalesce(text, '') AS other
+  FROM conversations WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) = 1
+), a AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations
+), r AS (
+  SELECT c.conv_id, c.turn, coalesce(c.role, '') AS role,
+         coalesce(CASE WHEN c.role = 'assistant' AND c.turn = lt AND other IS NOT NULL THEN other ELSE c.text END, '') AS text
+  FROM conversations c LEFT JOIN la ON c.conv_id = la.conv_id LEFT JOIN fo ON c.conv_id = fo.conv_id
+), b AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM r
+), n AS (
+  SELECT a.conv_id, coalesce(min(CASE WHEN a.role <> b.role OR a.text <> b.text THEN a.k END) - 1, max(a.k)) AS n_common
+  FROM a JOIN b ON a.conv_id = b.conv_id AND a.k = b.k GROUP BY a.conv_id
+), ra AS (
+  SELECT conv_id, k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s,
+         '-' || (length(role) + 5) || ',' || CASE WHEN role = 'assistant' THEN '' ELSE '-' END || (length(text) + 8) AS m FROM a
+), rb AS (
+  SELECT conv_id, k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s,
+         '-' || (length(role) + 5) || ',' || CASE WHEN role = 'assistant' THEN '' ELSE '-' END || (length(text) + 8) AS m FROM b
+), xa AS (
+  SELECT conv_id, any_value(n_common) AS n_common,
+         coalesce(string_agg(s, '' ORDER BY k) FILTER (k <= n_common), '') AS prompt,
+         coalesce(string_agg(s, '' ORDER BY k) FILTER (k > n_common), '') AS chosen,
+         coalesce(string_agg(m, ',' ORDER BY k) FILTER (k > n_common), '') AS chosen_mask
+  FROM ra JOIN n USING (conv_id) GROUP BY conv_id
+), xb AS (
+  SELECT conv_id, coalesce(string_agg(s, '' ORDER BY k) FILTER (k > n_common), '') AS rejected,
+         coalesce(string_agg(m, ',' ORDER BY k) FILTER (k > n_common), '') AS rejected_mask
+  FROM rb JOIN n USING (conv_id) GROUP BY conv_id
+)
+SELECT conv_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask FROM xa JOIN xb USING (conv_id)
+"""
 
 OP5 = r"""
 WITH n AS (
