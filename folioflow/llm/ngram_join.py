@@ -8,9 +8,9 @@ share shingles among their first ones, so
    of which too few are shared with any other set to allow a link leave the join;
 3. what is left is blocked twice by min-hash and each block joined in a trie
    (prefix_tree), which yields links that span the block's components;
-4. pairs of sets that share a first shingle but not yet a component are counted,
-   bounded by that count, and the few left verified: no link between components
-   is missed, and no pair inside a component is made;
+4. sets that share a first shingle but not yet a component go to blocks of such
+   sets, where they walk a trie of the block: no link between components is
+   missed, and no pairs are made;
 5. components come from the links, and equal sets take those of their class.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ngrams import shingle_sets
-from .prefix_tree import spanning_links
+from .prefix_tree import PrefixTree, spanning_links
 from .tasks import keep, key_runs, mix, text_or_empty, text_slices
 
 #: Share of the shingles, in hundredths beyond what a linked pair may differ in,
@@ -34,6 +34,9 @@ MOST_FREQUENT = 500_000
 #: Most min-hash keys that are broadcast as too frequent for one block.
 MOST_HOT_KEYS = 100_000
 BUCKET_CHARS = 6_000_000
+#: Shingles that the sets of one block hold in step 4, and probes that walk it.
+BLOCK_SHINGLES = 300_000
+BLOCK_PROBES = 128
 FLUSH = 1 << 20
 
 
@@ -206,16 +209,31 @@ def _prefix_rows(percent: int):
     return run
 
 
-def _verified(percent: int):
+def _probe_links(percent: int):
+    """Of one block, its members in a trie that the probes walk: a link for each
+    component (of labels, joined as links are found) that a probe reaches."""
+
     def run(batches):
-        for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-            good = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                o = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * o >= percent * (len(p) + len(q) - o))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for table in key_runs(batches, ["block", "salt"]):
+            names, labels, probes = (table.column(c).to_pylist() for c in ("rep", "label", "probe"))
+            tree, top, label = PrefixTree(percent), {x: x for x in labels}, dict(zip(names, labels))
+
+            def find(x):
+                while top[x] != x:  # noqa: B023
+                    top[x] = top[top[x]]  # noqa: B023
+                    x = top[x]  # noqa: B023
+                return x
+
+            found = []
+            for i in sorted(range(len(names)), key=lambda i: probes[i]):  # noqa: B023
+                items = np.frombuffer(table.column("items")[i].as_py(), np.uint64)
+                if not probes[i]:
+                    tree.add(items, names[i])
+                    continue
+                for other in tree.links(items, lambda o: find(label[o]) == find(labels[i])):  # noqa: B023
+                    found.append((names[i], other))
+                    top[find(labels[i])] = find(label[other])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -283,25 +301,30 @@ def ngram_components(
         .where("labels > 1").select("token", "main")
     )
     rows_of = keep(firsts.join(mixed, "token"), "ngram-mixed")
-    left = rows_of.where("label <> main").select("token", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    right = rows_of.select("token", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"), "main")
-    first = lambda n: n - F.ceil(n * percent / 100) + 1
-    pairs = (
-        left.join(right, "token")
-        .where("l1 <> l2 and (l2 = main or l1 < l2)")
-        .where((100 * F.col("n1") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n1")))
-        .groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("common"))
-        .where(
-            F.col("common") + F.greatest(F.col("n1") - first(F.col("n1")), F.col("n2") - first(F.col("n2")))
-            >= F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
-        )
-        .select("a", "b").distinct()
+    # Blocks of the sets in question, near ones together; each probe goes to the
+    # blocks that hold one of its first shingles.
+    asked = rows_of.groupBy("rep").agg(F.min("main").alias("near"), F.min("label").alias("label"), F.first("n").alias("n"))
+    parts = asked.groupBy("near").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    members = keep(
+        asked.join(parts, "near").select("rep", "label", F.xxhash64("near", F.pmod(F.xxhash64("rep"), "parts")).alias("block")),
+        "ngram-members",
+    )
+    held = rows_of.join(members.select("rep", "block"), "rep").select("token", "block").distinct()
+    probes = keep(
+        rows_of.where("label <> main").select("token", "rep", "label").join(held, "token").select("rep", "label", "block").distinct(),
+        "ngram-probes",
+    )
+    salts = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PROBES).cast("int").alias("salts"))
+    walked = probes.join(salts, "block").select(
+        "block", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), "rep", "label", F.lit(1).alias("probe")
+    )
+    stored = members.join(salts, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "label", F.lit(0).alias("probe")
     )
     more = (
-        pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_verified(percent), "a long, b long")
+        walked.unionByName(stored).join(sets.select("rep", "items"), "rep")
+        .repartition("block", "salt").sortWithinPartitions("block", "salt")
+        .mapInArrow(_probe_links(percent), "a long, b long")
     )
     more = keep(more, "ngram-more")
     if not more.isEmpty():
