@@ -1,22 +1,27 @@
 """Byte-pair encoding and decoding of whole texts through a distinct-word table.
 
-1. Texts are split before each space that a non-space follows. Byte-level
-   pre-tokenization always cuts there and never looks back over a cut, so the ids
-   of a text are those of its pieces, one after another. Each input partition
-   keeps packs: its own distinct pieces once, and each text as numbers of pieces.
-2. Pieces go by hash to buckets; a bucket encodes each distinct piece once, for
-   however many packs and texts it occurs in.
+1. Texts are split where byte-level pre-tokenization always cuts and never looks
+   back over the cut: before each space that a non-space follows, and between an
+   ASCII letter and an ASCII mark. The ids of a text are those of its pieces, one
+   after another. Each input partition makes packs: its own distinct pieces once,
+   and each text as numbers of pieces.
+2. The distinct pieces of packs go by hash to buckets; a bucket encodes each piece
+   once, for however many packs and texts it occurs in.
 3. The ids come back to their pack and are put in by position.
 
+Packs are made twice from the same partition, once for their pieces and once for
+their numbers, as that moves less than to keep them; a pack's name is a hash of all
+it holds, so packs that differ can't be mixed up.
+
 Decoding joins ids to pieces of the vocabulary, a table of fixed size.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -25,11 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import keep, key_runs, text_or_empty
+from .tasks import key_runs, text_or_empty
 
-PACK_PIECES = 2_000_000
+PACK_PIECES = 6_000_000
 BUCKET_CHARS = 16_000_000
-_CUT = re.compile(r"(?= \S)")
+_CUT = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 
 
 @functools.lru_cache(maxsize=2)
@@ -70,58 +75,79 @@ def _unsqueeze_words(blob: bytes) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(starts, ends)]
 
 
-def _packs(batches):
-    number: dict[str, int] = {}
-    ids, sizes, seqs, held = [], [], [], 0
-
-    def row():
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([uuid.uuid4().int >> 65], pa.int64()),
-                pa.array([_squeeze_words(list(number))], pa.binary()),
-                pa.array([ids], pa.list_(pa.int64())),
-                pa.array([_squeeze(np.array(sizes, np.uint32))], pa.binary()),
-                pa.array([_squeeze(np.concatenate(seqs) if seqs else np.zeros(0, np.uint32))], pa.binary()),
-            ],
-            ["pack", "words", "ids", "sizes", "seq"],
-        )
+class _Numbers(dict):
+    """Numbers of keys in the order in which they were first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _packs(path: str):
+    """(name, numbers, ids, sizes, seqs) of each pack of a partition's texts. A text
+    that holds one of the vocabulary's added tokens is one piece."""
 
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            parts = _CUT.split(text.as_py())
-            for p in parts:
-                if p not in number:
-                    number[p] = len(number)
-            ids.append(i)
-            sizes.append(len(parts))
-            seqs.append(np.fromiter(map(number.__getitem__, parts), np.uint32, len(parts)))
-            held += len(parts)
-            if held >= PACK_PIECES:
-                yield row()
-                number, ids, sizes, seqs, held = {}, [], [], [], 0
-    if ids:
-        yield row()
-
-
-def _to_buckets(buckets: int):
     def run(batches):
+        added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+        numbers, ids, sizes, seqs, held = _Numbers(), [], [], [], 0
+
+        def named():
+            name = hashlib.sha256("\0".join(numbers).encode())
+            for s in (np.array(ids, np.int64), np.array(sizes, np.uint32), *seqs):
+                name.update(s.tobytes())
+            return int.from_bytes(name.digest()[:8], "little") >> 1, numbers, ids, sizes, seqs
+
         for batch in batches:
-            for pack, blob in zip(batch.column("pack").to_pylist(), batch.column("words").to_pylist()):
-                words = _unsqueeze_words(blob)
-                at = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
-                order = np.argsort(at, kind="stable")
-                cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
-                for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                    own = order[a:b]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(at[own[0]])], pa.int64()),
-                            pa.array([pack], pa.int64()),
-                            pa.array([_squeeze_words([words[i] for i in own.tolist()])], pa.binary()),
-                            pa.array([_squeeze(np.diff(own, prepend=0).astype(np.uint32))], pa.binary()),
-                        ],
-                        ["bucket", "pack", "words", "at"],
-                    )
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                parts = [text] if any(a in text for a in added) else _CUT.split(text)
+                ids.append(i)
+                sizes.append(len(parts))
+                seqs.append(np.fromiter(map(numbers.__getitem__, parts), np.uint32, len(parts)))
+                held += len(parts)
+                if held >= PACK_PIECES:
+                    yield named()
+                    numbers, ids, sizes, seqs, held = _Numbers(), [], [], [], 0
+        if ids:
+            yield named()
+
+    return run
+
+
+def _numbers_of(path: str):
+    def run(batches):
+        for name, _, ids, sizes, seqs in _packs(path)(batches):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name], pa.int64()),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([_squeeze(np.array(sizes, np.uint32))], pa.binary()),
+                    pa.array([_squeeze(np.concatenate(seqs))], pa.binary()),
+                ],
+                ["pack", "ids", "sizes", "seq"],
+            )
+
+    return run
+
+
+def _to_buckets(path: str, buckets: int):
+    def run(batches):
+        for name, numbers, *_ in _packs(path)(batches):
+            words = list(numbers)
+            at = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                own = order[a:b]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(at[own[0]])], pa.int64()),
+                        pa.array([name], pa.int64()),
+                        pa.array([_squeeze_words([words[i] for i in own.tolist()])], pa.binary()),
+                        pa.array([_squeeze(np.diff(own, prepend=0).astype(np.uint32))], pa.binary()),
+                    ],
+                    ["bucket", "pack", "words", "at"],
+                )
 
     return run
 
@@ -174,7 +200,9 @@ def _put_in(batches):
         at = [np.cumsum(_unsqueeze(r["at"])) for r in rows if r["at"] is not None]
         n = [_unsqueeze(r["n"]) for r in rows if r["at"] is not None]
         tokens = [_unsqueeze(r["tokens"]) for r in rows if r["at"] is not None]
-        (docs,) = [r for r in rows if r["at"] is None]
+        docs = next((r for r in rows if r["at"] is None), None)
+        if docs is None or not at:
+            raise ValueError("the input gave other rows when it was read again; write it to a table first")
         words = int(max(int(x[-1]) for x in at)) + 1
         sizes, starts, before = np.zeros(words, np.int64), np.zeros(words, np.int64), 0
         for a, m, t in zip(at, n, tokens):
@@ -206,12 +234,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     columns are not looked at.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    packs = keep(texts.mapInArrow(_packs, "pack long, words binary, ids array<long>, sizes binary, seq binary"), "bpe-packs")
+    packs = texts.mapInArrow(_numbers_of(tokenizer_path), "pack long, ids array<long>, sizes binary, seq binary")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, -(-chars // BUCKET_CHARS))
-    asked = packs.select("pack", "words").mapInArrow(_to_buckets(buckets), "bucket long, pack long, words binary, at binary")
+    asked = texts.mapInArrow(_to_buckets(tokenizer_path, buckets), "bucket long, pack long, words binary, at binary")
     answered = asked.groupBy("bucket").applyInArrow(_encode_words(tokenizer_path), "pack long, at binary, n binary, tokens binary")
-    both = packs.select("pack", "ids", "sizes", "seq").unionByName(answered, allowMissingColumns=True)
+    both = packs.unionByName(answered, allowMissingColumns=True)
     return both.repartition("pack").sortWithinPartitions("pack").mapInArrow(_put_in, "id long, ids binary").withColumnRenamed("id", id_col)
 
 
