@@ -83,7 +83,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
         .withColumn("__before", F.coalesce(F.sum("__limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("__open", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("__level", (F.col("__all") - F.col("__before")) / F.col("__open"))
-        .withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__full"), F.col("__level"))).over(every))
+        .withColumn("__level", F.max(F.when(F.col("__level") <= F.col("__full"), F.col("__level"))).over(every))
     )
     return filled.withColumn(
         "target", F.least("__limit", F.coalesce(F.col("__level"), F.col("__full")) * F.col("weight"))

@@ -151,7 +151,7 @@ WITH d AS (
             / sum(weight) OVER (ORDER BY full_at, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM f
 ), t AS (
-  SELECT *, least(lim, coalesce(min(CASE WHEN lev <= full_at THEN lev END) OVER (), full_at) * weight) AS target FROM g
+  SELECT *, least(lim, coalesce(max(CASE WHEN lev <= full_at THEN lev END) OVER (), full_at) * weight) AS target FROM g
 ), b AS (
   SELECT *, round(sum(target) OVER () / 16)::BIGINT AS seats, sum(target) OVER () AS votes, count(*) OVER () AS n FROM t
 ), b1 AS (
