@@ -37,6 +37,8 @@ BUCKET_CHARS = 6_000_000
 #: Shingles that the sets of one block hold in step 4, and probes that walk it.
 BLOCK_SHINGLES = 300_000
 BLOCK_PROBES = 128
+#: Ratio of sizes that a block spans.
+SIZE_STEP = 1.1
 FLUSH = 1 << 20
 
 
@@ -303,17 +305,29 @@ def ngram_components(
     rows_of = keep(firsts.join(mixed, "token"), "ngram-mixed")
     # Blocks of the sets in question, near ones together; each probe goes to the
     # blocks that hold one of its first shingles.
-    asked = rows_of.groupBy("rep").agg(F.min("main").alias("near"), F.min("label").alias("label"), F.first("n").alias("n"))
-    parts = asked.groupBy("near").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    size = F.floor(F.log(F.col("n")) / float(np.log(SIZE_STEP)))
+    asked = rows_of.groupBy("rep").agg(F.min("main").alias("near"), F.min("label").alias("label"), F.first("n").alias("n")).withColumn("size", size)
+    parts = asked.groupBy("near", "size").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
     members = keep(
-        asked.join(parts, "near").select("rep", "label", F.xxhash64("near", F.pmod(F.xxhash64("rep"), "parts")).alias("block")),
+        asked.join(parts, ["near", "size"]).select("rep", "label", "n", F.xxhash64("near", "size", F.pmod(F.xxhash64("rep"), "parts")).alias("block")),
         "ngram-members",
     )
+    ends = members.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     held = rows_of.join(members.select("rep", "block"), "rep").select("token", "block").distinct()
-    probes = keep(
-        rows_of.where("label <> main").select("token", "rep", "label").join(held, "token").select("rep", "label", "block").distinct(),
-        "ngram-probes",
+    # A probe must share so many of its first shingles with a block that a set of
+    # the block's smallest or largest size could link with it.
+    must = lambda m: (
+        F.ceil(percent * (F.col("n") + F.col(m)) / (100 + percent)) - F.greatest(F.ceil(percent * F.col("n") / 100), F.ceil(percent * F.col(m) / 100)) + 1
     )
+    asking = rows_of.where("label <> main").select("rep").distinct()
+    probes = (
+        rows_of.join(asking, "rep", "left_semi").select("token", "rep", "label", "n").join(held, "token")
+        .groupBy("rep", "label", "n", "block").agg(F.count(F.lit(1)).alias("common"))
+        .join(ends, "block")
+        .where((100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n")))
+        .where(F.col("common") >= F.least(must("low"), must("high")) - 2)  # 2: for roundings in between
+    )
+    probes = keep(probes.select("rep", "label", "block"), "ngram-probes")
     salts = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PROBES).cast("int").alias("salts"))
     walked = probes.join(salts, "block").select(
         "block", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), "rep", "label", F.lit(1).alias("probe")
