@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import registry, relational, research  # noqa: F401  (plans register themselves)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
