@@ -37,7 +37,9 @@ BOILERPLATE = (
 # Patterns of the chunk filter, headings and captions.
 DOI_ONLY = r"^(https?://)?(www\.)?doi\.org/[^\s]+$|^10\.\d{4,9}/[-._;()/:A-Z0-9]+$"
 PUBLISHED = r"published\s*[:\s]\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[a-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+[a-z]+\s+\d{4})"
-AUTHOR_MARK = r"([A-Z][a-z]+[^,.]+){1,3}([,.]\s*)?(\$?\s?\^\{\d+\}\s?\$?|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)"
+# One name is enough for the marks of authors: further ones up to the next comma or
+# full stop are part of what follows it.
+AUTHOR_MARK = r"[A-Z][a-z]+[^,.]+([,.]\s*)?(\$?\s?\^\{\d+\}\s?\$?|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)"
 METHODS = (
     r"methods|materials?\s+and\s+methods|methods?\s+and\s+materials?|experimental|experimental\s+section|"
     r"experimental\s+methods?|materials?|methodology|procedures?|computational\s+methods?|"

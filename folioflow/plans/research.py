@@ -449,9 +449,10 @@ _CHANGES = "c AS (SELECT event_id, ts, 'u' || (user_id % 50) AS folder, 'f' || (
 WITH {_CHANGES}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM c WINDOW w AS (PARTITION BY folder ORDER BY ts, event_id)),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY folder ORDER BY ts, event_id) AS sid FROM g),
 l AS (SELECT folder, sid, path, arg_max(type, (ts, event_id)) AS type, min(ts) AS a, max(ts) AS z FROM s GROUP BY 1, 2, 3)
-SELECT folder, min(a)::TIMESTAMPTZ AS "from", (max(z) + INTERVAL 1 HOUR)::TIMESTAMPTZ AS "to", count(*) AS n_paths, list(path || '=' || type ORDER BY path) AS changes FROM l GROUP BY folder, sid""")
+SELECT folder, min(a) AS "from", max(z) + INTERVAL 1 HOUR AS "to", count(*) AS n_paths, list(path || '=' || type ORDER BY path) AS changes FROM l GROUP BY folder, sid""")
 def _(t):
-    return E.debounced(changes(t), gap="1 hour")
+    found = E.debounced(changes(t), gap="1 hour")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from", "to")})
 
 
 @query("t2_progress_state", """
