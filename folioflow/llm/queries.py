@@ -12,6 +12,7 @@ from .media import stored_features
 from .mixing import mix
 from .ngram_join import ngram_components
 from .pii import pseudonymised
+from .suffix_dedup import removed_repeats
 from .toxicity import scored_documents
 
 
@@ -53,6 +54,10 @@ def op7_pii_pseudonyms(spark, sf_dir):
     return pseudonymised(documents(spark, sf_dir))
 
 
+def op8_suffix_array(spark, sf_dir):
+    return removed_repeats(documents(spark, sf_dir))
+
+
 def op9_media_columns(spark, sf_dir):
     return stored_features(documents(spark, sf_dir))
 
@@ -70,6 +75,7 @@ def queries() -> dict:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mix": op6_source_mix,
         "op7_pii_pseudonyms": op7_pii_pseudonyms,
+        "op8_suffix_array": op8_suffix_array,
         "op9_media_columns": op9_media_columns,
         "op10_toxicity": op10_toxicity,
     }
