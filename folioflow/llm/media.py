@@ -22,10 +22,15 @@ from pyspark.sql import functions as F
 from .gear import chunk_ends
 from .tasks import key_runs, text_or_empty, text_slices
 
-AVERAGE = 4096
+AVERAGE = 16384
 MOST = 65536
 WIDTH = 64
 LEVEL = 9
+#: Chunks are compressed with a dictionary trained on so many texts at most, the
+#: first by a hash of the id, and so many of their characters.
+DICTIONARY_TEXTS = 2000
+DICTIONARY_CHARS = 8192
+DICTIONARY_BYTES = 112_640
 
 
 def to_media(raw: bytes) -> bytes:
@@ -42,11 +47,27 @@ def from_media(media: bytes) -> tuple[int, bytes]:
     return int(note[2:]), payload
 
 
-def _cut(payloads: bool):
+def train_dictionary(texts: DataFrame) -> bytes:
+    """A compression dictionary from a bounded sample of (id, text); empty where the
+    sample is too small for one."""
+    id_col, text_col = texts.columns
+    some = texts.select(id_col, F.substring(text_col, 1, DICTIONARY_CHARS).alias("t")).orderBy(F.xxhash64(id_col), id_col).limit(DICTIONARY_TEXTS)
+    samples = [r["t"].encode() for r in some.collect() if r["t"]]
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 10), samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _codec(make, dictionary: bytes, **options):
+    return make(**options, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else make(**options)
+
+
+def _cut(payloads: bool, dictionary: bytes):
     names = ["id", "nth", "of", "digest", "whole", "piece"]
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=LEVEL)
+        press = _codec(zstandard.ZstdCompressor, dictionary, level=LEVEL)
         for batch in batches:
             for ids, raws in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 4 << 20):
                 media = [to_media(r) for r in raws]
@@ -66,36 +87,39 @@ def _cut(payloads: bool):
 _SCHEMA = "id long, nth int, of int, digest binary, whole binary, piece binary"
 
 
-def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(store, recipes): (digest, piece) once for each distinct chunk, compressed;
-    and (id, nth, of, digest, whole) for each chunk of each row, ``whole`` being the
-    digest of the row's media, with its first chunk.
+def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, bytes]:
+    """(store, recipes, dictionary): (digest, piece) once for each distinct chunk,
+    compressed with the dictionary; and (id, nth, of, digest, whole) for each chunk
+    of each row, ``whole`` being the digest of the row's media, with its first chunk.
 
     Copies of a chunk are dropped in the partition that makes them before any is
     moved. Null texts count as empty ones; these have one row of zeros. Ids must be
     unique integers, rows with a null id are left out.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_or_empty(text_col))
-    store = texts.mapInArrow(_cut(True), _SCHEMA).groupBy("digest").agg(F.min("piece").alias("piece"))
-    return store, texts.mapInArrow(_cut(False), _SCHEMA).drop("piece")
-
-
-def _rebuild(batches):
-    inflate = zstandard.ZstdDecompressor()
-    rows = []
-    for table in key_runs(batches, ["id"]):
-        own = table.to_pylist()
-        media = b"".join(inflate.decompress(r["piece"]) for r in own)
-        whole = hashlib.sha256(media)
-        if len(own) != own[0]["of"] or whole.digest() != own[0]["whole"]:
-            raise ValueError(f"media of row {own[0]['id']} is not what was stored")
-        n, payload = from_media(media)
-        rows.append((own[0]["id"], n, payload, len(media), whole.hexdigest()))
-        if len(rows) >= 500:
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    dictionary = train_dictionary(texts)
+    store = texts.mapInArrow(_cut(True, dictionary), _SCHEMA).groupBy("digest").agg(F.min("piece").alias("piece"))
+    return store, texts.mapInArrow(_cut(False, b""), _SCHEMA).drop("piece"), dictionary
+
+
+def _rebuild(dictionary: bytes):
+    def run(batches):
+        inflate, rows = _codec(zstandard.ZstdDecompressor, dictionary), []
+        for table in key_runs(batches, ["id"]):
+            own = table.to_pylist()
+            media = b"".join(inflate.decompress(r["piece"]) for r in own)
+            whole = hashlib.sha256(media)
+            if len(own) != own[0]["of"] or whole.digest() != own[0]["whole"]:
+                raise ValueError(f"media of row {own[0]['id']} is not what was stored")
+            n, payload = from_media(media)
+            rows.append((own[0]["id"], n, payload, len(media), whole.hexdigest()))
+            if len(rows) >= 500:
+                yield _media_rows(rows)
+                rows = []
+        if rows:
             yield _media_rows(rows)
-            rows = []
-    if rows:
-        yield _media_rows(rows)
+
+    return run
 
 
 def _feature(payload: bytes) -> str:
@@ -120,13 +144,13 @@ def _media_rows(rows):
     return pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
-def read_media(store: DataFrame, recipes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def read_media(store: DataFrame, recipes: DataFrame, dictionary: bytes, id_col: str = "doc_id") -> DataFrame:
     """One row for each recipe, of the media read back: id, n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256 and feature. A missing or
     damaged chunk is an error."""
     chunks = recipes.join(store, "digest").select("id", "nth", "of", "whole", "piece")
     rebuilt = chunks.repartition("id").sortWithinPartitions("id", "nth").mapInArrow(
-        _rebuild,
+        _rebuild(dictionary),
         "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
     return rebuilt.withColumnRenamed("id", id_col)

@@ -26,10 +26,10 @@ def test_round_trip(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
         assert (r.media_bytes, r.media_sha256) == (len(to_media(raw)), hashlib.sha256(to_media(raw)).hexdigest())
     assert got[92].feature == got[93].feature
-    store, recipes = chunk_store(df)
+    store, recipes, dictionary = chunk_store(df)
     assert store.count() < recipes.count()
     with pytest.raises(Exception, match="not what was stored"):
-        read_media(store, recipes.where("not (doc_id = 92 and nth = 1)".replace("doc_id", "id"))).collect()
+        read_media(store, recipes.where("not (doc_id = 92 and nth = 1)".replace("doc_id", "id")), dictionary).collect()
 
 
 def test_media_codec():
