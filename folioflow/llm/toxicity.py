@@ -182,12 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tried = counts.count()
     p, n = F.col("p"), F.col("n")
     # Log likelihood ratio against the overall share of toxic rows, at a level
-    # divided by the number of terms that were tried.
+    # divided by the number of terms that were tried: about one false term in all.
     gain = p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0)
     weight = F.log((p + 0.5) / (bad + 1)) - F.log((n + 0.5) / (good + 1))
     found = (
         counts.where(p > 0).withColumn("gain", gain).withColumn("weight", weight)
-        .where((F.col("gain") >= float(np.log(50.0 * tried))) & (F.col("weight") >= 1.5))
+        .where((F.col("gain") >= float(np.log(max(tried, 2)))) & (F.col("weight") >= 1.5))
         .orderBy(F.desc("gain"), "term").limit(MOST_TERMS).collect()
     )
     lexicon.weights = {r["term"]: r["weight"] for r in found}
