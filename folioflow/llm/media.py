@@ -26,8 +26,8 @@ AVERAGE = 16384
 MOST = 65536
 WIDTH = 64
 LEVEL = 9
-#: Chunks are compressed with a dictionary trained on so many texts at most, the
-#: first by a hash of the id, and so many of their characters.
+#: Chunks are compressed with a dictionary trained on about so many texts, chosen by
+#: a hash of the id, never over four times as many, and so many of their characters.
 DICTIONARY_TEXTS = 2000
 DICTIONARY_CHARS = 8192
 DICTIONARY_BYTES = 112_640
@@ -51,8 +51,10 @@ def train_dictionary(texts: DataFrame) -> bytes:
     """A compression dictionary from a bounded sample of (id, text); empty where the
     sample is too small for one."""
     id_col, text_col = texts.columns
-    some = texts.select(id_col, F.substring(text_col, 1, DICTIONARY_CHARS).alias("t")).orderBy(F.xxhash64(id_col), id_col).limit(DICTIONARY_TEXTS)
-    samples = [r["t"].encode() for r in some.collect() if r["t"]]
+    every = max(1, texts.count() // DICTIONARY_TEXTS)
+    some = texts.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(id_col, F.substring(text_col, 1, DICTIONARY_CHARS).alias("t"))
+    some = some.limit(4 * DICTIONARY_TEXTS)
+    samples = [r["t"].encode() for r in sorted(some.collect(), key=lambda r: r[id_col]) if r["t"]]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 10), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
