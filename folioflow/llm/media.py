@@ -71,7 +71,7 @@ def _cut(payloads: bool, dictionary: bytes):
     def run(batches):
         press = _codec(zstandard.ZstdCompressor, dictionary, level=LEVEL)
         for batch in batches:
-            for ids, raws in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 4 << 20):
+            for ids, raws in text_slices(batch.column(0), batch.column(1), 4 << 20):
                 media = [to_media(r) for r in raws]
                 rows = []
                 for i, m, ends in zip(ids, media, chunk_ends(media, AVERAGE, MOST)):

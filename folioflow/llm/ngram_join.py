@@ -50,7 +50,7 @@ def _prefix(n, percent: int):
 def _fingerprints(k: int):
     def run(batches):
         for batch in batches:
-            for ids, raws in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, raws in text_slices(batch.column(0), batch.column(1)):
                 sets = shingle_sets(raws, k)
                 one = [int(np.sum(mix(s), dtype=np.uint64)) if len(s) else 0 for s in sets]
                 two = [int(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)) if len(s) else 0 for s in sets]
@@ -91,7 +91,7 @@ def _first_shingles(k: int, percent: int, buckets: int):
     def run(batches):
         held, n = {}, 0
         for batch in batches:
-            for _, raws in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for _, raws in text_slices(batch.column(0), batch.column(1)):
                 for s in shingle_sets(raws, k):
                     if not len(s):
                         continue
@@ -151,7 +151,7 @@ def _ordered_sets(k: int, buckets: int, frequent):
     def run(batches):
         names, level = frequent.value
         for batch in batches:
-            for ids, raws in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, raws in text_slices(batch.column(0), batch.column(1)):
                 sets = []
                 for s in shingle_sets(raws, k):
                     key = ((s % np.uint64(buckets)) << np.uint64(32)) | ((s >> np.uint64(8)) & np.uint64(0xFFFFFFFF))

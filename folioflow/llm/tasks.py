@@ -61,11 +61,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_slices(ids, texts, most_bytes: int = 1 << 20):
+def text_slices(ids, texts, most_bytes: int = 1 << 18):
     """Groups rows of a batch into lists of about ``most_bytes`` bytes (one row
-    at least), as (ids, list of bytes): bounds what vectorised steps allocate."""
+    at least), as (ids, list of bytes): bounds what vectorised steps allocate. Arrow
+    columns are turned into Python values row by row."""
     got_ids, got, n = [], [], 0
     for i, t in zip(ids, texts, strict=True):
+        i, t = (x.as_py() if hasattr(x, "as_py") else x for x in (i, t))
         raw = (t or "").encode("utf-8", "surrogatepass") if not isinstance(t, bytes) else t
         got_ids.append(i)
         got.append(raw)
