@@ -20,7 +20,7 @@ ROUNDS = 8
 
 # What each kind looks like, first match wins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "address": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
     "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
@@ -193,8 +193,12 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     gives no rows.
     """
     text = text_or_empty(text_col)
-    made = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: pseudonym(v, key))
-    rows = docs.select(F.col(id_col), F.split(text, ANY, -1).alias("__gaps"), made.alias("__made"))
+    # Every kind has a digit or an @: texts without them are not searched further.
+    some = text.rlike("[0-9@]")
+    values = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    made = F.transform(values, lambda v: pseudonym(v, key))
+    gaps = F.when(some, F.split(text, ANY, -1)).otherwise(F.array(text))
+    rows = docs.select(F.col(id_col), gaps.alias("__gaps"), made.alias("__made"))
     ends = F.concat(F.transform("__made", lambda m: m["out"]), F.array(F.lit("")))
     return rows.select(
         id_col,
