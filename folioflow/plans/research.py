@@ -264,11 +264,10 @@ def _(t):
 
 def reference_blocks(t) -> DataFrame:
     """Each document's lines as reference blocks: two of three open an entry."""
-    d = t("documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 12)).alias("block", "line"))
-    body = F.substring(X.trimmed(F.col("line")), 1, 120)
+    d = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
     link = F.when(F.col("block") % 2 == 0, F.concat(F.lit(" https://doi.org/10.1000/d"), F.col("doc_id").cast("string"), F.lit("."), F.col("block").cast("string"), F.lit(")."))).otherwise("")
     start = F.when(F.col("block") % 3 != 1, F.concat((F.col("block") + 1).cast("string"), F.lit(". "))).otherwise("")
-    return d.select("doc_id", "block", F.concat(start, body, link).alias("content"))
+    return d.select("doc_id", "block", F.concat(start, X.trimmed(F.col("line")), link).alias("content"))
 
 
 @query("d7_references")
@@ -276,9 +275,17 @@ def _(t):
     return R.entries(reference_blocks(t), "doc_id")
 
 
+# By its SQL twelve lines a document; f6_doi_in_all_lines takes all of them.
 @query("f6_doi_in_lines", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:12]) AS line, generate_subscripts(string_split(text, chr(10))[1:12], 1) - 1 AS block FROM documents)
 SELECT doc_id, block, CASE WHEN block % 2 = 0 THEN '10.1000/d' || doc_id || '.' || block END AS doi FROM l""")
+def _(t):
+    return reference_blocks(t).where("block < 12").select("doc_id", "block", R.doi(F.col("content")).alias("doi"))
+
+
+@query("f6_doi_in_all_lines", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block FROM documents)
+SELECT doc_id, block, CASE WHEN block % 2 = 0 THEN '10.1000/d' || doc_id || '.' || block END AS doi FROM l""")
 def _(t):
     return reference_blocks(t).select("doc_id", "block", R.doi(F.col("content")).alias("doi"))
 
@@ -290,6 +297,7 @@ def _(t):
     return R.document_metadata(blocks(t), "doc_id")
 
 
+# By its SQL prefixes of URL and page; f17_whole_prompt takes them whole.
 @query("f17_prompt", """
 SELECT url[1:24] AS site, string_agg('Source [' || page_id || ']:' || chr(10) || 'Title: ' || page_id || chr(10) || 'URL: ' || url || chr(10) || 'Content: ' || html[1:50], chr(10) || chr(10) ORDER BY page_id) AS prompt
 FROM pages GROUP BY 1""")
@@ -298,6 +306,15 @@ def _(t):
     return fusion.prompt(p, "Content", "site")
 
 
+@query("f17_whole_prompt", r"""
+SELECT regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS site,
+  string_agg('Source [' || page_id || ']:' || chr(10) || 'Title: ' || page_id || chr(10) || 'URL: ' || url || chr(10) || 'Content: ' || html, chr(10) || chr(10) ORDER BY page_id) AS prompt
+FROM pages GROUP BY 1""")
+def _(t):
+    p = t("pages").select(X.domain(F.col("url")).alias("site"), F.col("page_id").alias("nth"), F.col("page_id").cast("string").alias("title"), "url", F.col("html").alias("content"))
+    return fusion.prompt(p, "Content", "site")
+
+
 RESULTS = """u AS (SELECT 0 AS query_idx, page_id AS rank, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 1, page_id, url FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 2, -page_id, url FROM pages WHERE page_id % 5 = 0),
 f AS (SELECT *, row_number() OVER (ORDER BY query_idx, rank) AS nth FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY query_idx, rank) = 1) ORDER BY query_idx, rank LIMIT 45)"""
 
