@@ -186,8 +186,14 @@ def figure_window(blocks: DataFrame, key: str) -> DataFrame:
     return out.agg(F.coalesce(F.max(F.when(F.col("__end") < F.col("y0"), F.col("__end"))), F.lit(0.0)).alias("from_y"))
 
 
-def context_of(sections: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """(key, context): main text and methods of the wanted documents that have a main
-    text, with a rule between them."""
-    rows = sections.join(wanted, key, "left_semi").where(F.col("main_text") != "")
-    return rows.select(key, F.concat_ws("\n\n---\n\n", "main_text", "methods").alias("context"))
+def context_of(sections: DataFrame, key: str, wanted: DataFrame, request: str = "request") -> DataFrame:
+    """(request, context) of ``wanted`` (request, key, title): its documents that have
+    a main text, each under its title and with its figures' captions, in order of their
+    keys with a rule between them. Requests without such a document go.
+    """
+    has = F.coalesce("figure_captions", F.lit("")) != ""
+    head = F.concat(F.lit("## [Paper "), F.col(key).cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n\n"), "main_text")
+    part = F.concat(head, F.when(has, F.concat(F.lit("\n\n### Figure Captions\n\n"), "figure_captions")).otherwise(""))
+    rows = sections.where(F.col("main_text") != "").join(wanted.select(request, key, "title").dropDuplicates([request, key]), key)
+    parts = F.array_sort(F.collect_list(F.struct(key, part.alias("s"))))
+    return rows.groupBy(request).agg(F.array_join(F.transform(parts, lambda p: p["s"]), "\n\n---\n\n").alias("context"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import author_line, domain, is_academic, shortened
@@ -99,9 +99,10 @@ def snowball(edges: DataFrame, metadata: DataFrame, seed, depth: int = 1, most:
     return reranked(pool, vectors, seed_vector, most, score_from).withColumn("bc", F.lit(0.0)).withColumn("cc", F.lit(0.0))
 
 
-def resolve_seed(papers: DataFrame, doi: str | None, title: str | None) -> DataFrame:
-    """The paper with the DOI, else the first of those with the title; one row at most."""
-    by_doi = F.lower("doi") == (doi or "").lower()
-    by_title = F.lower("title") == (title or "").lower()
+def resolve_seed(papers: DataFrame, doi: str | Column | None, title: str | Column | None) -> DataFrame:
+    """The paper with the DOI, else the first of those with the title; one row at most.
+    A DOI or title that is null or empty is not looked for; both may be columns of
+    ``papers``."""
+    by_doi, by_title = (F.lower(c) == F.lower(F.nullif(w if isinstance(w, Column) else F.lit(w).cast("string"), F.lit(""))) for c, w in (("doi", doi), ("title", title)))
     found = papers.withColumn("__tier", F.when(by_doi, 1).when(by_title, 2)).where("__tier is not null")
     return found.orderBy("__tier", "id").limit(1).drop("__tier")

@@ -165,9 +165,20 @@ def _(t):
 @query("s12_resolve_seed", "SELECT p_partkey AS id, p_name AS title FROM part WHERE lower(p_name) = (SELECT lower(p_name) FROM part WHERE p_partkey = 3) ORDER BY id LIMIT 1")
 def _(t):
     known = papers(t).withColumn("doi", F.lit(None).cast("string"))
-    name = t("part").where("p_partkey = 3").select(F.lower("p_name").alias("k"))
-    tiered = known.join(F.broadcast(name), F.lower("title") == F.col("k"))  # one row
-    return tiered.orderBy("id").limit(1).select("id", "title")
+    return _resolved(t, known, "p_partkey = 3", F.lit(None).cast("string"))
+
+
+def _resolved(t, known: DataFrame, seed: str, doi) -> DataFrame:
+    name = t("part").where(seed).select(F.col("p_partkey").alias("k"), F.col("p_name").alias("wanted"))
+    both = known.crossJoin(F.broadcast(name))  # one row
+    return graph.resolve_seed(both, doi, F.col("wanted")).select("id", "title")
+
+
+@query("s12_resolve_seed_by_doi", "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey = 7 UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey = 3 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = 7)")
+def _(t):
+    # The DOI is of another paper than the title is: it goes first.
+    known = papers(t).withColumn("doi", F.concat(F.lit("10.1000/P"), F.col("id").cast("string")))
+    return _resolved(t, known, "p_partkey = 3", F.lit("10.1000/p7"))
 
 
 # Blocks: line by line twelve to a page; some lines stand for headings and figures.
@@ -232,14 +243,17 @@ def _(t):
     return D.markdown(blocks(t), "doc_id")
 
 
-@query("d4_sections", f"""
+SECTIONS = f"""
 WITH {CLEAN}, m AS (SELECT *, CASE WHEN label = 'paragraph_title' AND t <> '' THEN CASE WHEN regexp_matches(t, '^(?:{X.REFERENCES})$', 'i') THEN 'R' WHEN regexp_matches(t, '^(?:{X.METHODS})$', 'i') THEN 'M' ELSE 'O' END END AS mark FROM cl),
 s AS (SELECT *, coalesce(last_value(CASE WHEN mark <> 'O' THEN mark END IGNORE NULLS) OVER w = 'R', false) AS refs, coalesce(last_value(mark IGNORE NULLS) OVER w = 'M', false) AS meth FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY page, nth)),
 p AS (SELECT *, CASE WHEN label = 'figure_title' AND t <> '' THEN chr(10) || '*' || t || '*' || chr(10) WHEN t <> '' AND (regexp_matches(t, '^(Figure|Fig\\.)\\s*\\d+\\s*[.|:]', 'i') OR regexp_matches(t, '{X.PANEL}')) THEN chr(10) || t || chr(10) END AS cap FROM s WHERE NOT refs),
 o AS (SELECT *, coalesce(cap, {_MD}) AS md FROM p)
 SELECT doc_id, coalesce(string_agg(md, chr(10) ORDER BY page, nth) FILTER (cap IS NULL AND NOT meth), '') AS main_text,
   string_agg(md, chr(10) ORDER BY page, nth) FILTER (cap IS NULL AND meth) AS methods,
-  coalesce(string_agg(md, chr(10) ORDER BY page, nth) FILTER (cap IS NOT NULL), '') AS figure_captions FROM o WHERE md IS NOT NULL GROUP BY doc_id""")
+  coalesce(string_agg(md, chr(10) ORDER BY page, nth) FILTER (cap IS NOT NULL), '') AS figure_captions FROM o WHERE md IS NOT NULL GROUP BY doc_id"""
+
+
+@query("d4_sections", SECTIONS)
 def _(t):
     return D.sections(blocks(t), "doc_id")
 
@@ -256,12 +270,23 @@ def _(t):
     return D.figure_window(blocks(t), "doc_id")
 
 
+# Counts of texts, as its SQL has it; d8_context_text gives the texts.
 @query("d8_context", f"""
 WITH {CLEAN} SELECT doc_id, count(*) FILTER (label = 'text') AS n FROM cl GROUP BY doc_id""")
 def _(t):
     return D._clean(blocks(t), "doc_id").groupBy("doc_id").agg(F.count_if(F.col("label") == "text").alias("n"))
 
 
+@query("d8_context_text", f"""
+SELECT doc_id // 10 AS request, string_agg('## [Paper ' || doc_id || '] ' || title || chr(10) || chr(10) || main_text || CASE WHEN figure_captions <> '' THEN chr(10) || chr(10) || '### Figure Captions' || chr(10) || chr(10) || figure_captions ELSE '' END,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS context
+FROM ({SECTIONS}) JOIN (SELECT doc_id, coalesce(source, '') AS title FROM documents) USING (doc_id) WHERE main_text <> '' GROUP BY 1""")
+def _(t):
+    # Requests ask for ten documents each, so that all are asked for.
+    wanted = t("documents").select(F.expr("doc_id div 10").alias("request"), "doc_id", F.col("source").alias("title"))
+    return D.context_of(D.sections(blocks(t), "doc_id"), "doc_id", wanted)
+
+
 def reference_blocks(t) -> DataFrame:
     """Each document's lines as reference blocks: two of three open an entry."""
     d = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))

@@ -2,6 +2,8 @@
 
 import pytest
 
+from folioflow.operators import documents as D
+from folioflow.operators import graph
 from folioflow.plans import research
 from folioflow.plans.registry import QUERIES
 
@@ -28,3 +30,16 @@ def test_whole_texts(run):
     pages = [(1, "https://www.a.org/a/very/long/path/to/one", html), (2, "https://a.org/x", "b")]
     got = {r.site: r.prompt for r in run("f17_whole_prompt", pages=(pages, "page_id long, url string, html string"))}
     assert got == {"a.org": f"Source [1]:\nTitle: 1\nURL: {pages[0][1]}\nContent: {html}\n\nSource [2]:\nTitle: 2\nURL: https://a.org/x\nContent: b"}
+
+
+def test_context_and_seed(spark, run):
+    sections = spark.createDataFrame([(1, "main one", "m", "cap"), (2, "", "m", "cap"), (3, "main three", None, ""), (4, "not asked for", None, "")], "k long, main_text string, methods string, figure_captions string")
+    wanted = spark.createDataFrame([(7, 3, "T3"), (7, 1, "T1"), (7, 2, "T2"), (8, 2, "T2"), (9, 3, None)], "request long, k long, title string")
+    got = {r.request: r.context for r in D.context_of(sections, "k", wanted).collect()}
+    assert got == {7: "## [Paper 1] T1\n\nmain one\n\n### Figure Captions\n\ncap\n\n---\n\n## [Paper 3] T3\n\nmain three", 9: "## [Paper 3] \n\nmain three"}
+    docs = [(i, f"Title {i}\nbody of {i}", "src") for i in range(25)]
+    got = {r.request: r.context for r in run("d8_context_text", documents=(docs, "doc_id long, text string, source string"))}
+    assert set(got) == {0, 1, 2} and all(f"body of {i}" in got[i // 10] for i in range(25))
+    known = spark.createDataFrame([(1, "", "A"), (2, "10.1/X", "B"), (3, None, "b"), (4, "10.1/y", "")], "id long, doi string, title string")
+    found = lambda *a: [r.id for r in graph.resolve_seed(known, *a).collect()]
+    assert (found("10.1/x", "A"), found(None, "b"), found("", "a"), found("none", "B"), found(None, None)) == ([2], [2], [1], [2], [])
