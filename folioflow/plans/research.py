@@ -28,6 +28,11 @@ def first_vector(t) -> DataFrame:
     return t("embeddings").where("vec_id = 0").select(F.col("embedding").alias("query_vector"))
 
 
+def asked_vectors(t) -> DataFrame:
+    """The contract's queries: each row whose id is divisible by 100."""
+    return t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
 @query("v5_vector_topk", f"""
 SELECT a.vec_id AS id, a.label AS folder, round({COS}, 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id = 0
 ORDER BY {COS} DESC, id LIMIT 10""")
@@ -50,6 +55,30 @@ def _(t):
     return search.nearest_in(vectors(t), first_vector(t), 20, [0, 1, 2], 0.01).withColumn("score", F.round("score", 6))
 
 
+# The same for all queries of the contract; those above take the one of their SQL.
+@query("v5_vector_topk_each", f"""
+SELECT query_id, id, folder, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, a.label AS folder, {COS} AS s FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10""")
+def _(t):
+    return search.nearest_each(vectors(t), asked_vectors(t), 10).withColumn("score", F.round("score", 6))
+
+
+@query("v5_distance_scores_each", f"""
+SELECT query_id, id, folder, round(exp(-d), 6) AS score FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, a.label AS folder, {L2} AS d FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 20""")
+def _(t):
+    return search.nearest_each(vectors(t), asked_vectors(t), 20, "distance").withColumn("score", F.round("score", 6))
+
+
+@query("v7_in_folders_each", f"""
+SELECT query_id, id, folder, round(exp(-d), 6) AS score FROM (
+  SELECT * FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, a.label AS folder, {L2} AS d FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 60)
+WHERE folder IN (0, 1, 2) AND exp(-d) >= 0.01 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 20""")
+def _(t):
+    return search.nearest_in_each(vectors(t), asked_vectors(t), 20, [0, 1, 2], 0.01).withColumn("score", F.round("score", 6))
+
+
 @query("v1_cosine_pairs", f"""
 SELECT a.vec_id AS id, round({COS}, 6) AS score FROM embeddings a JOIN embeddings q ON q.vec_id = a.vec_id + 1""")
 def _(t):
@@ -78,16 +107,32 @@ WITH s AS (
   FROM embeddings a, embeddings q WHERE q.vec_id = 0 AND a.vec_id % 2 = 1 AND (a.vec_id % 50) % 4 < 3 AND a.vec_id % 3 <= 1)
 SELECT type, id, paper_id, source_papers, min_depth, round(score, 6) AS score FROM s ORDER BY s.score DESC, type, id LIMIT 50""")
 def _(t):
+    return _library_search(t, first_vector(t))
+
+
+def _library_search(t, asked: DataFrame) -> DataFrame:
     v = vectors(t).withColumn("paper_id", F.col("id") % 50)
     papers = v.select("paper_id").distinct().withColumn("folder", F.col("paper_id") % 4)
     chunks = v.where("id % 2 = 0").select("id", "paper_id", F.col("id").cast("string").alias("content"))
     odd = v.where("id % 2 = 1")
     abstracts = odd.select(F.col("id").alias("graph_id"), F.col("id").cast("string").alias("abstract"), "vector")
     links = odd.select(F.col("id").alias("graph_id"), "paper_id", (F.col("id") % 3).cast("int").alias("depth"))
-    found = search.search_library(papers, chunks, v.select("id", "vector"), abstracts, links, first_vector(t), [0, 1, 2], "all", 50, 1)
+    found = search.search_library(papers, chunks, v.select("id", "vector"), abstracts, links, asked, [0, 1, 2], "all", 50, 1)
     return found.drop("content").withColumn("score", F.round("score", 6))
 
 
+@query("v9_library_search_each", f"""
+WITH s AS (
+  SELECT q.vec_id AS query_id, 'chunk' AS type, a.vec_id AS id, a.vec_id % 50 AS paper_id, NULL::BIGINT[] AS source_papers, NULL::INT AS min_depth, {COS} AS score
+  FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0 AND a.vec_id % 2 = 0 AND (a.vec_id % 50) % 4 < 3
+  UNION ALL
+  SELECT q.vec_id, 'abstract', a.vec_id, NULL, [a.vec_id % 50], (a.vec_id % 3)::INT, {COS}
+  FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0 AND a.vec_id % 2 = 1 AND (a.vec_id % 50) % 4 < 3 AND a.vec_id % 3 <= 1)
+SELECT query_id, type, id, paper_id, source_papers, min_depth, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, type, id) <= 50""")
+def _(t):
+    return _library_search(t, asked_vectors(t))
+
+
 @query("j6_vectors_of_missing", """
 SELECT doc_id AS id, 64 AS dim FROM documents WHERE regexp_matches(text, '\\w')""".replace("\\\\", "\\"))
 def _(t):

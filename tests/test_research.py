@@ -1,9 +1,12 @@
 """Queries of the research plan take whole inputs, on small tables of their own."""
 
+import math
+import random
+
 import pytest
 
 from folioflow.operators import documents as D
-from folioflow.operators import graph
+from folioflow.operators import graph, search
 from folioflow.plans import research
 from folioflow.plans.registry import QUERIES
 
@@ -43,3 +46,41 @@ def test_context_and_seed(spark, run):
     known = spark.createDataFrame([(1, "", "A"), (2, "10.1/X", "B"), (3, None, "b"), (4, "10.1/y", "")], "id long, doi string, title string")
     found = lambda *a: [r.id for r in graph.resolve_seed(known, *a).collect()]
     assert (found("10.1/x", "A"), found(None, "b"), found("", "a"), found("none", "B"), found(None, None)) == ([2], [2], [1], [2], [])
+
+
+@pytest.mark.parametrize("score", ["cosine", "distance"])
+def test_nearest_to_each(spark, score, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_NUMBERS", 12)  # in the driver: several blocks
+    rng = random.Random(4)
+    rows = [(i, f"n{i}", [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(120)]  # many ties
+    rows += [(500, "other size", [1.0] * 3), (501, "null", None), (502, "null inside", [1.0, None, 1.0, 1.0]), (503, "zero", [0.0] * 4)]
+    asked = [(i, v) for i, _, v in rows if i % 10 == 0 and i < 120] + [(900, [1.0, 0.0, 0.0]), (901, None), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, name string, vector array<float>").repartition(3)
+    got = search.nearest_each(df, spark.createDataFrame(asked, "query_id long, query_vector array<float>"), 7, score)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append((r.id, r.name, r.score))
+
+    def value(v, q):
+        if score == "distance":
+            return math.exp(-sum((x - y) * (x - y) for x, y in zip(v, q)))
+        both = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in q))
+        return sum(x * y for x, y in zip(v, q)) / both if both else 0.0
+
+    for i, q in asked:
+        if i is None or q is None:
+            continue
+        all_ = [(r[0], r[1], value(r[2], q)) for r in rows if r[2] and None not in r[2] and len(r[2]) == len(q)]
+        want = sorted(all_, key=lambda r: (-r[2], r[0]))[:7]
+        mine = sorted(found.pop(i), key=lambda r: (-r[2], r[0]))
+        assert [r[:2] for r in mine] == [r[:2] for r in want], i
+        assert [r[2] for r in mine] == pytest.approx([r[2] for r in want])
+    assert not found
+
+
+def test_all_queries_are_asked(run):
+    rows = [(i, i % 5, [math.sin(i), math.cos(i), 1.0]) for i in range(250)], "vec_id long, label int, embedding array<float>"
+    for name, n in (("v5_vector_topk_each", 10), ("v5_distance_scores_each", 20), ("v9_library_search_each", 50)):
+        got = [r.query_id for r in run(name, embeddings=rows)]
+        assert {q: got.count(q) for q in got} == {0: n, 100: n, 200: n}
+    assert {r.query_id for r in run("v7_in_folders_each", embeddings=rows)} == {0, 100, 200}
