@@ -11,7 +11,8 @@
 
 Packs are made twice from the same partition, once for their pieces and once for
 their numbers, as that moves less than to keep them; a pack's name is a hash of all
-it holds, so packs that differ can't be mixed up.
+it holds, so packs that differ can't be mixed up. Packs that hold the same rows share
+a name and the answers, and each gives its own rows.
 
 Decoding joins ids to pieces of the vocabulary, a table of fixed size.
 """
@@ -93,7 +94,8 @@ def _packs(path: str):
 
         def named():
             name = hashlib.sha256("\0".join(numbers).encode())
-            for s in (np.array(ids, np.int64), np.array(sizes, np.uint32), *seqs):
+            null = np.array([i is None for i in ids])
+            for s in (np.array([i or 0 for i in ids], np.int64), null, np.array(sizes, np.uint32), *seqs):
                 name.update(s.tobytes())
             return int.from_bytes(name.digest()[:8], "little") >> 1, numbers, ids, sizes, seqs
 
@@ -196,12 +198,16 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _put_in(batches):
     for table in key_runs(batches, ["pack"]):
-        rows = table.to_pylist()
-        at = [np.cumsum(_unsqueeze(r["at"])) for r in rows if r["at"] is not None]
-        n = [_unsqueeze(r["n"]) for r in rows if r["at"] is not None]
-        tokens = [_unsqueeze(r["tokens"]) for r in rows if r["at"] is not None]
-        docs = next((r for r in rows if r["at"] is None), None)
-        if docs is None or not at:
+        answers, mine = {}, []
+        for r in table.to_pylist():
+            if r["at"] is None:
+                mine.append(r)
+            else:
+                answers[r["at"]] = r  # equal packs get equal answers
+        at = [np.cumsum(_unsqueeze(r["at"])) for r in answers.values()]
+        n = [_unsqueeze(r["n"]) for r in answers.values()]
+        tokens = [_unsqueeze(r["tokens"]) for r in answers.values()]
+        if not mine or not at:
             raise ValueError("the input gave other rows when it was read again; write it to a table first")
         words = int(max(int(x[-1]) for x in at)) + 1
         sizes, starts, before = np.zeros(words, np.int64), np.zeros(words, np.int64), 0
@@ -209,24 +215,32 @@ def _put_in(batches):
             sizes[a] = m
             starts[a] = before + np.cumsum(m, dtype=np.int64) - m
             before += len(t)
-        flat, seq, first = np.concatenate(tokens), _unsqueeze(docs["seq"]), 0
-        out_ids, out, held = [], [], 0
-        for i, size in zip(docs["ids"], _unsqueeze(docs["sizes"]).tolist()):
-            own = seq[first : first + size]
-            first += size
-            out_ids.append(i)
-            out.append(flat[_ranges(starts[own], sizes[own])].astype("<u4").tobytes())
-            held += len(out[-1])
-            if held > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], ["id", "ids"])
-                out_ids, out, held = [], [], 0
-        if out:
+        flat = np.concatenate(tokens)
+        for docs in mine:
+            yield from _filled(docs, flat, starts, sizes)
+
+
+def _filled(docs: dict, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """The rows of one pack, with the ids of their pieces."""
+    seq, first = _unsqueeze(docs["seq"]), 0
+    out_ids, out, held = [], [], 0
+    for i, size in zip(docs["ids"], _unsqueeze(docs["sizes"]).tolist()):
+        own = seq[first : first + size]
+        first += size
+        out_ids.append(i)
+        out.append(flat[_ranges(starts[own], sizes[own])].astype("<u4").tobytes())
+        held += len(out[-1])
+        if held > 4 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], ["id", "ids"])
+            out_ids, out, held = [], [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], ["id", "ids"])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id and ``ids``, the token ids of the
-    whole text as little-endian unsigned 32-bit integers.
+    whole text as little-endian unsigned 32-bit integers. Rows that occur twice give
+    two, rows without an id keep none.
 
     Ids equal those of the tokenizers library for byte-level vocabularies. Null
     and empty texts give no tokens, a table without rows none. A vocabulary's

@@ -34,3 +34,13 @@ def test_same_as_library(spark):
 
 def test_empty(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_repeated_rows_and_no_id(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    one = spark.createDataFrame([(1, "one two"), (None, "no id"), (None, None), (0, "no id"), (2, "two  three"), (2, "two  three")], "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in encode(one.union(one), PATH).collect()]
+    want = [(i, t.encode(x, add_special_tokens=False).ids) for i, x in [(1, "one two"), (None, "no id"), (None, ""), (0, "no id"), (2, "two  three"), (2, "two  three")] * 2]
+    assert sorted(got, key=str) == sorted(want, key=str)
