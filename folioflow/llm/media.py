@@ -79,7 +79,7 @@ def _cut(payloads: bool, dictionary: bytes):
                     for k, end in enumerate(ends.tolist()):
                         piece = m[start:end]
                         start = end
-                        rows.append((i, k, len(ends), hashlib.sha256(piece).digest(), whole if not k else None, press.compress(piece) if payloads else None))
+                        rows.append((i, k, len(ends), hashlib.sha256(piece).digest(), whole, press.compress(piece) if payloads else None))
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names)
 
@@ -92,11 +92,12 @@ _SCHEMA = "id long, nth int, of int, digest binary, whole binary, piece binary"
 def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, bytes]:
     """(store, recipes, dictionary): (digest, piece) once for each distinct chunk,
     compressed with the dictionary; and (id, nth, of, digest, whole) for each chunk
-    of each row, ``whole`` being the digest of the row's media, with its first chunk.
+    of each row, ``whole`` being the digest of the row's media.
 
     Copies of a chunk are dropped in the partition that makes them before any is
-    moved. Null texts count as empty ones; these have one row of zeros. Ids must be
-    unique integers, rows with a null id are left out.
+    moved. Null texts count as empty ones; these have one row of zeros. Ids are
+    integers and may repeat, with equal texts or others; rows with a null id are left
+    out.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     dictionary = train_dictionary(texts)
@@ -107,14 +108,20 @@ def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _rebuild(dictionary: bytes):
     def run(batches):
         inflate, rows = _codec(zstandard.ZstdDecompressor, dictionary), []
-        for table in key_runs(batches, ["id"]):
+        for table in key_runs(batches, ["id", "whole"]):
             own = table.to_pylist()
             media = b"".join(inflate.decompress(r["piece"]) for r in own)
-            whole = hashlib.sha256(media)
-            if len(own) != own[0]["of"] or whole.digest() != own[0]["whole"]:
+            whole, copies = hashlib.sha256(media), own[0]["copies"]
+            if len(own) != own[0]["of"] or whole.digest() != own[0]["whole"] or any(r["copies"] != copies for r in own):
                 raise ValueError(f"media of row {own[0]['id']} is not what was stored")
             n, payload = from_media(media)
-            rows.append((own[0]["id"], n, payload, len(media), whole.hexdigest()))
+            row = (own[0]["id"], n, payload, len(media), whole.hexdigest())
+            for _ in range(copies - 1):
+                rows.append(row)
+                if len(rows) >= 500:
+                    yield _media_rows(rows)
+                    rows = []
+            rows.append(row)
             if len(rows) >= 500:
                 yield _media_rows(rows)
                 rows = []
@@ -150,8 +157,10 @@ def read_media(store: DataFrame, recipes: DataFrame, dictionary: bytes, id_col:
     """One row for each recipe, of the media read back: id, n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256 and feature. A missing or
     damaged chunk is an error."""
-    chunks = recipes.join(store, "digest").select("id", "nth", "of", "whole", "piece")
-    rebuilt = chunks.repartition("id").sortWithinPartitions("id", "nth").mapInArrow(
+    # Rows that repeat are read once and given as often as they occur.
+    once = recipes.groupBy("id", "nth", "of", "digest", "whole").agg(F.count(F.lit(1)).alias("copies"))
+    chunks = once.join(store, "digest").select("id", "nth", "of", "whole", "copies", "piece")
+    rebuilt = chunks.repartition("id", "whole").sortWithinPartitions("id", "whole", "nth").mapInArrow(
         _rebuild(dictionary),
         "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

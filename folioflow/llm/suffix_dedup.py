@@ -246,14 +246,20 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are UTF-8 bytes; every byte that a string of ``length`` bytes covers which
     starts anywhere else too is removed, overlaps included; cuts may fall inside a
     character, so ``kept`` is binary. Null and empty texts have nothing to remove.
-    Ids should be unique integers; rows with a null id are left out. Other columns
-    are not looked at; an empty table gives no rows.
+    Ids are integers; rows of one id stay rows of their own, each a copy of the others
+    where texts are equal. Rows with a null id are left out. Other columns are not
+    looked at; an empty table gives no rows.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    digests = keep(texts.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n")), "suffix-digests")
-    groups = keep(digests.groupBy("sha", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "suffix-groups")
-    long = groups.where(F.col("n") >= length)
-    found = repeated_positions(texts.join(long.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text"), length)
+    sha, n = F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n")
+    digests = keep(texts.select("id", sha, n), "suffix-digests")
+    # Texts have a number of their own, as ids may repeat.
+    groups = digests.groupBy("sha", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    groups = keep(groups.withColumn("rep", F.monotonically_increasing_id()), "suffix-groups")
+    long = groups.where(F.col("n") >= length).select("id", "sha", "n", "rep")
+    named = texts.select("id", "text", sha, n)
+    first = named.join(long, ["id", "sha", "n"]).dropDuplicates(["id", "sha", "n"]).select(F.col("rep").alias("id"), "text")
+    found = repeated_positions(first, length)
     order = Window.partitionBy("id").orderBy("pos")
     new = F.coalesce(F.col("pos") - F.lag("pos").over(order) > length, F.lit(True)).cast("int")
     marked = found.withColumn("__new", new)
@@ -262,8 +268,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     whole = F.when((F.col("copies") > 1) & (F.col("n") >= length), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))))
     by_group = groups.join(spans, groups["rep"] == spans["id"], "left").select("sha", "n", F.coalesce(whole, F.col("spans")).alias("spans"))
-    by_id = digests.join(by_group.where("spans is not null"), ["sha", "n"]).select("id", "spans")
-    out = texts.join(by_id, "id", "left").select("id", "text", "spans").mapInArrow(
+    by_id = digests.distinct().join(by_group.where("spans is not null"), ["sha", "n"]).select("id", "sha", "n", "spans")
+    out = named.join(by_id, ["id", "sha", "n"], "left").select("id", "text", "spans").mapInArrow(
         _cut, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )
     return out.withColumnRenamed("id", id_col)

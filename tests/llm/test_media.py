@@ -49,3 +49,12 @@ def test_cuts_resist_shifts():
 
 def test_empty(spark):
     assert stored_features(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeated_rows(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh \n", k=150_000))
+    rows = [(1, long), (1, long), (1, "other"), (2, "x"), (2, "x"), (2, "x"), (2, None), (3, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.media_sha256) for r in stored_features(df).collect())
+    assert got == sorted((i, hashlib.sha256(to_media((t or "").encode())).hexdigest()) for i, t in rows)

@@ -32,3 +32,14 @@ def test_brute_force(spark):
 
 def test_empty(spark):
     assert removed_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeated_rows(spark):
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    base = say(120)
+    rows = [(1, base), (1, base), (2, say(60)), (2, say(70)), (2, base[:50] + say(30)), (3, "short"), (3, "short"), (4, say(90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = brute([(k, t) for k, (_, t) in enumerate(rows)], 40)
+    got = sorted((r.doc_id, bytes(r.kept)) for r in drop_repeats(df, length=40).collect())
+    assert got == sorted((i, want[k]) for k, (i, _) in enumerate(rows))
