@@ -1,238 +1,214 @@
 """Substring dedup by a distributed suffix array (difference cover modulo 3).
 
-1. Of equal texts one is looked at. Content-defined chunks that occur once rule out
-   all strings that hold them; what is left are regions of the texts.
-2. The suffixes of the regions are sorted: triples at the positions that are 1 or 2
-   modulo 3 get names in their order, the names are strings that are sorted in the
-   same way until a name covers ``length`` bytes or no two are equal, and the other
-   suffixes are merged in by a symbol or two and the rank of what follows.
+1. Of equal texts one is looked at, long ones in pieces that overlap by a string less
+   a byte. Content-defined chunks that occur once rule out all strings that hold them;
+   what is left are regions of the texts. Regions that share chunks go to one pack.
+2. The suffixes of the regions are put in order (suffix_array): sampled triples, names
+   of names, and the merge of the rest.
 3. Suffixes next to each other are compared over their first ``length`` bytes: where
    these are equal the string occurs again, and its bytes go.
 
-Names are dense ranks over range partitions, so equal triples meet wherever they
-stand; matches never cross texts, as each region is a string of its own.
+Matches never cross texts, as each region is a string of its own.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cdc_dedup import BUCKET_CHARS, PACK_SCHEMA, _chunks, _press, _unpress, pack_rows, span_hashes, unpack
-from .gear import WINDOW
-from .tasks import keep, key_runs, text_or_empty
+from .gear import WINDOW, chunk_ends
+from .suffix_array import _Layout, repeated_strings, unpress
+from .tasks import discard, hot_join, keep, mix, text_or_empty
 
 LENGTH = 400
 AVERAGE = 32
+#: Bytes of text in a pack and of regions in a pack; strings that start in one piece.
+TEXT_BYTES = 2 << 20
+REGION_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNDO = np.uint64(pow(int(_BASE), -1, 2**64))
+_NUMBER = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _packed(columns: list[str], rows: list, sizes: list[int], data: list[bytes]):
+    """One row: a name, the given columns, sizes and the joined bytes, compressed."""
+    text = zstandard.ZstdCompressor(level=3).compress(b"".join(data))
+    cols = [pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in range(len(columns))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([uuid.uuid4().int >> 65], pa.int64()), *cols, pa.array([sizes], pa.list_(pa.int64())), pa.array([text], pa.binary())],
+        ["pack", *columns, "sizes", "text"],
+    )
 
 
-def _chunk_keys(buckets: int):
+def _text_packs(length: int):
     def run(batches):
+        rows, data, held = [], [], 0
         for batch in batches:
-            for r in batch.to_pylist():
-                raws = unpack(r["data"], r["sizes"])
-                begin, end, _ = _chunks(raws, AVERAGE)
-                if not len(begin):
-                    continue
-                keys = span_hashes(np.frombuffer(b"".join(raws), np.uint8), begin, end)
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                for x, y in zip(cuts, [*cuts[1:], len(order)]):
-                    own = order[x:y]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(bucket[own[0]])], pa.int64()),
-                            pa.array([r["pack"]], pa.int64()),
-                            pa.array([keys[own].tobytes()], pa.binary()),
-                            pa.array([_press(np.diff(own, prepend=0).astype(np.uint32))], pa.binary()),
-                        ],
-                        ["bucket", "pack", "keys", "nth"],
-                    )
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                for a in range(0, max(1, len(raw) - length + 1), PIECE_BYTES):
+                    rows.append((rep, a))
+                    data.append(raw[a : a + PIECE_BYTES + length - 1])
+                    held += len(data[-1])
+                    if held >= TEXT_BYTES:
+                        yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
+                        rows, data, held = [], [], 0
+        if rows:
+            yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
 
     return run
 
 
-def _once(table):
-    """The chunks of each pack that occur in no other place."""
-    rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    once, first, out = n[at] == 1, 0, []
-    for r, k in zip(rows, keys):
-        nth = np.cumsum(_unpress(r["nth"], np.uint32))[once[first : first + len(k)]].astype(np.uint32)
-        first += len(k)
-        out.append(_press(np.diff(nth, prepend=np.uint32(0))) if len(nth) else None)
-    return pa.table({"pack": table.column("pack"), "nth": pa.array(out, pa.binary())})
+def _texts_of(row: dict) -> tuple[np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(row["text"])
+    ends = np.cumsum([0, *row["sizes"]]).tolist()
+    return np.frombuffer(raw, np.uint8), [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _chunk_keys(data: np.ndarray, raws: list[bytes]):
+    """(begin, end, number of text, key) of the chunks with a cut at both ends."""
+    ends = chunk_ends(raws, AVERAGE)
+    base = np.cumsum([0, *map(len, raws)])
+    of = np.repeat(np.arange(len(raws)), [len(e) for e in ends])
+    end = np.concatenate([e + b for e, b in zip(ends, base)]) if raws else np.zeros(0, np.int64)
+    begin = np.concatenate([[0], end[:-1]]) if len(end) else end
+    inner = (begin > base[of]) & (end < base[of + 1])
+    begin, end, of = begin[inner], end[inner], of[inner]
+    up, down = np.full(len(data) + 1, _BASE, np.uint64), np.full(len(data) + 1, _UNDO, np.uint64)
+    up[:1], down[:1] = 1, 1
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_NUMBER[data] * np.multiply.accumulate(up)[:-1], out=run[1:])
+    key = mix((run[end] - run[begin]) * np.multiply.accumulate(down)[begin] + (end - begin).astype(np.uint64))
+    return begin, end, of, key
+
+
+def _keys(batches):
+    """The distinct chunks of each pack, and whether they occur there more than once."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            key, n = np.unique(_chunk_keys(*_texts_of(r))[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(np.full(len(key), r["pack"], np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["key", "pack", "n"]
+            )
 
 
 def _regions(length: int):
-    """(id, start, region) of what may hold a string of ``length`` bytes that occurs
-    again: strings around a chunk of one occurrence, and the bytes that its cuts
-    depend on, can't."""
+    """(near, rep, start, region) of what may hold a string of ``length`` bytes that
+    occurs again: strings around a chunk of one occurrence, and the bytes that its
+    cuts depend on, can't. ``near`` is the least key of the region's chunks."""
 
     def run(batches):
-        for table in key_runs(batches, ["pack"]):
-            rows = table.select(["nth", "ids", "sizes", "data"]).to_pylist()
-            (own,) = [r for r in rows if r["ids"] is not None]
-            raws = unpack(own["data"], own["sizes"])
-            begin, end, of = _chunks(raws, AVERAGE)
-            once = np.zeros(len(begin), bool)
-            for r in rows:
-                if r["nth"] is not None:
-                    once[np.cumsum(_unpress(r["nth"], np.uint32))] = True
-            base, bounds = np.cumsum([0, *own["sizes"]]), np.searchsorted(of, np.arange(len(raws) + 1))
-            out = []
-            for i, raw in enumerate(raws):
-                n = len(raw) - length + 1
-                if n <= 0:
-                    continue
-                mine = slice(bounds[i], bounds[i + 1])
-                a, b, dead = begin[mine] - base[i], end[mine] - base[i], once[mine]
-                dead = dead & (a > 0) & (b < len(raw))  # both ends are cuts
-                step = np.zeros(n + 1, np.int64)
-                low, high = np.maximum(b[dead] - length, 0), np.minimum(a[dead] - WINDOW, n - 1) + 1
-                fit = low < high
+        for batch in batches:
+            for r in batch.to_pylist():
+                data, raws = _texts_of(r)
+                begin, end, of, key = _chunk_keys(data, raws)
+                once = np.isin(key, np.array(r["once"] or [], np.int64).view(np.uint64))
+                base = np.cumsum([0, *map(len, raws)])
+                low, high = np.maximum(end - length, base[of]), np.minimum(begin - WINDOW, base[of + 1] - length) + 1
+                fit = once & (low < high)
+                step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, low[fit], 1)
                 np.add.at(step, high[fit], -1)
-                alive = np.flatnonzero(np.cumsum(step[:n]) == 0)
-                if not len(alive):
+                alive = np.cumsum(step[:-1]) == 0
+                sizes = np.asarray(r["sizes"], np.int64)
+                left = np.repeat(base[1:], sizes) - np.arange(len(data))
+                at = np.flatnonzero(alive & (left >= length))
+                if not len(at):
                     continue
-                cut = np.flatnonzero(np.diff(alive) > length)
-                for s, e in zip(alive[np.concatenate([[0], cut + 1])], alive[np.concatenate([cut, [len(alive) - 1]])]):
-                    out.append((own["ids"][i], int(s), raw[s : e + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "start", "region"])
+                own = np.repeat(np.arange(len(raws)), sizes)[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) > length) | (own[1:] != own[:-1])
+                first = np.flatnonzero(new)
+                a, b, who = at[first], at[np.append(first[1:], len(at)) - 1] + length, own[first]
+                near = []
+                for x, y in zip(np.searchsorted(begin, a), np.searchsorted(end, b, "right")):
+                    near.append(int(key[x:y].min().view(np.int64)) if x < y else 0)
+                reps, starts = np.asarray(r["reps"], np.int64)[who], np.asarray(r["starts"], np.int64)[who] + a - base[who]
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near, pa.int64()), pa.array(reps), pa.array(starts), pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary())],
+                    ["near", "rep", "start", "region"],
+                )
 
     return run
 
 
-def _symbols(length: int):
-    """One row a byte: its region, offset, value from 1, and the hash of the ``length``
-    bytes from it (null where fewer are left)."""
+def _region_packs(batches):
+    rows, data, held = [], [], 0
+    for batch in batches:
+        for rep, start, region in zip(*(batch.column(c).to_pylist() for c in ("rep", "start", "region"))):
+            if held and held + len(region) > REGION_BYTES:
+                yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
+                rows, data, held = [], [], 0
+            rows.append((rep, start))
+            data.append(region)
+            held += len(region)
+    if rows:
+        yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
+
+
+def _spans(length: int):
+    """(rep, start, end) of the bytes that flagged strings cover."""
 
     def run(batches):
         for batch in batches:
-            for rid, raw in zip(batch.column("rid").to_pylist(), batch.column("region").to_pylist()):
-                data = np.frombuffer(raw, np.uint8)
-                n = len(raw) - length + 1
-                at = np.arange(n)
-                prefix = pa.array(np.concatenate([span_hashes(data, at, at + length).view(np.int64), np.zeros(length - 1, np.int64)]), mask=np.arange(len(raw)) >= n)
-                off = np.arange(len(raw))
-                for a in range(0, len(raw), 50_000):
-                    part = slice(a, a + 50_000)
-                    m = len(off[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, rid, np.int64)), pa.array(off[part]), pa.array(data[part].astype(np.int64) + 1), prefix[a : a + 50_000]],
-                        ["rid", "off", "sym", "prefix"],
-                    )
+            for r in batch.to_pylist():
+                layout = _Layout(r["sizes"], r["text"])
+                at = layout.members(0, length)[unpress(r["flags"]) > 0]
+                if not len(at):
+                    continue
+                own = np.searchsorted(layout.starts, at, "right") - 1
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) > length) | (own[1:] != own[:-1])
+                first = np.flatnonzero(new)
+                a, b, who = at[first], at[np.append(first[1:], len(at)) - 1] + length, own[first]
+                start = np.asarray(r["starts"], np.int64)[who] - layout.starts[who]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(r["reps"], np.int64)[who]), pa.array(start + a), pa.array(start + b)], ["rep", "start", "end"])
 
     return run
 
 
-def _offsets(ranged: DataFrame, value):
-    """What comes before each range partition, as a column, and the sum over all; one
-    number for each partition is all that is collected."""
-    totals = {r["__part"]: r["v"] for r in ranged.groupBy("__part").agg(value.alias("v")).collect()}
-    before, out = 0, []
-    for p in sorted(totals):
-        out += [F.lit(p), F.lit(before).cast("long")]
-        before += totals[p]
-    return (F.create_map(*out)[F.col("__part")] if out else F.lit(0).cast("long")), before
-
-
-def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
-    return keep(keep(df, "suffix-in").repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "suffix-ranged")
-
-
-def _named(df: DataFrame, keys: list[str]):
-    """``df`` with ``name``, the dense rank from 1 of its keys, and the number of names."""
-    ranged = _ranged(df, keys)
-    local = ranged.withColumn("name", F.dense_rank().over(Window.partitionBy("__part").orderBy(*keys)))
-    local = keep(local, "suffix-named")
-    before, total = _offsets(local, F.max("name"))
-    return local.withColumn("name", (F.col("name") + before).cast("long")).drop("__part"), total
-
-
-def _less(df: DataFrame, keys: list[str], flags: dict) -> DataFrame:
-    """``df`` with, for each flag, the number of flagged rows whose keys are less."""
-    ranged = _ranged(df, keys)
-    upto = Window.partitionBy("__part").orderBy(*keys).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy("__part", *keys)
-    for name, flag in flags.items():
-        one = F.when(flag, 1).otherwise(0)
-        before, _ = _offsets(ranged, F.sum(one))
-        ranged = ranged.withColumn(name, F.sum(one).over(upto) - F.sum(one).over(peers) + before)
-    return ranged.drop("__part")
-
-
-def suffix_ranks(symbols: DataFrame, covers: int, length: int) -> DataFrame:
-    """(rid, off, rank) of all suffixes of strings (rid, off, sym), in an order that is
-    right wherever two differ within ``length`` bytes; a symbol covers ``covers``."""
-    order = Window.partitionBy("rid").orderBy("off")
-    ahead = lambda c, n: F.lead(c, n, 0).over(order)
-    rows = keep(symbols.select("rid", "off", "sym", ahead("sym", 1).alias("s1"), ahead("sym", 2).alias("s2")), "suffix-rows")
-    sample, names = _named(rows.where("off % 3 > 0"), ["sym", "s1", "s2"])
-    if 3 * covers < length and names < sample.count():
-        # Strings of names: positions 1 and 2 modulo 3 each in a string of their own.
-        inner = sample.select((F.col("rid") * 2 + (F.col("off") % 3 == 2).cast("long")).alias("rid"), F.expr("off div 3").alias("off"), F.col("name").alias("sym"))
-        ranks = suffix_ranks(inner, 3 * covers, length)
-        ranks = ranks.select(F.shiftright("rid", 1).alias("rid"), (F.col("off") * 3 + 1 + (F.col("rid") % 2 != 0).cast("long")).alias("off"), (F.col("rank") + 1).alias("r"))
-    else:
-        ranks = sample.select("rid", "off", F.col("name").alias("r"))
-    rows = rows.join(ranks, ["rid", "off"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
-    rows = keep(rows.select("rid", "off", "sym", "s1", "r", ahead("r", 1).alias("r1"), ahead("r", 2).alias("r2"), (F.col("off") % 3).alias("m")), "suffix-merge")
-    zero, one, two = (F.col("m") == i for i in range(3))
-    # Against positions 1 by a symbol and the next rank, against 2 by two symbols.
-    first = _less(rows.where("m < 2"), ["sym", "r1"], {"l0": zero, "l1": one})
-    second = _less(rows.where("m <> 1"), ["sym", "s1", "r2"], {"l0": zero, "l2": two})
-    among = _less(rows.where("m > 0"), ["r"], {"l": F.lit(True)}).select("rid", "off", "l")
-    mod0 = first.where("m = 0").select("rid", "off", "l0", "l1").join(second.where("m = 0").select("rid", "off", "l2"), ["rid", "off"])
-    rest = first.where("m = 1").select("rid", "off", "l0").unionByName(second.where("m = 2").select("rid", "off", "l0")).join(among, ["rid", "off"])
-    ranked = mod0.select("rid", "off", (F.col("l0") + F.col("l1") + F.col("l2")).alias("rank")).unionByName(rest.select("rid", "off", (F.col("l0") + F.col("l")).alias("rank")))
-    return keep(ranked, "suffix-ranks")
-
-
-def repeated_positions(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, pos) of docs (id, text) where a string of ``length`` bytes starts that
-    starts elsewhere too."""
-    packs = keep(docs.mapInArrow(pack_rows(), PACK_SCHEMA), "suffix-packs")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(16, -(-chars // BUCKET_CHARS))
-    once = packs.mapInArrow(_chunk_keys(buckets), "bucket long, pack long, keys binary, nth binary")
-    once = once.groupBy("bucket").applyInArrow(_once, "pack long, nth binary").where("nth is not null")
-    both = packs.unionByName(once, allowMissingColumns=True).repartition("pack").sortWithinPartitions("pack")
-    regions = keep(both.mapInArrow(_regions(length), "id long, start long, region binary"), "suffix-regions")
-    # Regions are numbered densely: small numbers leave room for a bit at each level.
-    ranged = _ranged(regions, ["id", "start"])
-    before, _ = _offsets(ranged, F.count(F.lit(1)))
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy("id", "start"))
-    regions = keep(ranged.withColumn("rid", (nth + before).cast("long")).drop("__part"), "suffix-numbered")
-    symbols = keep(regions.select("rid", "region").repartition("rid").mapInArrow(_symbols(length), "rid long, off long, sym long, prefix long"), "suffix-symbols")
-    ranks = suffix_ranks(symbols.select("rid", "off", "sym"), 1, length)
-    full = symbols.where("prefix is not null").select("rid", "off", "prefix").join(ranks, ["rid", "off"])
-    ranged = _ranged(full, ["rank"])
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy("rank", "prefix", "rid", "off"))
-    before, _ = _offsets(ranged, F.count(F.lit(1)))
-    placed = keep(ranged.withColumn("nth", (nth + before).cast("long")).select("rid", "off", "prefix", "nth"), "suffix-order")
-    next_ = placed.select((F.col("nth") - 1).alias("nth"), F.col("prefix").alias("p2"), F.col("rid").alias("rid2"), F.col("off").alias("off2"))
-    equal = keep(placed.join(next_, "nth").where("prefix = p2").select("rid", "off", "rid2", "off2"), "suffix-equal")
-    found = equal.select("rid", "off").unionByName(equal.select(F.col("rid2").alias("rid"), F.col("off2").alias("off"))).distinct()
-    return found.join(regions.select("rid", "id", "start"), "rid").select("id", (F.col("start") + F.col("off")).alias("pos"))
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(rep, start, end) of docs (rep, text): bytes of strings of ``length`` bytes that
+    start elsewhere too. Spans of one text may touch where it was looked at in pieces."""
+    packs = keep(texts.mapInArrow(_text_packs(length), "pack long, reps array<long>, starts array<long>, sizes array<long>, text binary"), "suffix-texts")
+    found = packs.mapInArrow(_keys, "key long, pack long, n int").groupBy("key").agg(F.sum("n").alias("n"), F.min("pack").alias("pack"))
+    once = found.where("n = 1").groupBy("pack").agg(F.collect_list("key").alias("once"))
+    regions = packs.join(once, "pack", "left").select("reps", "starts", "sizes", "text", "once").mapInArrow(_regions(length), "near long, rep long, start long, region binary")
+    regions = keep(regions, "suffix-regions")
+    discard(packs)
+    near = regions.repartitionByRange("near", "rep", "start").sortWithinPartitions("near", "rep", "start")
+    strings = keep(near.mapInArrow(_region_packs, "pack long, reps array<long>, starts array<long>, sizes array<long>, text binary"), "suffix-strings")
+    discard(regions)
+    flags = repeated_strings(strings, length)
+    spans = keep(strings.join(flags, "pack").select("reps", "starts", "sizes", "text", "flags").mapInArrow(_spans(length), "rep long, start long, end long"), "suffix-spans")
+    discard(strings, flags)
+    return spans
 
 
 def _cut(batches):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part, kept = batch.slice(a, 500), []
             for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                raw, at, out = text.encode(), 0, []
+                raw, at, out, joined = text.encode("utf-8", "surrogatepass"), 0, [], []
                 for s in spans or []:
+                    if joined and s["start"] <= joined[-1]["end"]:
+                        joined[-1]["end"] = max(joined[-1]["end"], s["end"])
+                    else:
+                        joined.append(dict(s))
+                for s in joined:
                     out.append(raw[at : s["start"]])
                     at = s["end"]
-                kept.append((b"".join([*out, raw[at:]]), len(raw), spans or []))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                kept.append((b"".join([*out, raw[at:]]), len(raw), joined))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], span), pa.array([k[0] for k in kept], pa.binary())],
                 ["id", "n_bytes", "spans", "kept"],
@@ -246,30 +222,24 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are UTF-8 bytes; every byte that a string of ``length`` bytes covers which
     starts anywhere else too is removed, overlaps included; cuts may fall inside a
     character, so ``kept`` is binary. Null and empty texts have nothing to remove.
-    Ids are integers; rows of one id stay rows of their own, each a copy of the others
-    where texts are equal. Rows with a null id are left out. Other columns are not
-    looked at; an empty table gives no rows.
+    Ids are integers; rows of one id, or of none, stay rows of their own, each a copy
+    of the others where texts are equal. Other columns are not looked at; an empty
+    table gives no rows.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    sha, n = F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n")
-    digests = keep(texts.select("id", sha, n), "suffix-digests")
-    # Texts have a number of their own, as ids may repeat.
-    groups = digests.groupBy("sha", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    named = texts.select("id", "text", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
+    groups = named.groupBy("sha", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("id").isNull(), "id")).alias("first"))
+    # A text of its own that is looked at has a number, as ids may repeat.
     groups = keep(groups.withColumn("rep", F.monotonically_increasing_id()), "suffix-groups")
-    long = groups.where(F.col("n") >= length).select("id", "sha", "n", "rep")
-    named = texts.select("id", "text", sha, n)
-    first = named.join(long, ["id", "sha", "n"]).dropDuplicates(["id", "sha", "n"]).select(F.col("rep").alias("id"), "text")
-    found = repeated_positions(first, length)
-    order = Window.partitionBy("id").orderBy("pos")
-    new = F.coalesce(F.col("pos") - F.lag("pos").over(order) > length, F.lit(True)).cast("int")
-    marked = found.withColumn("__new", new)
-    runs = marked.withColumn("run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end"))
-    spans = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    long = groups.where(F.col("n") >= length).select("sha", "n", F.col("first.id").alias("id"), "rep")
+    # Rows of one id and text are looked at more than once, which changes nothing: they
+    # are copies, and what they hold does start elsewhere.
+    first = (named["sha"] == long["sha"]) & (named["n"] == long["n"]) & named["id"].eqNullSafe(long["id"])
+    chosen = named.where(F.col("n") >= length).join(long, first).select("rep", "text")
+    spans = repeated_spans(chosen, length).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     whole = F.when((F.col("copies") > 1) & (F.col("n") >= length), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))))
-    by_group = groups.join(spans, groups["rep"] == spans["id"], "left").select("sha", "n", F.coalesce(whole, F.col("spans")).alias("spans"))
-    by_id = digests.distinct().join(by_group.where("spans is not null"), ["sha", "n"]).select("id", "sha", "n", "spans")
-    out = named.join(by_id, ["id", "sha", "n"], "left").select("id", "text", "spans").mapInArrow(
+    told = keep(groups.join(spans, "rep", "left").select("sha", "n", "copies", F.coalesce(whole, F.col("spans")).alias("spans")), "suffix-told")
+    out = hot_join(named, told, ["sha", "n"], "copies").select("id", "text", "spans").mapInArrow(
         _cut, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )
     return out.withColumnRenamed("id", id_col)

@@ -3,6 +3,8 @@ intermediate tables and vectorised helpers that run inside tasks."""
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -14,15 +16,24 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
+#: A key counts as hot from LEAST_HOT rows, and from a MOST_HOT-th of all rows: fewer
+#: than MOST_HOT keys are ever broadcast. A hot key's rows go to MOST_SALTS tasks at most.
+LEAST_HOT = 500
+MOST_HOT = 100_000
+MOST_SALTS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary folder is made and set.
+    It is read from ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    is made and set on a local master alone; on a cluster it is an error, as each
+    executor would write to a disk of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,6 +50,37 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote, once all that was made of them is written
+    too, and let the driver drop the shuffle files of finished jobs."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row for each key, ``count`` rows of it
+    in ``rows``), such that no task gets a key whole which many rows share.
+
+    Keys with more than a MOST_HOT-th of all rows are fewer than MOST_HOT; these are
+    broadcast, their rows salted and their groups repeated for each salt.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    limit = max(LEAST_HOT, -(-int(total) // MOST_HOT))
+    salts = F.least(F.lit(MOST_SALTS), F.ceil(F.col(count) / limit)).cast("int")
+    hot = groups.where(F.col(count) > limit).select(*on, salts.alias("__salts"))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "__salt", F.when(F.col("__salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("__salts"))).otherwise(0).cast("int")
+    )
+    spread = F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))
+    return salted.drop("__salts").join(groups.withColumn("__salt", spread), [*on, "__salt"], "left").drop("__salt")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
