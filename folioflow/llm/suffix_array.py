@@ -110,14 +110,14 @@ class _Layout:
         return np.where(there, values[np.where(there, at + step, 0)], np.uint64(0))
 
 
-def _dense(layout: _Layout, at: np.ndarray, blob: bytes) -> np.ndarray:
+def _dense(layout: _Layout, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros(layout.total, np.uint64)
-    out[at] = unpress(blob)
+    out[at] = values
     return out
 
 
 def _symbols(layout: _Layout, level: int, blob: bytes | None) -> np.ndarray:
-    return layout.bytes8() if level == 0 else _dense(layout, layout.members(level), blob)
+    return layout.bytes8() if level == 0 else _dense(layout, layout.members(level), unpress(blob))
 
 
 class _Distinct:
@@ -127,9 +127,10 @@ class _Distinct:
         h = columns[0] * _BASE
         for c in columns[1:]:
             h = (h ^ (h >> np.uint64(29))) * _BASE + c
-        order = np.argsort(mix(h))
+        h = mix(h)
+        order = np.argsort(h)
         new = np.ones(len(order), bool)
-        sorted_h = mix(h)[order]
+        sorted_h = h[order]
         new[1:] = sorted_h[1:] != sorted_h[:-1]
         first, group = self._groups(order, new)
         if any((c[first][group] != c).any() for c in columns):  # two rows share a hash
@@ -175,20 +176,16 @@ def _buckets(layout: _Layout, at: np.ndarray, cuts: list[bytes], width: int) ->
     return out
 
 
-def _slices(pack: int, d: _Distinct, extra: list[np.ndarray] = ()):
-    """One row for each bucket that has entries of the pack."""
+def _slices(d: _Distinct, extra: list[np.ndarray] = ()):
+    """(bucket, columns) of each bucket that has entries of the pack."""
     columns = [*d.columns, *extra]
     edges = np.flatnonzero(np.diff(d.bucket, prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(d.bucket)]):
         rows = d.first[a:b]
         head = columns[0][rows]
-        blobs = [press(np.diff(head, prepend=np.uint64(0))), *(press(_narrow(c[rows])) for c in columns[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(d.bucket[a])], pa.int64()), pa.array([pack], pa.int64()), pa.array([blobs], pa.list_(pa.binary()))], ["bucket", "pack", "columns"]
-        )
+        yield int(d.bucket[a]), [press(np.diff(head, prepend=np.uint64(0))), *(press(_narrow(c[rows])) for c in columns[1:])]
 
 
-SLICE = "bucket long, pack long, columns array<binary>"
 ANSWER = "bucket long, pack long, ranks binary, many long"
 
 
@@ -307,52 +304,92 @@ def _merge_keys(layout: _Layout, level: int, length: int, sym, ranks, cuts: list
     return at, d, [often]
 
 
-def _ask(work, level: int):
-    """Packs to the slices of their entries; ``work`` gives (positions, entries, more columns)."""
+#: What a pass over the packs writes, in rows of three kinds: the pack with the number
+#: of the entry of each position, its slices for the buckets, and its new symbols.
+PASS = "pack long, sizes array<long>, text binary, group binary, bucket long, columns array<binary>, sym binary"
 
+
+def _row(pack: int, **values):
+    types = {"sizes": pa.list_(pa.int64()), "text": pa.binary(), "group": pa.binary(), "bucket": pa.int64(), "columns": pa.list_(pa.binary()), "sym": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), *(pa.array([values.get(k)], t) for k, t in types.items())], ["pack", *types])
+
+
+def _asked(pack: int, own: dict, at_and_entries):
+    """The pack's row and its slices."""
+    _, d, *extra = at_and_entries
+    yield _row(pack, sizes=own["sizes"], text=own["text"], group=press(_narrow(d.group.astype(np.uint64))))
+    for bucket, columns in _slices(d, *extra):
+        yield _row(pack, bucket=bucket, columns=columns)
+
+
+def _first_pass(cuts: list[bytes]):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 layout = _Layout(r["sizes"], r["text"])
-                _, d, *extra = work(layout, r)
-                if len(d.first):
-                    yield from _slices(r["pack"], d, *extra)
+                yield from _asked(r["pack"], r, _triples(layout, 0, layout.bytes8(), cuts))
 
     return run
 
 
-def _told(work, name: str, before: dict | None):
-    """Packs with their answers to one value for each position; ``before`` is what the
-    earlier buckets hold."""
+def _told(table, before: dict | None) -> tuple[dict, np.ndarray, bytes | None]:
+    """A pack's row, the answer to each of its positions, and symbols of an earlier level."""
+    rows = table.to_pylist()
+    (own,) = [r for r in rows if r["text"] is not None]
+    answers = sorted((r for r in rows if r["ranks"] is not None), key=lambda r: r["bucket"])
+    parts = [unpress(r["ranks"]) + np.uint64(before[r["bucket"]] + 1 if before is not None else 0) for r in answers]
+    group = unpress(own["group"]).astype(np.int64)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if len(group) and int(group.max()) + 1 != len(values):
+        raise ValueError("answers of a pack are missing")
+    return own, values[group], next((r["sym"] for r in rows if r["sym"] is not None), None)
+
+
+def _name_pass(level: int, depth: int, length: int, cuts: list[bytes], before: dict):
+    """From the names of a level's triples to the triples of the next level, or, when
+    names cover ``length`` bytes, to the merge of the last level."""
 
     def run(batches):
         for table in key_runs(batches, ["pack"]):
-            rows = table.to_pylist()
-            (own,) = [r for r in rows if r["text"] is not None]
+            own, names, sym = _told(table, before)
             layout = _Layout(own["sizes"], own["text"])
-            at, d, *_ = work(layout, own)
-            answers = sorted((r for r in rows if r["ranks"] is not None), key=lambda r: r["bucket"])
-            parts = [unpress(r["ranks"]) + np.uint64(before[r["bucket"]] + 1 if before is not None else 0) for r in answers]
-            values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            if len(values) != len(d.first):
-                raise ValueError("answers of a pack are missing")
-            yield pa.RecordBatch.from_arrays([pa.array([own["pack"]], pa.int64()), pa.array([press(_narrow(values[d.group]))], pa.binary())], ["pack", name])
+            if level < depth - 1:
+                blob = press(_narrow(names))
+                yield from _asked(own["pack"], own, _triples(layout, level + 1, _dense(layout, layout.members(level + 1), names), cuts))
+                yield _row(own["pack"], sym=blob)
+            else:
+                ranks = _dense(layout, layout.members(level + 1), names)
+                yield from _asked(own["pack"], own, _merge_keys(layout, level, length, _symbols(layout, level, sym), ranks, cuts))
 
     return run
 
 
-def _round(packs: DataFrame, work, bucket, level: int, name: str, ranked: bool = True) -> DataFrame:
-    """One exchange of entries and ranks: ``packs`` with the new column ``name``."""
-    asked = packs.mapInArrow(_ask(work, level), SLICE)
-    answers = keep(asked.groupBy("bucket").applyInArrow(bucket, ANSWER), "suffix-answers")
-    before, total = {}, 0
-    for r in sorted(answers.select("bucket", "many").distinct().collect()):  # one number for each bucket
-        before[r["bucket"]] = total
-        total += r["many"]
-    both = packs.unionByName(answers.drop("many"), allowMissingColumns=True).repartition("pack").sortWithinPartitions("pack")
-    told = keep(both.mapInArrow(_told(work, name, before if ranked else None), f"pack long, {name} binary"), "suffix-told")
-    discard(answers)
-    return told
+def _merge_pass(level: int, length: int, cuts: list[bytes], before: dict):
+    """From the ranks of a level to the merge of the one below."""
+
+    def run(batches):
+        for table in key_runs(batches, ["pack"]):
+            own, values, sym = _told(table, before)
+            layout = _Layout(own["sizes"], own["text"])
+            ranks = _dense(layout, layout.members(level, length - (SYMBOL * 3**level - SYMBOL)), values)
+            yield from _asked(own["pack"], own, _merge_keys(layout, level - 1, length, _symbols(layout, level - 1, sym), ranks, cuts))
+
+    return run
+
+
+def _flags(batches):
+    for table in key_runs(batches, ["pack"]):
+        own, values, _ = _told(table, None)
+        yield pa.RecordBatch.from_arrays([pa.array([own["pack"]], pa.int64()), pa.array([press(values.astype(np.uint8))], pa.binary())], ["pack", "flags"])
+
+
+def _by_pack(passed: DataFrame, answers: DataFrame, symbols: DataFrame | None) -> DataFrame:
+    rows = passed.where("text is not null").select("pack", "sizes", "text", "group").unionByName(answers.select("pack", "bucket", "ranks"), allowMissingColumns=True)
+    if symbols is None:
+        rows = rows.withColumn("sym", F.lit(None).cast("binary"))
+    else:
+        rows = rows.unionByName(symbols.where("sym is not null").select("pack", "sym"), allowMissingColumns=True)
+    return rows.repartition("pack").sortWithinPartitions("pack")
 
 
 def repeated_strings(packs: DataFrame, length: int) -> DataFrame:
@@ -361,32 +398,37 @@ def repeated_strings(packs: DataFrame, length: int) -> DataFrame:
     end, in order, whether these bytes start at any other such position of all packs.
     """
     size = packs.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)).alias("bytes"), F.count(F.lit(1)).alias("packs")).first()
-    buckets = -(-(size["bytes"] or 0) // BUCKET_BYTES)
-    cuts = _sampled_cuts(packs, size["packs"], buckets)
-    depth, table = depth_for(length), packs.select("pack", "sizes", "text")
-    levels = [table.withColumn("sym", F.lit(None).cast("binary"))]
+    cuts = _sampled_cuts(packs, size["packs"], -(-(size["bytes"] or 0) // BUCKET_BYTES))
+    depth = depth_for(length)
+
+    def answered(passed, bucket):
+        """The buckets' answers, and how many entries come before each bucket's."""
+        slices = passed.where("columns is not null").select("bucket", "pack", "columns")
+        answers = keep(slices.groupBy("bucket").applyInArrow(bucket, ANSWER), "suffix-answers")
+        before, total = {}, 0
+        for r in sorted(answers.select("bucket", "many").distinct().collect()):  # one number for each bucket
+            before[r["bucket"]] = total
+            total += r["many"]
+        return answers, before
+
+    passed = {0: keep(packs.mapInArrow(_first_pass(cuts), PASS), "suffix-pass")}
     for level in range(depth):
-        work = lambda layout, r, level=level: _triples(layout, level, _symbols(layout, level, r["sym"]), cuts)
-        named = _round(levels[level], work, _rank_triples, level, "sym")
-        levels.append(named if level == depth - 1 else keep(table.join(named, "pack"), "suffix-level"))
-        if level < depth - 1:
-            discard(named)
-    ranks = levels.pop().withColumnRenamed("sym", "ranks_above")
-    for level in reversed(range(depth)):
-        own = keep(levels[level].join(ranks, "pack"), "suffix-merge")
-        discard(ranks, *([levels[level]] if level else []))
-
-        def work(layout, r, level=level):
-            # All sampled positions have a rank from their names, later those that took part.
-            above = layout.members(level + 1) if level == depth - 1 else layout.members(level + 1, length - (SYMBOL * 3 ** (level + 1) - SYMBOL))
-            return _merge_keys(layout, level, length, _symbols(layout, level, r["sym"]), _dense(layout, above, r["ranks_above"]), cuts)
-
-        if level:
-            ranks = _round(own, work, _merge_bucket, level, "ranks_above")
-        else:
-            ranks = _round(own, work, _compare_bucket, level, "flags", ranked=False)
-        discard(own)
-    return ranks
+        answers, before = answered(passed[level], _rank_triples)
+        symbols = passed[level] if level == depth - 1 and level else None
+        rows = _by_pack(passed[level], answers, symbols)
+        passed[level + 1] = keep(rows.mapInArrow(_name_pass(level, depth, length, cuts, before), PASS), "suffix-pass")
+        discard(answers)
+    now = passed.pop(depth)
+    for level in range(depth - 1, 0, -1):
+        answers, before = answered(now, _merge_bucket)
+        rows = _by_pack(now, answers, passed[level - 1] if level > 1 else None)
+        after = keep(rows.mapInArrow(_merge_pass(level, length, cuts, before), PASS), "suffix-pass")
+        discard(answers, now, passed.pop(level))
+        now = after
+    answers, _ = answered(now, _compare_bucket)
+    flags = keep(_by_pack(now, answers, None).mapInArrow(_flags, "pack long, flags binary"), "suffix-flags")
+    discard(answers, now, *passed.values())
+    return flags
 
 
 def _sampled_cuts(packs: DataFrame, many: int, buckets: int) -> list[bytes]:

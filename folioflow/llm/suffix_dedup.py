@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gear import WINDOW, chunk_ends
-from .suffix_array import _Layout, repeated_strings, unpress
+from .suffix_array import _Layout, press, repeated_strings, unpress
 from .tasks import discard, hot_join, keep, mix, text_or_empty
 
 LENGTH = 400
@@ -37,13 +37,17 @@ _UNDO = np.uint64(pow(int(_BASE), -1, 2**64))
 _NUMBER = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _packed(columns: list[str], rows: list, sizes: list[int], data: list[bytes]):
-    """One row: a name, the given columns, sizes and the joined bytes, compressed."""
+PACK = "pack long, reps array<long>, starts array<long>, sizes array<long>, text binary"
+
+
+def _packed(rows: list, data: list[bytes], *more):
+    """One row: a name, the text and the offset of each string, and the strings' bytes,
+    compressed."""
     text = zstandard.ZstdCompressor(level=3).compress(b"".join(data))
-    cols = [pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in range(len(columns))]
+    longs = [[r[0] for r in rows], [r[1] for r in rows], [len(d) for d in data]]
     return pa.RecordBatch.from_arrays(
-        [pa.array([uuid.uuid4().int >> 65], pa.int64()), *cols, pa.array([sizes], pa.list_(pa.int64())), pa.array([text], pa.binary())],
-        ["pack", *columns, "sizes", "text"],
+        [pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in longs), *(pa.array([x], pa.binary()) for x in (text, *more))],
+        ["pack", "reps", "starts", "sizes", "text", *(["cuts"] if more else [])],
     )
 
 
@@ -58,27 +62,29 @@ def _text_packs(length: int):
                     data.append(raw[a : a + PIECE_BYTES + length - 1])
                     held += len(data[-1])
                     if held >= TEXT_BYTES:
-                        yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
+                        yield _packed(rows, data, _cuts(data))
                         rows, data, held = [], [], 0
         if rows:
-            yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
+            yield _packed(rows, data, _cuts(data))
 
     return run
 
 
-def _texts_of(row: dict) -> tuple[np.ndarray, list[bytes]]:
-    raw = zstandard.ZstdDecompressor().decompress(row["text"])
-    ends = np.cumsum([0, *row["sizes"]]).tolist()
-    return np.frombuffer(raw, np.uint8), [raw[a:b] for a, b in zip(ends, ends[1:])]
-
-
-def _chunk_keys(data: np.ndarray, raws: list[bytes]):
-    """(begin, end, number of text, key) of the chunks with a cut at both ends."""
-    ends = chunk_ends(raws, AVERAGE)
+def _cuts(raws: list[bytes]) -> bytes:
+    """Where the chunks of the joined strings end."""
     base = np.cumsum([0, *map(len, raws)])
-    of = np.repeat(np.arange(len(raws)), [len(e) for e in ends])
-    end = np.concatenate([e + b for e, b in zip(ends, base)]) if raws else np.zeros(0, np.int64)
-    begin = np.concatenate([[0], end[:-1]]) if len(end) else end
+    ends = np.concatenate([e + b for e, b in zip(chunk_ends(raws, AVERAGE), base)])
+    return press(np.diff(ends, prepend=0).astype(np.uint32))
+
+
+def _chunk_keys(row: dict):
+    """Of a pack: its bytes, where its strings start, and (begin, end, number of string,
+    key) of the chunks with a cut at both ends."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
+    base = np.cumsum([0, *row["sizes"]])
+    end = np.cumsum(unpress(row["cuts"]).astype(np.int64))
+    begin = np.concatenate([[0], end[:-1]])
+    of = np.searchsorted(base, end, "left") - 1
     inner = (begin > base[of]) & (end < base[of + 1])
     begin, end, of = begin[inner], end[inner], of[inner]
     up, down = np.full(len(data) + 1, _BASE, np.uint64), np.full(len(data) + 1, _UNDO, np.uint64)
@@ -86,14 +92,14 @@ def _chunk_keys(data: np.ndarray, raws: list[bytes]):
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_NUMBER[data] * np.multiply.accumulate(up)[:-1], out=run[1:])
     key = mix((run[end] - run[begin]) * np.multiply.accumulate(down)[begin] + (end - begin).astype(np.uint64))
-    return begin, end, of, key
+    return data, base, begin, end, of, key
 
 
 def _keys(batches):
     """The distinct chunks of each pack, and whether they occur there more than once."""
     for batch in batches:
         for r in batch.to_pylist():
-            key, n = np.unique(_chunk_keys(*_texts_of(r))[3], return_counts=True)
+            key, n = np.unique(_chunk_keys(r)[-1], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(np.full(len(key), r["pack"], np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["key", "pack", "n"]
             )
@@ -107,10 +113,8 @@ def _regions(length: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                data, raws = _texts_of(r)
-                begin, end, of, key = _chunk_keys(data, raws)
+                data, base, begin, end, of, key = _chunk_keys(r)
                 once = np.isin(key, np.array(r["once"] or [], np.int64).view(np.uint64))
-                base = np.cumsum([0, *map(len, raws)])
                 low, high = np.maximum(end - length, base[of]), np.minimum(begin - WINDOW, base[of + 1] - length) + 1
                 fit = once & (low < high)
                 step = np.zeros(len(data) + 1, np.int32)
@@ -122,7 +126,7 @@ def _regions(length: int):
                 at = np.flatnonzero(alive & (left >= length))
                 if not len(at):
                     continue
-                own = np.repeat(np.arange(len(raws)), sizes)[at]
+                own = np.repeat(np.arange(len(sizes)), sizes)[at]
                 new = np.ones(len(at), bool)
                 new[1:] = (np.diff(at) > length) | (own[1:] != own[:-1])
                 first = np.flatnonzero(new)
@@ -145,13 +149,13 @@ def _region_packs(batches):
     for batch in batches:
         for rep, start, region in zip(*(batch.column(c).to_pylist() for c in ("rep", "start", "region"))):
             if held and held + len(region) > REGION_BYTES:
-                yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
+                yield _packed(rows, data)
                 rows, data, held = [], [], 0
             rows.append((rep, start))
             data.append(region)
             held += len(region)
     if rows:
-        yield _packed(["reps", "starts"], rows, [len(d) for d in data], data)
+        yield _packed(rows, data)
 
 
 def _spans(length: int):
@@ -178,14 +182,14 @@ def _spans(length: int):
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rep, start, end) of docs (rep, text): bytes of strings of ``length`` bytes that
     start elsewhere too. Spans of one text may touch where it was looked at in pieces."""
-    packs = keep(texts.mapInArrow(_text_packs(length), "pack long, reps array<long>, starts array<long>, sizes array<long>, text binary"), "suffix-texts")
+    packs = keep(texts.mapInArrow(_text_packs(length), f"{PACK}, cuts binary"), "suffix-texts")
     found = packs.mapInArrow(_keys, "key long, pack long, n int").groupBy("key").agg(F.sum("n").alias("n"), F.min("pack").alias("pack"))
     once = found.where("n = 1").groupBy("pack").agg(F.collect_list("key").alias("once"))
-    regions = packs.join(once, "pack", "left").select("reps", "starts", "sizes", "text", "once").mapInArrow(_regions(length), "near long, rep long, start long, region binary")
+    regions = packs.join(once, "pack", "left").select("reps", "starts", "sizes", "text", "cuts", "once").mapInArrow(_regions(length), "near long, rep long, start long, region binary")
     regions = keep(regions, "suffix-regions")
     discard(packs)
     near = regions.repartitionByRange("near", "rep", "start").sortWithinPartitions("near", "rep", "start")
-    strings = keep(near.mapInArrow(_region_packs, "pack long, reps array<long>, starts array<long>, sizes array<long>, text binary"), "suffix-strings")
+    strings = keep(near.mapInArrow(_region_packs, PACK), "suffix-strings")
     discard(regions)
     flags = repeated_strings(strings, length)
     spans = keep(strings.join(flags, "pack").select("reps", "starts", "sizes", "text", "flags").mapInArrow(_spans(length), "rep long, start long, end long"), "suffix-spans")
