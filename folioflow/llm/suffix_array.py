@@ -1,10 +1,11 @@
 """Suffix order of many strings by a distributed difference cover modulo 3.
 
-Strings come in packs of bytes. A symbol is 8 bytes of text, so a string of bytes is
-eight strings of symbols, one for each offset modulo 8. At each level the triples at
-the positions 1 and 2 modulo 3 are sorted; their ranks are the symbols of the next
-level, until a rank covers ``length`` bytes. On the way back the positions 0 modulo 3
-are merged in by one symbol, or two, and the rank of what follows.
+Strings come in packs of bytes. A symbol is up to 8 bytes of text (5 where ``length``
+is 400), so a string of bytes is as many strings of symbols, one for each offset modulo
+that. At each level the triples at the positions 1 and 2 modulo 3 are sorted; their
+ranks are the symbols of the next level, until a rank covers ``length`` bytes. On the
+way back the positions 0 modulo 3 are merged in by one symbol, or two, and the rank of
+what follows.
 
 A pack sends each distinct triple (or merge key) once, to the bucket of its range of
 text, and gets ranks back in the same order. So a string that a third of all texts
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .tasks import discard, keep, key_runs, mix
 
-SYMBOL = 8
 KEY_BYTES = 64
 #: Bytes of regions for each bucket, and strings that the cuts are chosen from.
 BUCKET_BYTES = 2 << 20
@@ -50,18 +50,21 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint32) if not len(a) or int(a.max()) < 1 << 32 else a
 
 
-def depth_for(length: int) -> int:
-    """Levels until a rank covers ``length`` bytes: 24 at the first, then three times as many."""
-    depth, cover = 1, 3 * SYMBOL
-    while cover < length:
-        depth, cover = depth + 1, cover * 3
-    return depth
+def levels_for(length: int) -> tuple[int, int]:
+    """(bytes of a symbol, levels until a rank covers ``length`` bytes): as few levels as
+    symbols of 8 bytes allow, then symbols as short as that leaves them, so that ranks
+    tell little apart beyond ``length``."""
+    depth = 1
+    while 8 * 3**depth < length:
+        depth += 1
+    return -(-length // 3**depth), depth
 
 
 class _Layout:
     """The strings of a pack in one array, zero bytes after each."""
 
-    def __init__(self, sizes: list[int], text: bytes):
+    def __init__(self, sizes: list[int], text: bytes, symbol: int = 1):
+        self.symbol = symbol
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
         sizes = np.asarray(sizes, np.int64)
         starts = np.cumsum(sizes + KEY_BYTES) - sizes - KEY_BYTES
@@ -75,7 +78,7 @@ class _Layout:
         self.total, self.starts = total, starts
 
     def digit(self, level: int, at=slice(None)) -> np.ndarray:
-        return self.off[at] // np.int32(SYMBOL * 3**level) % np.int32(3)
+        return self.off[at] // np.int32(self.symbol * 3**level) % np.int32(3)
 
     def members(self, level: int, left: int = 1) -> np.ndarray:
         """The positions of a level's strings with at least ``left`` bytes to the end:
@@ -85,11 +88,16 @@ class _Layout:
             at = at[self.digit(k, at) > 0]
         return at
 
-    def bytes8(self) -> np.ndarray:
-        """The 8 bytes from each position as one number, in the order of text."""
+    def needed(self, level: int, length: int) -> np.ndarray:
+        """The members of a level that some string of ``length`` bytes is compared by: up
+        to 2 * (1 + 3 + ...) symbols after its start."""
+        return self.members(level, length - self.symbol * (3**level - 1))
+
+    def first_symbols(self) -> np.ndarray:
+        """The symbol at each position as a number, in the order of text."""
         out = np.zeros(self.total, np.uint64)
-        for k in range(SYMBOL):
-            out |= self.text[k : k + self.total].astype(np.uint64) << np.uint64(56 - 8 * k)
+        for k in range(self.symbol):
+            out |= self.text[k : k + self.total].astype(np.uint64) << np.uint64(8 * (self.symbol - 1 - k))
         return out
 
     def prefixes(self, at: np.ndarray, width: int) -> np.ndarray:
@@ -117,7 +125,7 @@ def _dense(layout: _Layout, at: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _symbols(layout: _Layout, level: int, blob: bytes | None) -> np.ndarray:
-    return layout.bytes8() if level == 0 else _dense(layout, layout.members(level), unpress(blob))
+    return layout.first_symbols() if level == 0 else _dense(layout, layout.members(level), unpress(blob))
 
 
 class _Distinct:
@@ -276,7 +284,7 @@ def _compare_bucket(table):
 
 
 def _triples(layout: _Layout, level: int, sym: np.ndarray, cuts: list[bytes]):
-    step = SYMBOL * 3**level
+    step = layout.symbol * 3**level
     at = layout.members(level)
     at = at[layout.digit(level, at) > 0]
     d = _Distinct([sym[at], layout.ahead(sym, at, step), layout.ahead(sym, at, 2 * step)])
@@ -285,9 +293,8 @@ def _triples(layout: _Layout, level: int, sym: np.ndarray, cuts: list[bytes]):
 
 
 def _merge_keys(layout: _Layout, level: int, length: int, sym, ranks, cuts: list[bytes]):
-    """Only positions that some string of ``length`` bytes is compared by take part."""
-    step = SYMBOL * 3**level
-    at = layout.members(level, length - (step - SYMBOL))  # 2 * (8 + 24 + ...) bytes further on
+    step = layout.symbol * 3**level
+    at = layout.needed(level, length)
     klass = layout.digit(level, at).astype(np.uint64)
     one, two, own = layout.ahead(ranks, at, step), layout.ahead(ranks, at, 2 * step), ranks[at]
     a, b = np.where(klass == 2, own, one), np.where(klass == 1, own, two)
@@ -322,12 +329,12 @@ def _asked(pack: int, own: dict, at_and_entries):
         yield _row(pack, bucket=bucket, columns=columns)
 
 
-def _first_pass(cuts: list[bytes]):
+def _first_pass(symbol: int, cuts: list[bytes]):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                layout = _Layout(r["sizes"], r["text"])
-                yield from _asked(r["pack"], r, _triples(layout, 0, layout.bytes8(), cuts))
+                layout = _Layout(r["sizes"], r["text"], symbol)
+                yield from _asked(r["pack"], r, _triples(layout, 0, layout.first_symbols(), cuts))
 
     return run
 
@@ -345,14 +352,15 @@ def _told(table, before: dict | None) -> tuple[dict, np.ndarray, bytes | None]:
     return own, values[group], next((r["sym"] for r in rows if r["sym"] is not None), None)
 
 
-def _name_pass(level: int, depth: int, length: int, cuts: list[bytes], before: dict):
+def _name_pass(level: int, length: int, cuts: list[bytes], before: dict):
     """From the names of a level's triples to the triples of the next level, or, when
     names cover ``length`` bytes, to the merge of the last level."""
+    symbol, depth = levels_for(length)
 
     def run(batches):
         for table in key_runs(batches, ["pack"]):
             own, names, sym = _told(table, before)
-            layout = _Layout(own["sizes"], own["text"])
+            layout = _Layout(own["sizes"], own["text"], symbol)
             if level < depth - 1:
                 blob = press(_narrow(names))
                 yield from _asked(own["pack"], own, _triples(layout, level + 1, _dense(layout, layout.members(level + 1), names), cuts))
@@ -366,12 +374,13 @@ def _name_pass(level: int, depth: int, length: int, cuts: list[bytes], before: d
 
 def _merge_pass(level: int, length: int, cuts: list[bytes], before: dict):
     """From the ranks of a level to the merge of the one below."""
+    symbol, _ = levels_for(length)
 
     def run(batches):
         for table in key_runs(batches, ["pack"]):
             own, values, sym = _told(table, before)
-            layout = _Layout(own["sizes"], own["text"])
-            ranks = _dense(layout, layout.members(level, length - (SYMBOL * 3**level - SYMBOL)), values)
+            layout = _Layout(own["sizes"], own["text"], symbol)
+            ranks = _dense(layout, layout.needed(level, length), values)
             yield from _asked(own["pack"], own, _merge_keys(layout, level - 1, length, _symbols(layout, level - 1, sym), ranks, cuts))
 
     return run
@@ -388,7 +397,7 @@ def _by_pack(passed: DataFrame, answers: DataFrame, symbols: DataFrame | None) -
     if symbols is None:
         rows = rows.withColumn("sym", F.lit(None).cast("binary"))
     else:
-        rows = rows.unionByName(symbols.where("sym is not null").select("pack", "sym"), allowMissingColumns=True)
+        rows = rows.unionByName(symbols, allowMissingColumns=True)
     return rows.repartition("pack").sortWithinPartitions("pack")
 
 
@@ -399,7 +408,7 @@ def repeated_strings(packs: DataFrame, length: int) -> DataFrame:
     """
     size = packs.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)).alias("bytes"), F.count(F.lit(1)).alias("packs")).first()
     cuts = _sampled_cuts(packs, size["packs"], -(-(size["bytes"] or 0) // BUCKET_BYTES))
-    depth = depth_for(length)
+    symbol, depth = levels_for(length)
 
     def answered(passed, bucket):
         """The buckets' answers, and how many entries come before each bucket's."""
@@ -411,23 +420,25 @@ def repeated_strings(packs: DataFrame, length: int) -> DataFrame:
             total += r["many"]
         return answers, before
 
-    passed = {0: keep(packs.mapInArrow(_first_pass(cuts), PASS), "suffix-pass")}
+    symbols: dict[int, DataFrame] = {}
+    now = keep(packs.mapInArrow(_first_pass(symbol, cuts), PASS), "suffix-pass")
     for level in range(depth):
-        answers, before = answered(passed[level], _rank_triples)
-        symbols = passed[level] if level == depth - 1 and level else None
-        rows = _by_pack(passed[level], answers, symbols)
-        passed[level + 1] = keep(rows.mapInArrow(_name_pass(level, depth, length, cuts, before), PASS), "suffix-pass")
-        discard(answers)
-    now = passed.pop(depth)
+        answers, before = answered(now, _rank_triples)
+        rows = _by_pack(now, answers, symbols.get(level) if level == depth - 1 else None)
+        after = keep(rows.mapInArrow(_name_pass(level, length, cuts, before), PASS), "suffix-pass")
+        if level < depth - 1:
+            symbols[level + 1] = keep(after.where("sym is not null").select("pack", "sym"), "suffix-symbols")
+        discard(answers, now)
+        now = after
     for level in range(depth - 1, 0, -1):
         answers, before = answered(now, _merge_bucket)
-        rows = _by_pack(now, answers, passed[level - 1] if level > 1 else None)
+        rows = _by_pack(now, answers, symbols.get(level - 1))
         after = keep(rows.mapInArrow(_merge_pass(level, length, cuts, before), PASS), "suffix-pass")
-        discard(answers, now, passed.pop(level))
+        discard(answers, now, symbols.pop(level))
         now = after
     answers, _ = answered(now, _compare_bucket)
     flags = keep(_by_pack(now, answers, None).mapInArrow(_flags, "pack long, flags binary"), "suffix-flags")
-    discard(answers, now, *passed.values())
+    discard(answers, now)
     return flags
 
 

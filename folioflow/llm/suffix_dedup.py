@@ -79,14 +79,12 @@ def _cuts(raws: list[bytes]) -> bytes:
 
 def _chunk_keys(row: dict):
     """Of a pack: its bytes, where its strings start, and (begin, end, number of string,
-    key) of the chunks with a cut at both ends."""
+    key) of their chunks."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
     base = np.cumsum([0, *row["sizes"]])
     end = np.cumsum(unpress(row["cuts"]).astype(np.int64))
     begin = np.concatenate([[0], end[:-1]])
     of = np.searchsorted(base, end, "left") - 1
-    inner = (begin > base[of]) & (end < base[of + 1])
-    begin, end, of = begin[inner], end[inner], of[inner]
     up, down = np.full(len(data) + 1, _BASE, np.uint64), np.full(len(data) + 1, _UNDO, np.uint64)
     up[:1], down[:1] = 1, 1
     run = np.zeros(len(data) + 1, np.uint64)
@@ -96,7 +94,8 @@ def _chunk_keys(row: dict):
 
 
 def _keys(batches):
-    """The distinct chunks of each pack, and whether they occur there more than once."""
+    """The distinct chunks of each pack, and whether they occur there more than once. Those
+    at an end of a text count too: the text may end where others have a cut."""
     for batch in batches:
         for r in batch.to_pylist():
             key, n = np.unique(_chunk_keys(r)[-1], return_counts=True)
@@ -116,7 +115,8 @@ def _regions(length: int):
                 data, base, begin, end, of, key = _chunk_keys(r)
                 once = np.isin(key, np.array(r["once"] or [], np.int64).view(np.uint64))
                 low, high = np.maximum(end - length, base[of]), np.minimum(begin - WINDOW, base[of + 1] - length) + 1
-                fit = once & (low < high)
+                inner = (begin > base[of]) & (end < base[of + 1])  # with a cut at both ends
+                fit = once & inner & (low < high)
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, low[fit], 1)
                 np.add.at(step, high[fit], -1)

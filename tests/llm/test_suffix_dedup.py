@@ -43,3 +43,38 @@ def test_repeated_rows(spark):
     want, _ = brute([(k, t) for k, (_, t) in enumerate(rows)], 40)
     got = sorted((r.doc_id, bytes(r.kept)) for r in drop_repeats(df, length=40).collect())
     assert got == sorted((i, want[k]) for k, (i, _) in enumerate(rows))
+
+
+def test_real_texts(spark):
+    """All of the smallest table at the length in use."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, gone = brute(rows, 400)
+    got = {r.doc_id: r for r in drop_repeats(docs).collect()}
+    assert {i: bytes(r.kept) for i, r in got.items()} == want
+    assert {i: sum(s.end - s.start for s in r.spans) for i, r in got.items()} == {i: sum(g) for i, g in gone.items()}
+
+
+def test_text_that_ends_at_a_cut(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choices("abcdefghij ", k=600))
+    rows = [(n, base[:n] + ("" if n % 2 else "".join(rng.choices("xyz", k=50)))) for n in range(440, 520)]
+    want, _ = brute(rows, 400)
+    got = {r.doc_id: bytes(r.kept) for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_hot_passage_null_ids_and_long_text(spark, monkeypatch):
+    """One passage in nine of ten rows, rows without an id, a text of several pieces."""
+    from folioflow.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1000)
+    rng = random.Random(13)
+    say = lambda n: "".join(rng.choices("abcdefghij é", k=n))
+    hot = say(90)
+    rows = [(k if k % 7 else None, (say(rng.randint(0, 40)) + hot if k % 10 else "") + say(rng.randint(0, 40))) for k in range(300)]
+    long = say(5000)
+    rows += [(None, None), (None, hot), (None, hot), (900, long), (901, long[100:4000]), (902, "ab" * 3000)]
+    want, _ = brute(list(enumerate(t for _, t in rows)), 40)
+    got = sorted(((r.doc_id, bytes(r.kept)) for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length=40).collect()), key=str)
+    assert got == sorted(((i, want[k]) for k, (i, _) in enumerate(rows)), key=str)
