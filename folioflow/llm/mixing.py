@@ -105,17 +105,22 @@ def mix(
 
     A null source is a source of its own, last in order; null and empty texts have
     size 0 and give nothing. A source's taken words differ from its target by about
-    a block. Repeated ids are ordered by size; an empty table gives no rows. Other
-    columns are not looked at.
+    a block. Rows of one id, or of none, are rows of their own, in the order of their
+    sizes; an empty table gives no rows. Other columns are not looked at.
     """
-    sizes = keep(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.regexp_count(text_or_empty(text_col), F.lit(WORDS)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
-    )
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    dealt = _dealt(keep(sizes, "mix-sizes"), seed, block, shard_docs)
+    return dealt.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def word_count(text_col: str) -> Column:
+    return F.regexp_count(text_or_empty(text_col), F.lit(WORDS)).cast("long")
+
+
+def _dealt(sizes: DataFrame, seed: str, block: int, shard_docs: int) -> DataFrame:
+    """``sizes`` (doc_id, source, size, further columns, which order rows that are equal
+    in these) with source_size, target and taken."""
+    more = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     by_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     counts = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("__docs"))
     sources = (
@@ -142,7 +147,7 @@ def mix(
         "shard_size",
         "source_blocks",
     ).select("source_rank", "shard", "shard_size", F.least(F.col("quota") * block, MOST * F.col("shard_size")).alias("words"))
-    line = Window.partitionBy("source_rank", "shard").orderBy("seeded", "doc_id", "size")
+    line = Window.partitionBy("source_rank", "shard").orderBy("seeded", "doc_id", "size", *more)
     passes = F.when(F.col("shard_size") > 0, F.expr("words div shard_size")).otherwise(0)
     return (
         placed.withColumn("__before", F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -150,8 +155,9 @@ def mix(
         .withColumn("__passes", passes)
         .withColumn("__rest", F.col("words") - F.col("__passes") * F.col("shard_size") - F.col("__before"))
         .select(
-            F.col("doc_id").alias(id_col),
+            "doc_id",
             "size",
+            *more,
             "source_size",
             "target",
             (F.col("__passes") * F.col("size") + F.greatest(F.lit(0), F.least("size", "__rest"))).cast("long").alias("taken"),
@@ -162,10 +168,19 @@ def mix(
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as many times as its taken words hold it
     whole, then its first words for the rest; columns as in ``docs``, with n_chars
-    counted anew. Documents of which nothing is taken don't appear."""
-    shares = mix(docs, seed=seed).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")
-    )
+    counted anew. Documents of which nothing is taken don't appear. Each row has a
+    share of its own, also where its id is null or occurs again.
+    """
+    # Rows meet their shares by all that the mix looks at; of rows that are equal in
+    # it, the first gets the first share, and so on.
+    says = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    row = F.sha2(F.concat_ws("\0", says("doc_id"), says("source"), says("text")), 256)
+    sizes = keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), row.alias("__row")), "mix-sizes")
+    shares = _dealt(sizes, seed, BLOCK_WORDS, SHARD_DOCS).where("taken > 0")
+    shares = shares.groupBy(F.col("__row").alias("__of")).agg(F.first("size").alias("__size"), F.sort_array(F.collect_list("taken"), asc=False).alias("__shares"))
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
+    numbered = docs.withColumn("__row", row).withColumn("__nth", nth)
+    mixed = numbered.join(shares, numbered["__row"] == shares["__of"]).withColumn("__taken", F.get("__shares", F.col("__nth") - 1)).where("__taken > 0")
     copies = F.transform(
         F.sequence(F.lit(0), F.expr("int((__taken - 1) div __size)")),
         lambda i: F.least(F.col("__size"), F.col("__taken") - i * F.col("__size")),
@@ -173,7 +188,7 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     # Each word with the white space before it; the first n of them are a prefix.
     words = F.regexp_extract_all(text_or_empty(), F.lit(SPACES.replace("+", "*") + WORDS), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), "")
-    mixed = docs.join(shares, docs["doc_id"] == F.col("__id")).withColumn("__words", F.explode(copies))
+    mixed = mixed.withColumn("__words", F.explode(copies))
     mixed = mixed.withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .ngrams import shingle_sets
 from .prefix_tree import PrefixTree, spanning_links
-from .tasks import keep, key_runs, mix, text_or_empty, text_slices
+from .tasks import hot_join, keep, key_runs, mix, text_or_empty, text_slices
 
 #: Share of the shingles, in hundredths beyond what a linked pair may differ in,
 #: that step 2 looks at. More finds more sets without partner, and moves more.
@@ -47,22 +47,30 @@ def _prefix(n, percent: int):
     return n - (-(-percent * n // 100)) + 1
 
 
+def _name(shingles: np.ndarray) -> int:
+    """The number that a set goes by."""
+    return int(np.sum(mix(shingles), dtype=np.uint64)) if len(shingles) else 0
+
+
 def _fingerprints(k: int):
     def run(batches):
         for batch in batches:
+            at = 0
             for ids, raws in text_slices(batch.column(0), batch.column(1)):
                 sets = shingle_sets(raws, k)
-                one = [int(np.sum(mix(s), dtype=np.uint64)) if len(s) else 0 for s in sets]
-                two = [int(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)) if len(s) else 0 for s in sets]
+                one = [_name(s) for s in sets]
+                two = [_name(s ^ np.uint64(0x5851F42D4C957F2D)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
+                        batch.column(2).slice(at, len(ids)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(np.array(one, np.uint64).view(np.int64)),
                         pa.array(np.array(two, np.uint64).view(np.int64)),
                     ],
-                    ["id", "n", "f1", "f2"],
+                    ["id", "h", "n", "f1", "f2"],
                 )
+                at += len(ids)
 
     return run
 
@@ -95,14 +103,14 @@ def _first_shingles(k: int, percent: int, buckets: int):
                 for s in shingle_sets(raws, k):
                     if not len(s):
                         continue
-                    sid = int(np.sum(mix(s), dtype=np.uint64))
+                    sid = _name(s)
                     if sid not in held:
                         size = max(-(-(100 - percent + MARGIN) * len(s) // 100), _prefix(len(s), percent))
                         held[sid] = s[:size].copy()
                         n += len(held[sid])
-                if n >= FLUSH or len(held) > 50_000:
-                    yield pack(list(held.items()))
-                    held, n = {}, 0
+                    if n >= FLUSH or len(held) > 50_000:  # numbers in a pack have 16 bits
+                        yield pack(list(held.items()))
+                        held, n = {}, 0
         if held:
             yield pack(list(held.items()))
 
@@ -151,7 +159,7 @@ def _ordered_sets(k: int, buckets: int, frequent):
     def run(batches):
         names, level = frequent.value
         for batch in batches:
-            for ids, raws in text_slices(batch.column(0), batch.column(1)):
+            for names_, raws in text_slices(batch.column(0), batch.column(1)):
                 sets = []
                 for s in shingle_sets(raws, k):
                     key = ((s % np.uint64(buckets)) << np.uint64(32)) | ((s >> np.uint64(8)) & np.uint64(0xFFFFFFFF))
@@ -161,7 +169,7 @@ def _ordered_sets(k: int, buckets: int, frequent):
                         rank = rank | np.where(names[at] == key, level[at], 0).astype(np.uint64) << np.uint64(58)
                     sets.append(np.sort(rank))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [pa.array(names_, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     ["rep", "n", "items"],
                 )
 
@@ -248,14 +256,20 @@ def ngram_components(
     ``k``-word shingles of lower-cased (A-Z) whole texts; sets link from a Jaccard
     similarity of ``percent`` hundredths, compared in whole numbers. component_id is
     the smallest id reached by links. Null and empty texts, and texts of white
-    space alone, have no shingles and are their own component. Ids should be
-    unique integers, rows with a null id are left out. Other columns are not looked
-    at; an empty table gives no rows.
+    space alone, have no shingles and link with nothing.
+
+    Ids are integers. Rows of one id are one document, so what any of its texts links
+    with hangs together; each keeps its own n_shingles. Rows without an id link like
+    others; their component_id is null where nothing with an id is reached. Other
+    columns are not looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    prints = keep(texts.mapInArrow(_fingerprints(k), "id long, n long, f1 long, f2 long"), "ngram-prints")
-    classes = prints.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    prints = keep(texts.mapInArrow(_fingerprints(k), "id long, h long, n long, f1 long, f2 long"), "ngram-prints")
+    # A class of equal sets goes by the number f1; its text is that of its smallest id.
+    first = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("first")
+    classes = prints.where("n > 0").groupBy("f1", "f2", "n").agg(first, F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("f1", "f2", "n", "copies", F.col("first.id").alias("rep"), F.col("first.h").alias("h"))
 
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, -(-chars // BUCKET_CHARS))
@@ -273,7 +287,7 @@ def ngram_components(
     level = np.minimum(63, np.log2(np.maximum(1, rows["many"].to_numpy().astype(np.float64)))).astype(np.uint64)
     frequent = spark.sparkContext.broadcast((names[order], level[order]))
 
-    chosen = texts.join(near.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
+    chosen = texts.join(near.select("f1", "rep", near["h"].alias("of")), (F.col("h") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep"))).select("f1", "text")
     sets = keep(chosen.mapInArrow(_ordered_sets(k, buckets, frequent), "rep long, n long, items binary"), "ngram-sets")
 
     # Blocks of equal min-hash; a frequent one is split, each part with its first set.
@@ -343,16 +357,26 @@ def ngram_components(
     more = keep(more, "ngram-more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    joined = classes.join(labels, classes["rep"] == labels["id"], "left").select(
-        "f1", "f2", "n", F.coalesce("component", "rep").alias("component")
-    )
-    return prints.join(joined, ["f1", "f2", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+    # From here on nodes are ids again: each class hangs on the smallest id of its
+    # component, and so do the ids that have texts in several classes.
+    named = classes.join(labels, classes["f1"] == labels["id"], "left").select("f1", "f2", "n", "copies", "rep", F.coalesce("component", "f1").alias("component"))
+    named = keep(named, "ngram-named")
+    low = keep(named.groupBy("component").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("classes")), "ngram-low")
+    named = keep(hot_join(named, low, ["component"], "classes").select("f1", "f2", "n", "copies", "low"), "ngram-components")
+    found = hot_join(prints, named, ["f1", "f2", "n"], "copies").select("id", "n", F.coalesce("low", "id").alias("component"))
+    several = found.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("id is not null and a <> b").select("id")
+    several = keep(several, "ngram-several")
+    if not several.isEmpty():
+        joins = components(found.join(several, "id").select(F.col("component").alias("a"), F.col("id").alias("b")))
+        joins = joins.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        found = found.join(joins, "component", "left").select("id", "n", F.coalesce("top", "component").alias("component"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document for each group of near copies, that of the smallest
-    id; all columns as they were."""
-    first = ngram_components(docs, id_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first"))
-    return docs.join(first, docs[id_col] == F.col("__first"), "left_semi")
+    id; all columns as they were. All rows of that id stay, and rows without an id, as
+    nothing tells them apart."""
+    found = ngram_components(docs, id_col)
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
+    return docs.where(F.col(id_col).isNotNull()).join(first, docs[id_col] == F.col("__first"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -93,3 +93,20 @@ def test_edges(spark):
     assert {(r["size"], r.target, r.taken) for r in none} == {(0, 0.0, 0)}
     s = spark.createDataFrame([("a", 10), ("b", 0)], "source string, source_size long")
     assert {r.source: r.target for r in targets(s).collect()} == {"a": 15.0, "b": 0.0}
+
+
+def test_mix_of_repeated_and_missing_ids(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choices(["w", "xx", "é"], k=n))
+    one, two = text(40), text(70)
+    rows = [(1, one, "a", "p"), (1, one, "a", "p"), (1, one, "a", "p"), (1, two, "a", "q"), (None, two, "b", "r"), (None, two, "b", "r"), (None, text(9), None, "s"), (2, None, "a", "t")]
+    rows += [(k, text(rng.randint(1, 90)), "ab"[k % 2], "u") for k in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string").repartition(4)
+    words = lambda t: len((t or "").split())
+    taken, out = collections.Counter(), collections.Counter()
+    for r in mix(df).collect():
+        assert r.taken <= 2 * r["size"]
+        taken[r.doc_id] += r.taken
+    for r in mixed_documents(df).collect():
+        out[r.doc_id] += words(r.text)
+    assert out == {i: n for i, n in taken.items() if n}

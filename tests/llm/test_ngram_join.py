@@ -59,3 +59,33 @@ def test_brute_force(spark):
 
 def test_empty(spark):
     assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows of one id are one document; rows without an id link, but name nothing."""
+    from folioflow.llm.ngram_join import one_of_each
+
+    say = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(7, say("a", 30)), (7, say("b", 30)), (9, say("a", 29)), (3, say("b", 31)), (None, say("b", 30)), (None, say("c", 30)), (None, None), (4, say("d", 9)), (4, say("d", 9)), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(df).collect()), key=str)
+    want = [(7, 26, 3), (7, 26, 3), (9, 25, 3), (3, 27, 3), (None, 26, 3), (None, 26, None), (None, 0, None), (4, 5, 4), (4, 5, 4), (5, 0, 5)]
+    assert got == sorted(want, key=str)
+    kept = sorted((str(r.doc_id) for r in one_of_each(df).collect()))
+    assert kept == ["3", "4", "4", "5", "None", "None", "None"]
+
+
+def test_hot_group(spark):
+    """Nine of ten rows near copies, most of them equal sets."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        if i % 10 == 0:
+            w = [f"x{rng.random()}" for _ in range(30)]
+        elif i % 3 == 0:
+            w[rng.randrange(60)] = "y"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert all(got[i] == (i if i % 10 == 0 else 1) for i, _ in rows)
