@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .tasks import discard, keep, key_runs, mix
 
 KEY_BYTES = 64
+#: Zero bytes after each string of a pack: a step of as many needs no test for its end.
+GAP = 96
 #: Bytes of regions for each bucket, and strings that the cuts are chosen from.
 BUCKET_BYTES = 2 << 20
 SAMPLE = 50_000
@@ -38,7 +40,7 @@ _NUMBER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np
 def press(a: np.ndarray) -> bytes:
     """An array, byte planes apart and compressed; its first byte is the width."""
     width = a.dtype.itemsize
-    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, width).T).tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, width).T).tobytes())
 
 
 def unpress(raw: bytes) -> np.ndarray:
@@ -67,37 +69,39 @@ class _Layout:
         self.symbol = symbol
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
         sizes = np.asarray(sizes, np.int64)
-        starts = np.cumsum(sizes + KEY_BYTES) - sizes - KEY_BYTES
-        total = int(sizes.sum() + KEY_BYTES * len(sizes))
-        self.text = np.zeros(total + KEY_BYTES, np.uint8)
+        starts = np.cumsum(sizes + GAP) - sizes - GAP
+        total = int(sizes.sum() + GAP * len(sizes))
+        self.text = np.zeros(total + GAP, np.uint8)
         own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(raw))
         self.text[own] = raw
-        self.off, self.left = np.zeros(total, np.int32), np.zeros(total, np.int32)
-        self.off[own] = own - np.repeat(starts, sizes)
-        self.left[own] = np.repeat(sizes, sizes) - self.off[own]
-        self.total, self.starts = total, starts
-
-    def digit(self, level: int, at=slice(None)) -> np.ndarray:
-        return self.off[at] // np.int32(self.symbol * 3**level) % np.int32(3)
-
-    def members(self, level: int, left: int = 1) -> np.ndarray:
-        """The positions of a level's strings with at least ``left`` bytes to the end:
-        those that no earlier level left out."""
-        at = np.flatnonzero(self.left >= max(1, left))
-        for k in range(level):
-            at = at[self.digit(k, at) > 0]
-        return at
+        self.off, self.left = np.zeros(total, np.uint32), np.zeros(total, np.int32)
+        off = (own - np.repeat(starts, sizes)).astype(np.uint32)
+        self.off[own] = off
+        self.left[own] = np.repeat(sizes, sizes) - off
+        self.total, self.starts, self.known = total, starts, {0: own}
+
+    def digit(self, level: int, at: np.ndarray) -> np.ndarray:
+        q = self.off[at] // np.uint32(self.symbol * 3**level)
+        return q - q // np.uint32(3) * np.uint32(3)
+
+    def members(self, level: int) -> np.ndarray:
+        """The positions of a level's strings: those that no earlier level left out."""
+        if level not in self.known:
+            at = self.members(level - 1)
+            self.known[level] = at[self.digit(level - 1, at) > 0]
+        return self.known[level]
 
     def needed(self, level: int, length: int) -> np.ndarray:
         """The members of a level that some string of ``length`` bytes is compared by: up
         to 2 * (1 + 3 + ...) symbols after its start."""
-        return self.members(level, length - self.symbol * (3**level - 1))
+        at = self.members(level)
+        return at[self.left[at] >= length - self.symbol * (3**level - 1)]
 
     def first_symbols(self) -> np.ndarray:
         """The symbol at each position as a number, in the order of text."""
-        out = np.zeros(self.total, np.uint64)
+        out = np.zeros(self.total + GAP, np.uint64)
         for k in range(self.symbol):
-            out |= self.text[k : k + self.total].astype(np.uint64) << np.uint64(8 * (self.symbol - 1 - k))
+            out[: self.total] |= self.text[k : k + self.total].astype(np.uint64) << np.uint64(8 * (self.symbol - 1 - k))
         return out
 
     def prefixes(self, at: np.ndarray, width: int) -> np.ndarray:
@@ -114,12 +118,14 @@ class _Layout:
 
     def ahead(self, values: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
         """``values`` a step further on in the same string, 0 beyond its end."""
+        if step <= GAP:
+            return values[at + step]
         there = self.left[at] > step
         return np.where(there, values[np.where(there, at + step, 0)], np.uint64(0))
 
 
 def _dense(layout: _Layout, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros(layout.total, np.uint64)
+    out = np.zeros(layout.total + GAP, np.uint64)
     out[at] = values
     return out
 
@@ -128,38 +134,53 @@ def _symbols(layout: _Layout, level: int, blob: bytes | None) -> np.ndarray:
     return layout.first_symbols() if level == 0 else _dense(layout, layout.members(level), unpress(blob))
 
 
+def _words(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns, each with as many bits as its largest number needs, one after another
+    in as few numbers of 64 bits as hold them: in the same order, and equal alike."""
+    out, word, free = [], None, 0
+    for c in columns:
+        bits = max(1, int(c.max()).bit_length() if len(c) else 1)
+        if word is not None and free:
+            take = min(free, bits)
+            word = (word << np.uint64(take)) | (c >> np.uint64(bits - take))
+            free, bits = free - take, bits - take
+            c = c & np.uint64((1 << bits) - 1)
+        if bits:
+            if word is not None:
+                out.append(word)
+            word, free = c, 64 - bits
+    return [*out, word]
+
+
 class _Distinct:
     """The distinct rows of some columns, in the order (bucket, first column)."""
 
-    def __init__(self, columns: list[np.ndarray]):
-        h = columns[0] * _BASE
-        for c in columns[1:]:
-            h = (h ^ (h >> np.uint64(29))) * _BASE + c
-        h = mix(h)
-        order = np.argsort(h)
+    def __init__(self, columns: list[np.ndarray], by: list[np.ndarray] | None = None):
+        """``by``: columns that tell rows apart instead of all."""
+        words = _words(by or columns)
+        key = words[0]
+        for k, w in enumerate(words[1:]):
+            key = mix((key ^ (key >> np.uint64(29))) * _BASE + w + np.uint64(k))
+        order = np.argsort(key)
         new = np.ones(len(order), bool)
-        sorted_h = h[order]
-        new[1:] = sorted_h[1:] != sorted_h[:-1]
-        first, group = self._groups(order, new)
-        if any((c[first][group] != c).any() for c in columns):  # two rows share a hash
-            order = np.lexsort(columns)
-            new[:] = False
-            new[:1] = True
-            for c in columns:
-                new[1:] |= c[order][1:] != c[order][:-1]
-            first, group = self._groups(order, new)
-        self.first, self.group, self.columns = first, group, columns
-
-    @staticmethod
-    def _groups(order, new):
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        return order[new], group
+        own = key[order]
+        new[1:] = own[1:] != own[:-1]
+        if len(words) > 1:  # rows that share the hash are told apart by another one
+            other = words[-1] * _UNDO
+            for w in words[:-1]:
+                other = mix(other + w) * _UNDO
+            other = other[order]
+            if (~new[1:] & (other[1:] != other[:-1])).any():
+                order, _, new = _runs(by or columns)
+        self.first = order[new]
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.columns = columns
 
     def put_in_order(self, bucket: np.ndarray) -> None:
         """Orders the distinct rows by ``bucket`` (one number for each of them)."""
-        key = self.columns[0][self.first]
-        order = np.lexsort((key, bucket))
+        words = _words([bucket.astype(np.uint64), self.columns[0][self.first]])
+        order = np.argsort(words[0]) if len(words) == 1 else np.lexsort(words[::-1])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.first, self.group, self.bucket = self.first[order], place[self.group], bucket[order]
@@ -219,7 +240,8 @@ def _answer(table, values: np.ndarray, bounds: np.ndarray, many: int):
 def _runs(keys: list[np.ndarray]):
     """Order of rows by ``keys`` (the first counts most), and for each place in it
     the place where its run of equal rows starts."""
-    order = np.lexsort(keys[::-1])
+    keys = _words(keys)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
     new[1:] = False
     for k in keys:
@@ -271,7 +293,7 @@ def _merge_bucket(table):
 
 def _compare_bucket(table):
     """1 for each entry whose first bytes an entry next to it in the order has too, or
-    that occurs more than once in its pack."""
+    whose string occurs more than once in its pack."""
     (sym, klass, s1, a, b, prefix, often), bounds = _read_slices(table)
     order = np.lexsort((prefix, _merged(sym, klass, s1, a, b)))
     same = prefix[order][1:] == prefix[order][:-1]
@@ -298,11 +320,16 @@ def _merge_keys(layout: _Layout, level: int, length: int, sym, ranks, cuts: list
     klass = layout.digit(level, at).astype(np.uint64)
     one, two, own = layout.ahead(ranks, at, step), layout.ahead(ranks, at, 2 * step), ranks[at]
     a, b = np.where(klass == 2, own, one), np.where(klass == 1, own, two)
-    s1 = np.where(klass == 1, np.uint64(0), layout.ahead(sym, at, step))
-    columns = [sym[at], klass, s1, a, b]
-    if level == 0:
-        columns.append(layout.hashes(at, length))
-    d = _Distinct(columns)
+    symbol = sym[at]
+    columns = [symbol, klass, np.where(klass == 1, np.uint64(0), layout.ahead(sym, at, step)), a, b]
+    # Entries are as good as one where a rank of ``length`` bytes is the same, or, at the
+    # lowest level, the hash of the string itself.
+    if level:
+        by = [klass, np.where(klass == 0, symbol, np.uint64(0)), np.where(klass == 1, b, a)]
+    else:
+        by = [layout.hashes(at, length)]
+        columns += by
+    d = _Distinct(columns, by)
     d.put_in_order(_buckets(layout, at[d.first], cuts, min(KEY_BYTES, length)))
     if level:
         return at, d, []

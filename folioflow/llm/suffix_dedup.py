@@ -111,26 +111,29 @@ def _regions(length: int):
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in ("reps", "starts", "sizes", "text", "cuts")}
+                once = batch.column("once")[k].values
+                r["once"] = np.zeros(0, np.uint64) if once is None else once.to_numpy(zero_copy_only=False).view(np.uint64)
                 data, base, begin, end, of, key = _chunk_keys(r)
-                once = np.isin(key, np.array(r["once"] or [], np.int64).view(np.uint64))
+                once = np.isin(key, r["once"])
                 low, high = np.maximum(end - length, base[of]), np.minimum(begin - WINDOW, base[of + 1] - length) + 1
                 inner = (begin > base[of]) & (end < base[of + 1])  # with a cut at both ends
                 fit = once & inner & (low < high)
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, low[fit], 1)
-                np.add.at(step, high[fit], -1)
-                alive = np.cumsum(step[:-1]) == 0
-                sizes = np.asarray(r["sizes"], np.int64)
-                left = np.repeat(base[1:], sizes) - np.arange(len(data))
-                at = np.flatnonzero(alive & (left >= length))
-                if not len(at):
+                # Starts of strings that are left: from a text's start, or where what is ruled
+                # out ends, to where it begins again, or the text has no more such strings.
+                a = np.concatenate([base[:-1], high[fit]])
+                b = np.concatenate([low[fit], np.maximum(base[1:] - length + 1, base[:-1])])
+                a, b = np.sort(a), np.sort(b)
+                left = a < b
+                a, b = a[left], b[left] - 1
+                if not len(a):
                     continue
-                own = np.repeat(np.arange(len(sizes)), sizes)[at]
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) > length) | (own[1:] != own[:-1])
+                own = np.searchsorted(base, a, "right") - 1
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] - b[:-1] > length) | (own[1:] != own[:-1])
                 first = np.flatnonzero(new)
-                a, b, who = at[first], at[np.append(first[1:], len(at)) - 1] + length, own[first]
+                a, b, who = a[first], b[np.append(first[1:], len(b)) - 1] + length, own[first]
                 near = []
                 for x, y in zip(np.searchsorted(begin, a), np.searchsorted(end, b, "right")):
                     near.append(int(key[x:y].min().view(np.int64)) if x < y else 0)
@@ -165,7 +168,7 @@ def _spans(length: int):
         for batch in batches:
             for r in batch.to_pylist():
                 layout = _Layout(r["sizes"], r["text"])
-                at = layout.members(0, length)[unpress(r["flags"]) > 0]
+                at = layout.needed(0, length)[unpress(r["flags"]) > 0]
                 if not len(at):
                     continue
                 own = np.searchsorted(layout.starts, at, "right") - 1
