@@ -14,7 +14,8 @@ their numbers, as that moves less than to keep them; a pack's name is a hash of
 it holds, so packs that differ can't be mixed up. Packs that hold the same rows share
 a name and the answers, and each gives its own rows.
 
-Decoding joins ids to pieces of the vocabulary, a table of fixed size.
+Decoding joins the distinct ids of packs of rows with the vocabulary, a table of ids
+and pieces of fixed size.
 """
 
 from __future__ import annotations
@@ -23,18 +24,20 @@ import functools
 import hashlib
 import os
 import re
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tasks import key_runs, text_or_empty
 
 PACK_PIECES = 6_000_000
 BUCKET_CHARS = 16_000_000
+DECODE_BYTES = 2 << 20
 _CUT = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 
 
@@ -257,39 +260,76 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return both.repartition("pack").sortWithinPartitions("pack").mapInArrow(_put_in, "id long, ids binary").withColumnRenamed("id", id_col)
 
 
-def _pieces(tokenizer_path: str) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary."""
+def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
+    """(token, piece): the bytes of each id of a byte-level vocabulary, added tokens
+    included. Its size is that of the vocabulary, whatever the texts are."""
     vocab = _tokenizer(tokenizer_path).get_vocab(with_added_tokens=True)
     # Printable Latin characters stand for themselves; the other bytes, in order,
     # for the characters from U+0100 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain}
     byte |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(plain))}
-    out = [b""] * (max(vocab.values()) + 1)
-    for piece, i in vocab.items():
-        out[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
-    return out
+    raw = lambda piece: bytearray(byte[c] for c in piece) if all(c in byte for c in piece) else bytearray(piece.encode())
+    return spark.createDataFrame([(i, raw(piece)) for piece, i in vocab.items()], "token int, piece binary")
 
 
-def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
-    """``encoded`` (id, ids) with ``decoded``, the text of the ids, special tokens
-    included; bytes that are no UTF-8 become the replacement character. The
-    vocabulary is read in each Python worker: its size is fixed."""
+def _tokens_of(id_col: str):
+    """Rows in packs of about DECODE_BYTES bytes of ids, and after each pack one row for
+    each distinct id in it."""
+    names = ["pack", "token", "docs", "seqs"]
+
+    def rows(docs, seqs):
+        pack = uuid.uuid4().int >> 65
+        used = np.unique(np.frombuffer(b"".join(seqs), "<u4")).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([None], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([seqs], pa.list_(pa.binary()))], names)
+        if len(used):
+            none = lambda kind: pa.nulls(len(used), pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), pack, np.int64)), pa.array(used), none(pa.int64()), none(pa.binary())], names)
 
     def run(batches):
-        table = _pieces(tokenizer_path)
+        docs, seqs, held = [], [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                texts = [
-                    b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace")
-                    for x in part.column("ids").to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), part.column("ids"), pa.array(texts, pa.string())], [id_col, "ids", "decoded"]
-                )
+            for i, ids in zip(batch.column(id_col).to_pylist(), batch.column("ids").to_pylist()):
+                docs.append(i)
+                seqs.append(ids or b"")
+                held += len(seqs[-1]) + 16
+                if held >= DECODE_BYTES:
+                    yield from rows(docs, seqs)
+                    docs, seqs, held = [], [], 0
+        if docs:
+            yield from rows(docs, seqs)
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` long, ids binary, decoded string")
+    return run
+
+
+def _texts_of(id_col: str):
+    def run(batches):
+        for table in key_runs(batches, ["pack"]):
+            token = table.column("token").combine_chunks()
+            known = table.filter(token.is_valid())
+            pieces = dict(zip(known.column("token").to_pylist(), known.column("piece").to_pylist()))
+            for own in table.filter(token.is_null()).select(["docs", "seqs"]).to_pylist():
+                for a in range(0, len(own["docs"]), 512):
+                    seqs = own["seqs"][a : a + 512]
+                    texts = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in seqs]
+                    yield pa.RecordBatch.from_arrays([pa.array(own["docs"][a : a + 512], pa.int64()), pa.array(seqs, pa.binary()), pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
+
+    return run
+
+
+def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
+    """``encoded`` (id, ids) with ``decoded``, the text of the ids, special tokens
+    included; bytes that are no UTF-8 become the replacement character.
+
+    The distinct ids of each pack of rows are joined with the vocabulary, a table of
+    fixed size that is broadcast, so the join moves no row; the pieces that come back
+    with a pack are put in by position. Ids that the vocabulary lacks are an error;
+    null ids are an empty text.
+    """
+    vocab = vocabulary(encoded.sparkSession, tokenizer_path)
+    asked = encoded.select(id_col, "ids").mapInArrow(_tokens_of(id_col), "pack long, token int, docs array<long>, seqs array<binary>")
+    found = asked.join(F.broadcast(vocab), "token", "left").select("pack", "token", "docs", "seqs", "piece")
+    return found.mapInArrow(_texts_of(id_col), f"`{id_col}` long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,3 +44,16 @@ def test_repeated_rows_and_no_id(spark):
     got = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in encode(one.union(one), PATH).collect()]
     want = [(i, t.encode(x, add_special_tokens=False).ids) for i, x in [(1, "one two"), (None, "no id"), (None, ""), (0, "no id"), (2, "two  three"), (2, "two  three")] * 2]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_decoding_is_of_the_ids(spark):
+    """Any ids decode to their pieces, whatever text they came from."""
+    from tokenizers import Tokenizer
+
+    from folioflow.llm.bpe import decode
+
+    t, rng = Tokenizer.from_file(PATH), random.Random(2)
+    seqs = [[rng.randrange(t.get_vocab_size()) for _ in range(rng.randint(0, 40))] for _ in range(200)]
+    rows = [(i if i % 5 else None, bytearray(np.array(s, "<u4").tobytes())) for i, s in enumerate(seqs)] + [(1000, None)]
+    got = sorted((str(r.doc_id), r.decoded) for r in decode(spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3), PATH).collect())
+    assert got == sorted([(str(i if i % 5 else None), t.decode(s, skip_special_tokens=False)) for i, s in enumerate(seqs)] + [("1000", "")])
