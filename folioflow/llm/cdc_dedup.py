@@ -6,7 +6,9 @@ a hash bucket; of equal pairs the one in the smallest (id, position) stays. Chun
 of the other pairs are repeats, and runs of repeats of at least ``least`` bytes are
 cut out of their text.
 
-Texts travel once, in packs; digests travel as packed numbers of their pack.
+Texts travel once, in packs. A pack finds its own repeats and sends each distinct
+pair once, so a passage that a third of all texts share is one entry a pack; digests
+of 128 bits stand for the pairs, as packed numbers of their pack.
 """
 
 from __future__ import annotations
@@ -26,19 +28,27 @@ AVERAGE = 16
 LEAST = 128
 PACK_BYTES = 4 << 20
 BUCKET_CHARS = 16_000_000
+LAST = 2**63 - 1
 
 _NUMBER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNDO = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[begin:end], all in one go from prefix sums."""
-    up, down = np.full(len(data) + 1, _BASE, np.uint64), np.full(len(data) + 1, _UNDO, np.uint64)
+_SECOND = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND_BASE = np.uint64(0xD1342543DE82EF95)
+_SECOND_UNDO = np.uint64(pow(int(_SECOND_BASE), -1, 2**64))
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each data[begin:end], all in one go from prefix sums; with
+    ``second`` another one, of other numbers."""
+    number, base, undo = (_SECOND, _SECOND_BASE, _SECOND_UNDO) if second else (_NUMBER, _BASE, _UNDO)
+    up, down = np.full(len(data) + 1, base, np.uint64), np.full(len(data) + 1, undo, np.uint64)
     up[:1], down[:1] = 1, 1
     up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
     run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_NUMBER[data] * up[:-1], out=run[1:])
+    np.cumsum(number[data] * up[:-1], out=run[1:])
     return mix((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
@@ -112,27 +122,44 @@ def _unpress(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _order_of(ids: list) -> np.ndarray:
+    """Ids as numbers, those that are null last."""
+    return np.array([LAST if i is None else i for i in ids], np.int64)
+
+
+def _own_pairs(row: dict, average: int, least: int):
+    """Of a pack: its texts, their chunks (begin, end, of), the pairs (a, b), and of the
+    distinct pairs the two digests and the number of the first, by id and position."""
+    raws = unpack(row["data"], row["sizes"])
+    begin, end, of = _chunks(raws, average)
+    a, b = _pairs(begin, end, of, least)
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    one, two = (span_hashes(data, begin[a], end[b], second) for second in (False, True))
+    order = np.lexsort((np.arange(len(a)), _order_of(row["ids"])[of[a]], two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    return raws, begin, end, of, a, b, one, two, order[new]
+
+
 def _digests(average: int, least: int, buckets: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                raws = unpack(r["data"], r["sizes"])
-                begin, end, of = _chunks(raws, average)
-                a, b = _pairs(begin, end, of, least)
-                if not len(a):
+                _, _, _, of, a, _, one, two, first = _own_pairs(r, average, least)
+                if not len(first):
                     continue
-                keys = span_hashes(np.frombuffer(b"".join(raws), np.uint8), begin[a], end[b])
-                ids = np.array(r["ids"], np.int64)[of[a]]
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
+                first = np.sort(first)
+                ids = _order_of(r["ids"])[of[a]]
+                bucket = (one[first] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 for x, y in zip(cuts, [*cuts[1:], len(order)]):
-                    own = order[x:y]
+                    own = first[order[x:y]]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([int(bucket[own[0]])], pa.int64()),
+                            pa.array([int(bucket[order[x]])], pa.int64()),
                             pa.array([r["pack"]], pa.int64()),
-                            pa.array([keys[own].tobytes()], pa.binary()),
+                            pa.array([one[own].tobytes() + two[own].tobytes()], pa.binary()),
                             pa.array([_press(np.diff(ids[own], prepend=0))], pa.binary()),
                             pa.array([_press(np.diff(own, prepend=0).astype(np.uint32))], pa.binary()),
                         ],
@@ -143,16 +170,18 @@ def _digests(average: int, least: int, buckets: int):
 
 
 def _repeats(table):
+    """Of the pairs that packs have sent to a bucket, those that come later than an equal one."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    keys = [np.frombuffer(r["keys"], np.uint64).reshape(2, -1) for r in rows]
     ids = np.concatenate([np.cumsum(_unpress(r["ids"], np.int64)) for r in rows])
     nth = np.concatenate([np.cumsum(_unpress(r["nth"], np.uint32)) for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    keys = np.concatenate(keys)
-    order = np.lexsort((nth, ids, keys))
-    again = np.zeros(len(keys), bool)
-    again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-    out = [nth[again & (of == i)].astype(np.uint32) for i in range(len(rows))]
+    bounds = np.cumsum([0, *(k.shape[1] for k in keys)])
+    one, two = np.concatenate(keys, axis=1)
+    # Packs that hold rows of one id are told apart by their place in the bucket.
+    order = np.lexsort((np.arange(len(one)), nth, ids, two, one))
+    again = np.zeros(len(one), bool)
+    again[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    out = [nth[a:b][again[a:b]].astype(np.uint32) for a, b in zip(bounds, bounds[1:])]
     return pa.table(
         {
             "pack": table.column("pack"),
@@ -175,14 +204,16 @@ def _cut_out(average: int, least: int):
         for table in key_runs(batches, ["pack"]):
             rows = table.select(["nth", "ids", "sizes", "data"]).to_pylist()
             (own,) = [r for r in rows if r["ids"] is not None]
-            raws = unpack(own["data"], own["sizes"])
-            begin, end, of = _chunks(raws, average)
-            a, b = _pairs(begin, end, of, least)
-            bad = np.zeros(len(begin), bool)
+            raws, begin, end, of, a, b, _, _, first = _own_pairs(own, average, least)
+            # Repeats are the pairs that come later in the pack, and the first ones that
+            # other packs have earlier.
+            repeat = np.ones(len(a), bool)
+            repeat[first] = False
             for r in rows:
                 if r["nth"] is not None:
-                    marked = np.cumsum(_unpress(r["nth"], np.uint32))
-                    bad[a[marked]] = bad[b[marked]] = True
+                    repeat[np.cumsum(_unpress(r["nth"], np.uint32))] = True
+            bad = np.zeros(len(begin), bool)
+            bad[a[repeat]] = bad[b[repeat]] = True
             # Runs of repeats within a text.
             new = np.ones(len(bad), bool)
             new[1:] = (bad[1:] != bad[:-1]) | (of[1:] != of[:-1])
@@ -217,11 +248,12 @@ def dedup_substrings(
     """One row for each row of ``docs``: its id, n_bytes, n_chunks, spans (byte
     offsets removed) and text, what is left.
 
-    Null and empty texts have no chunks. Spans never split a character. Ids should
-    be unique; rows with a null id are left out. Extra columns are not looked at; an
-    empty table gives no rows.
+    Null and empty texts have no chunks. Spans never split a character. Rows of one
+    id, or of none, are rows of their own; rows without an id come last where the first
+    of equal pairs stays, and which of several rows of one id has it is not said. Extra
+    columns are not looked at; an empty table gives no rows.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     packs = keep(texts.mapInArrow(pack_rows(), PACK_SCHEMA), "cdc-packs")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, -(-chars // BUCKET_CHARS))

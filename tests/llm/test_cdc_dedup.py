@@ -43,3 +43,61 @@ def test_shifts(spark):
 
 def test_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute(data, average=16, least=128):
+    """The rules one after another, on bytes: no digests, no packs."""
+    from folioflow.llm.gear import _GEAR
+
+    raws = {i: (t or "").encode() for i, t in data}
+    chunks = {}
+    for i, raw in raws.items():
+        ends = [n + 1 for n in range(len(raw)) if sum(int(_GEAR[raw[n - k]]) << k for k in range(min(16, n + 1))) % 65536 < 65536 // average]
+        ends = sorted({*ends, len(raw)} - {0})
+        chunks[i] = list(zip([0, *ends[:-1]], ends)) if raw else []
+    pairs = {}
+    for i in sorted(chunks):
+        own = chunks[i]
+        both = [(k, k + 1) for k in range(len(own) - 1)] or [(0, 0) for a, b in own if b - a >= least]
+        for a, b in both:
+            pairs.setdefault(raws[i][own[a][0] : own[b][1]], []).append((i, a, b))
+    bad = {i: set() for i in raws}
+    for places in pairs.values():
+        for i, a, b in sorted(places)[1:]:
+            bad[i] |= {a, b}
+    out = {}
+    for i, own in chunks.items():
+        spans, k = [], 0
+        while k < len(own):
+            m = k
+            while m < len(own) and m in bad[i]:
+                m += 1
+            if m > k and own[m - 1][1] - own[k][0] >= least:
+                a, b, raw = own[k][0], own[m - 1][1], raws[i]
+                while a < b and raw[a] & 0xC0 == 0x80:
+                    a += 1
+                while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+                    b -= 1
+                spans.append((a, b))
+            k = max(m, k + 1)
+        out[i] = spans
+    return out
+
+
+def test_brute_force(spark):
+    data, _ = rows()
+    rng = random.Random(6)
+    data = data + [(200 + k, data[rng.randrange(60)][1][: rng.randint(50, 900)] + data[rng.randrange(90)][1]) for k in range(40)]
+    want = brute(data)
+    got = dedup_substrings(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in got} == want
+
+
+def test_repeated_and_missing_ids(spark):
+    """Every row is there; of a text in many rows one keeps it, one with an id if any has."""
+    data, passage = rows()
+    many = [(None, passage), (None, passage), (5, passage), (5, passage), (7, passage), (None, None)]
+    got = dedup_substrings(spark.createDataFrame(many, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in many)
+    whole = [r.doc_id for r in got if r.text and not r.spans]
+    assert whole == [5]
