@@ -7,6 +7,8 @@ Rows are combined three times, each time by digest *and* full content:
    tasks;
 3. per digest over the salt winners, at most ``salts`` rows for each text.
 
+Rows meet their winner by digest; those of hot digests are salted there too.
+
 No step compares digests alone, so two texts that share a digest stay apart.
 """
 
@@ -17,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import SPACES, keep, text_or_empty
+from .tasks import SPACES, hot_join, keep, text_or_empty
 
 SALTS = 16
 
@@ -75,7 +77,8 @@ def duplicate_groups(
     )
     winners = keep(winners, "exact-winners")
     plain, clash = winners.where(~F.col("__clash")), winners.where("__clash")
-    out = rows.drop("__t").join(plain, "__d").select("__id", "__keep", "__n", "__sha")
+    # A text with very many copies is a hot key of this join too.
+    out = hot_join(rows.drop("__t"), plain, ["__d"], "__n").where("__n is not null").select("__id", "__keep", "__n", "__sha")
     if not clash.isEmpty():
         both = rows.join(clash, (rows["__d"] == clash["__d"]) & (rows["__t"] == clash["__w"]))
         out = out.unionByName(both.select("__id", "__keep", "__n", "__sha"))

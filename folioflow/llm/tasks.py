@@ -59,8 +59,13 @@ def discard(*tables: DataFrame) -> None:
             jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
             path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of jobs whose results are written."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> DataFrame:
