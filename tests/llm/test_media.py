@@ -58,3 +58,16 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id, r.media_sha256) for r in stored_features(df).collect())
     assert got == sorted((i, hashlib.sha256(to_media((t or "").encode())).hexdigest()) for i, t in rows)
+
+
+def test_hot_chunk_null_ids_and_repeats_inside_texts(spark):
+    """Nine of ten rows hold one long passage; it is stored once, with or without ids."""
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choices("abcdefgh \n", k=n))
+    hot = say(60_000)
+    rows = [(i if i % 9 else None, (hot if i % 10 else "") + say(50)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((str(r.doc_id), r.media_sha256) for r in stored_features(df).collect()))
+    assert got == sorted((str(i), hashlib.sha256(to_media(t.encode())).hexdigest()) for i, t in rows)
+    store, recipes, _ = chunk_store(df)
+    assert store.count() < 0.4 * recipes.count()
