@@ -29,7 +29,7 @@ LENGTH = 400
 AVERAGE = 32
 #: Bytes of text in a pack and of regions in a pack; strings that start in one piece.
 TEXT_BYTES = 2 << 20
-REGION_BYTES = 2 << 20
+REGION_BYTES = 1 << 20
 PIECE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
