@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 # Sites that count as academic, and publishers that count as reputable.
 ACADEMIC_DOMAINS = (
-    "arxiv.org science.org nature.com springer.com ieee.org ieeexplore.ieee.org acm.org dl.acm.org "
-    "sciencedirect.com wiley.com onlinelibrary.wiley.com plos.org cell.com pnas.org oup.com academic.oup.com "
-    "tandfonline.com mdpi.com frontiersin.org biorxiv.org medrxiv.org pubmed.ncbi.nlm.nih.gov researchgate.net"
-).split()
+    "arxiv.org", "science.org", "nature.com", "springer.com", "ieee.org", "ieeexplore.ieee.org", "acm.org",
+    "dl.acm.org", "sciencedirect.com", "wiley.com", "onlinelibrary.wiley.com", "plos.org", "cell.com",
+    "pnas.org", "oup.com", "academic.oup.com", "tandfonline.com", "mdpi.com", "frontiersin.org",
+    "biorxiv.org", "medrxiv.org", "pubmed.ncbi.nlm.nih.gov", "researchgate.net",
+)
 REPUTABLE_PUBLISHERS = (
-    "nature.com science.org sciencedirect.com ieeexplore.ieee.org pnas.org nejm.org thelancet.com cell.com "
-    "jamanetwork.com arxiv.org springer.com wiley.com"
-).split()
+    "nature.com", "science.org", "sciencedirect.com", "ieeexplore.ieee.org", "pnas.org", "nejm.org",
+    "thelancet.com", "cell.com", "jamanetwork.com", "arxiv.org", "springer.com", "wiley.com",
+)
 
 # Phrases that mark boilerplate chunks.
 BOILERPLATE = (
@@ -47,6 +48,8 @@ METHODS = (
 )
 REFERENCES = r"references|bibliography|works\s+cited|literature\s+cited"
 CAPTION = r"^(?i:Figure|Fig\.)\s*\d+\s*[.|:]"
+NUMBERED_CAPTION = r"(?i)^(Figure|Fig\.)\s*\d+\b"
+FIRST_CAPTION = r"(?i)^(Figure|Fig\.)\s*1\b"
 PANEL = r"^(\([A-Z](\s*([-–]|and|to)\s*[A-Z])?\)\s|[a-z],\s)"
 CITED = r"\[(\d+(?:,\s*\d+)*)\]"
 
@@ -99,6 +102,15 @@ def is_caption(c: Column) -> Column:
     return trimmed(c).rlike(CAPTION)
 
 
+def is_numbered_caption(c: Column) -> Column:
+    """A caption of a figure, whatever follows its number."""
+    return trimmed(c).rlike(NUMBERED_CAPTION)
+
+
+def is_first_caption(c: Column) -> Column:
+    return trimmed(c).rlike(FIRST_CAPTION)
+
+
 def is_panel(c: Column) -> Column:
     return trimmed(c).rlike(PANEL)
 
@@ -223,6 +235,57 @@ def closed_thinking(c: Column) -> Column:
     return F.when(c.contains("<think>") & ~c.contains("</think>"), F.concat(c, F.lit("</think> <a> </a>"))).otherwise(c)
 
 
+def math_tags(c: Column) -> Column:
+    """Formulas between $$ signs, then those between single ones on a line, as tags that
+    hold them in Base64 (of UTF-8), so that no Markdown rule reads them."""
+
+    def tagged(c, pattern, name, keep_blank):
+        gaps = F.split(c, pattern, -1)
+        inner = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+        said = lambda m: F.concat(F.lit(f'<{name} data-latex="'), F.base64(F.encode(trimmed(m), "UTF-8")), F.lit('">.</' + name + ">"))
+        tags = F.transform(inner, lambda m: F.when(trimmed(m) == "", F.concat(F.lit("$"), m, F.lit("$"))).otherwise(said(m)) if keep_blank else said(m))
+        return F.array_join(F.zip_with(gaps, F.concat(tags, F.array(F.lit(""))), lambda g, t: F.concat(g, t)), "")
+
+    return tagged(tagged(c, r"\$\$([\s\S]+?)\$\$", "mathblock", False), r"(?<!\$|\\)\$([^\n$]+?)\$(?!\$)", "mathinline", True)
+
+
+def numbered_sources(titles: Column, scores: Column, contents: Column) -> Column:
+    """One line for each source: its number, title, score with three digits where it
+    has one, and content."""
+    rows = F.arrays_zip(titles.alias("t"), scores.alias("s"), contents.alias("c"))
+    score = lambda s: F.coalesce(F.concat(F.lit(" [score: "), F.format_string("%.3f", s), F.lit("]")), F.lit(""))
+    return F.array_join(F.transform(rows, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["t"], F.when(r["s"].isNull(), "").otherwise(score(r["s"])), F.lit(" "), r["c"])), "\n")
+
+
+def json_list(c: Column) -> Column:
+    """The numbers of a JSON list, without the fences that may stand around it; null
+    for what is no list."""
+    bare = trimmed(F.regexp_replace(c, "(?i)```json|```", ""))
+    return F.when(bare.startswith("["), F.from_json(F.when(F.try_parse_json(bare).isNotNull(), bare), "array<long>"))
+
+
+def settings_key(*settings: Column) -> Column:
+    """Settings in their order as JSON text, those that are null left out."""
+    return F.to_json(F.struct(*settings), {"ignoreNullFields": "true"})
+
+
+# Parts of names that tell what a model is for.
+EMBEDDING_HINTS = ("embedding", "embed", "vector", "text-embed")
+OCR_HINTS = ("ocr", "vision", "paddle")
+
+
+def capabilities(name: Column, families: Column, chat: Column | None = None, embedding: Column | None = None, ocr: Column | None = None) -> Column:
+    """struct(chat, embedding, ocr) of a model by its name, its families and what is
+    configured (true where it is)."""
+    names = F.transform(F.concat(F.array(F.coalesce(name, F.lit(""))), F.coalesce(families, F.array().cast("array<string>"))), lambda x: F.lower(F.coalesce(x, F.lit(""))))
+    hinted = lambda hints: F.exists(names, lambda x: sum((x.contains(h).cast("int") for h in hints), F.lit(0)) > 0)
+    is_embedding, is_ocr = hinted(EMBEDDING_HINTS), hinted(OCR_HINTS)
+    on = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    return F.struct(
+        (on(chat) | (~is_embedding & ~is_ocr)).alias("chat"), (on(embedding) | is_embedding).alias("embedding"), (on(ocr) | is_ocr).alias("ocr")
+    )
+
+
 def output_of(c: Column) -> Column:
     """What stands between the first output tag and the next end tag; empty without."""
     return F.regexp_extract(c, "(?s)<output>(.*?)</output>", 1)

@@ -11,6 +11,23 @@ def js_round(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+def one_digit(c: Column) -> Column:
+    """A number from 0 on with one digit after the point. The exact binary value is
+    rounded, halves up, so 358.65, which is stored as a bit less, gives 358.6.
+
+    The fraction is split in two parts of few bits, so that twenty times either is
+    exact and no rounding of its own can move a value over a half.
+    """
+    c = c.cast("double")
+    whole = F.floor(c)
+    part = c - whole
+    high = F.floor(part * 67_108_864) / 67_108_864
+    low = part - high
+    tenths = sum((F.when((high * 20 - (2 * k + 1)) + low * 20 >= 0, 1).otherwise(0) for k in range(10)), F.lit(0))
+    total = whole * 10 + tenths
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), F.pmod(total, F.lit(10)).cast("string"))
+
+
 def clamp(c: Column, low, high) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
@@ -33,28 +50,28 @@ def badge(score: Column, high: int, low: int) -> Column:
 
 
 def size_text(gb: Column) -> Column:
-    return F.when(gb >= 1, F.format_string("%.1f GB", gb)).when(gb > 0, F.format_string("%.0f MB", gb * 1024))
+    return F.when(gb >= 1, F.concat(one_digit(gb), F.lit(" GB"))).when(gb > 0, F.concat(js_round(gb * 1024).cast("string"), F.lit(" MB")))
 
 
 def count_text(n: Column, thousands: bool = True) -> Column:
     """A count in millions or thousands with one digit after the point."""
-    out = F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000))
+    out = F.when(n >= 1_000_000, F.concat(one_digit(n / 1_000_000), F.lit("M")))
     if thousands:
-        out = out.when(n >= 1_000, F.format_string("%.1fK", n / 1_000))
+        out = out.when(n >= 1_000, F.concat(one_digit(n / 1_000), F.lit("K")))
     return out.otherwise(n.cast("string"))
 
 
 def parameter_text(n: Column) -> Column:
     return (
-        F.when(n >= 1_000_000_000, F.format_string("%.1fB", n / 1_000_000_000))
-        .when(n >= 1_000_000, F.format_string("%.0fM", n / 1_000_000))
+        F.when(n >= 1_000_000_000, F.concat(one_digit(n / 1_000_000_000), F.lit("B")))
+        .when(n >= 1_000_000, F.concat(js_round(n / 1_000_000).cast("string"), F.lit("M")))
         .when(n > 0, F.format_number(n, 0))
     )
 
 
 def context_text(n: Column) -> Column:
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000))
+        F.when(n >= 1_000_000, F.concat(one_digit(n / 1_000_000), F.lit("M")))
         .when(n >= 1_000, F.concat(js_round(n / 1_000).cast("string"), F.lit("K")))
         .when(n > 0, n.cast("string"))
     )

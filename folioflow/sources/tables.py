@@ -6,6 +6,7 @@ to the table that replaces them; ``swap`` writes it beside the old one.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write once to the folder in spark.checkpoint.dir (a temporary one of our own
-    where none is set) and read back: cuts the lineage and outlives executors."""
+    """Write once to the folder in spark.checkpoint.dir and read back: cuts the lineage
+    and outlives executors. Where it is unset, a local master gets a temporary folder;
+    on a cluster that is an error, as executors share no disk."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"

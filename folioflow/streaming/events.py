@@ -14,11 +14,14 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 GAP = "500 milliseconds"
 # File kinds that a watcher reports, and folders that it ignores.
-WATCHED = ".md .mdx .markdown .txt .text .json .jsonc .json5 .yaml .yml .toml .xml .xhtml .svg .csv .tsv .pdf".split()
+WATCHED = (
+    ".md", ".mdx", ".markdown", ".txt", ".text", ".json", ".jsonc", ".json5", ".yaml", ".yml", ".toml",
+    ".xml", ".xhtml", ".svg", ".csv", ".tsv", ".pdf",
+)
 IGNORED = (
-    "node_modules .git .svn .hg dist build out .next .nuxt .output coverage __pycache__ .pytest_cache .mypy_cache "
-    "venv .venv env .env vendor target .idea .vscode"
-).split()
+    "node_modules", ".git", ".svn", ".hg", "dist", "build", "out", ".next", ".nuxt", ".output", "coverage",
+    "__pycache__", ".pytest_cache", ".mypy_cache", "venv", ".venv", "env", ".env", "vendor", "target", ".idea", ".vscode",
+)
 
 
 def timed(events: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -41,25 +44,13 @@ def debounced(events: DataFrame, folder: str = "folder", path: str = "path", gap
     """(folder, from, to, n_paths, changes): events of a folder in batches that a pause
     of at least the gap ends; of a path the last change counts."""
     session = F.session_window("ts", gap)
-    change = F.struct("ts", "event_id", F.col("type"))
-    return (
-        events.groupBy(session.alias("w"), F.col(folder))
-        .agg(F.collect_list(F.struct(F.col(path).alias("path"), change.alias("c"))).alias("all"))
-        .select(
-            folder,
-            F.col("w.start").alias("from"),
-            F.col("w.end").alias("to"),
-            F.array_sort(F.array_distinct(F.transform("all", lambda x: x["path"]))).alias("paths"),
-            "all",
-        )
-        .select(
-            folder, "from", "to", F.size("paths").cast("long").alias("n_paths"),
-            F.transform(
-                "paths",
-                lambda p: F.concat(p, F.lit("="), F.array_max(F.transform(F.filter("all", lambda x: x["path"] == p), lambda x: x["c"]))["type"]),
-            ).alias("changes"),
-        )
-    )
+    change = F.struct(F.col(path).alias("path"), "ts", "event_id", F.col("type"))
+    # Changes in the order of their paths; of each path the last one stays.
+    rows = events.groupBy(session.alias("w"), F.col(folder)).agg(F.array_sort(F.collect_list(change)).alias("all"))
+    last = F.filter("all", lambda x, i: F.coalesce(F.get("all", i + 1)["path"] != x["path"], F.lit(True)))
+    rows = rows.select(folder, F.col("w.start").alias("from"), F.col("w.end").alias("to"), last.alias("last"))
+    said = F.transform("last", lambda x: F.concat(x["path"], F.lit("="), x["type"]))
+    return rows.select(folder, "from", "to", F.size("last").cast("long").alias("n_paths"), said.alias("changes"))
 
 
 def progress(patches: DataFrame, key: str, fields: list[str], at: str = "ts") -> DataFrame:
@@ -110,6 +101,48 @@ def safe_output(parts: DataFrame, key: str = "key", begin: str = "<output>", end
     )
 
 
+def complete_lines(parts: DataFrame, key: str = "key") -> DataFrame:
+    """(key, nth, line): of a stream of parts (key, seq, part), which may end anywhere,
+    the lines that are not blank, each as soon as its end is there. State is one
+    unfinished line a key."""
+
+    def run(k, batches, state):
+        buffer, nth = state.get if state.exists else ("", 0)
+        out = []
+        for part in pd.concat(list(batches)).sort_values("seq")["part"]:
+            *whole, buffer = (buffer + (part or "")).split("\n")
+            for line in whole:
+                if line.strip():
+                    out.append((k[0], nth, line))
+                    nth += 1
+        state.update((buffer, nth))
+        yield pd.DataFrame(out, columns=["key", "nth", "line"])
+
+    return parts.select(F.col(key).alias("key"), "seq", "part").groupBy("key").applyInPandasWithState(
+        run, "key string, nth long, line string", "buffer string, nth long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def lines_of(parts: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """(key, nth, line): the same of a table of all parts."""
+    whole = gathered(parts, key, text, order)
+    lines = F.filter(F.split("message", "\n"), lambda x: F.trim(x) != "")
+    return whole.select(key, F.posexplode(lines).alias("nth", "line")).withColumn("nth", F.col("nth").cast("long"))
+
+
+def polled(local: DataFrame, fresh: DataFrame, key: str, is_temporary: Column) -> DataFrame:
+    """A list after a poll: temporary rows stay as they are, others take the polled values
+    or go where the poll lacks them, and what is new comes in."""
+    stay = local.where(is_temporary)
+    return stay.unionByName(fresh.join(stay.select(key), key, "left_anti").select(*local.columns))
+
+
+def merge_every(fresh: DataFrame, merge, checkpoint: str, seconds: int = 5):
+    """A started query that hands the rows of each poll of ``fresh`` to ``merge(rows,
+    batch_id)``, as ``polled`` wants them."""
+    return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def to_ndjson(rows: DataFrame, path: str, checkpoint: str):
     """A started query that writes each row as a line of JSON."""
     lines = rows.select(F.to_json(F.struct("*")).alias("value"))
