@@ -135,8 +135,15 @@ def _address(key, v):
 
 
 def _phone(key, v):
+    # Area and exchange from 200 on are in use; a number stays in use, or out of it.
     d = F.substring(_digits(v), -10, 10)
-    p = permute_pair(key, "phone", F.substring(d, 1, 3), F.substring(d, 4, 7), 1000, 10_000_000)
+    area, rest = F.substring(d, 1, 3).cast("int"), F.substring(d, 4, 7).cast("int")
+    sets = ((area < 200, 0, 0, 200, 10_000_000), (rest < 2_000_000, 200, 0, 800, 2_000_000), (F.lit(True), 200, 2_000_000, 800, 8_000_000))
+    p = None
+    for fits, a, r, m, n in reversed(sets):
+        own = permute_pair(key, "phone", area - a, rest - r, m, n)
+        own = F.struct((own["l"] + a).alias("l"), (own["r"] + r).alias("r"))
+        p = own if p is None else F.when(fits, own).otherwise(p)
     country = F.when(v.startswith("+1"), "1").otherwise("")
     return F.lit(True), _into(v, F.concat(country, _pad(p["l"], 3), _pad(p["r"], 7)))
 
