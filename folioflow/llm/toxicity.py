@@ -11,6 +11,8 @@ of matches for the text's length.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -32,11 +34,14 @@ STARTS = (4, 5, 6)
 
 # Pairs of a look-alike letter and its Latin one (Cyrillic, then
 # Greek, then Latin letters that no decomposition reaches).
-_ALIKE = dict(
-    "аa вb еe кk мm нh оo рp сc тt уy хx іi јj ѕs һh ԁd ґr пn гr зz дd лl бb иu "
-    "αa βb εe ιi κk νv οo ρp τt υu χx γy ηn ωw σo "
-    "ıi łl øo đd ħh ɡg ſs".split()
-)
+_ALIKE = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c",
+    "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ґ": "r",
+    "п": "n", "г": "r", "з": "z", "д": "d", "л": "l", "б": "b", "и": "u", "α": "a", "β": "b",
+    "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+    "γ": "y", "η": "n", "ω": "w", "σ": "o", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h",
+    "ɡ": "g", "ſ": "s",
+}
 # Digits and signs that stand for letters inside words.
 _SIGNS = str.maketrans("0134578@$", "oieastbas")
 _ALIKE = {ord(k): v for k, v in _ALIKE.items()}
@@ -88,7 +93,10 @@ def matches(automaton, folded: str) -> list[tuple[str, float, int, int]]:
     for last, (term, weight) in automaton.iter(folded):
         (spans if weight is None else found).append((term, weight, last + 1 - len(term), last + 1))
     if spans:
-        found = [m for m in found if not any(s[2] <= m[2] and m[3] <= s[3] for s in spans)]
+        # Of the spans that start no later than a match, the one that reaches furthest tells.
+        spans.sort(key=lambda s: s[2])
+        starts, furthest = [s[2] for s in spans], list(itertools.accumulate((s[3] for s in spans), max))
+        found = [m for m in found if not (k := bisect.bisect_right(starts, m[2])) or furthest[k - 1] < m[3]]
     return found
 
 

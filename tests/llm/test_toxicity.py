@@ -46,3 +46,40 @@ def test_fold_and_exceptions():
     assert [m[0] for m in matches(a, fold("the trash can and TRASH loweix"))] == [" trash ", " lowei"]
     assert features(a, "trash can") == (0.0, 0.0)
     assert features(a, "trash a b")[1] > features(a, "trash " + "a " * 50)[1]
+
+
+def test_brute_force(spark):
+    """Scores of a lexicon by plain search in place of the automaton."""
+    import math
+
+    rng = random.Random(4)
+    words = ["bad", "badger", "worse", "worst", "fine", "so", "can", "é", "b4d", "WORSE"]
+    lex = Lexicon({" bad ": 3.0, " badg": 2.0, " wors": 4.5, " worst ": 6.0}, [" so bad ", " worst can ", " fine badger "], -4.0, 1.1, 0.7)
+    rows = [(i, rng.choice([" ", "  ", "\n", ". "]).join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(300)] + [(900, None), (901, "bad " * 20_000)]
+
+    def plain(text):
+        t = fold(text or "")
+        places = lambda s: [(p, p + len(s)) for p in range(len(t)) if t.startswith(s, p)] if len(t) < 5000 else [(m.start(), m.start() + len(s)) for m in __import__("re").finditer(f"(?={s})", t)]
+        out = [x for s in lex.exceptions for x in places(s)]
+        at = {}
+        for term, w in lex.weights.items():
+            for a, b in places(term):
+                if not any(x <= a and b <= y for x, y in out):
+                    at[a] = max(w, at.get(a, 0.0))
+        if not at:
+            return 1 / (1 + math.exp(-lex.bias))
+        return 1 / (1 + math.exp(-(lex.bias + lex.heaviest * max(at.values()) + lex.density * sum(at.values()) / t.count(" ") ** 0.5)))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in score(df, lex).collect():
+        assert abs(r.score - min(1.0, plain(dict(rows)[r.doc_id]))) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_repeated_rows_ties_and_long_texts(spark):
+    rows, labels = corpus()
+    rows = [*rows, rows[0], (None, rows[0][1]), (None, None), (7000, "grumpol can " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labs = spark.createDataFrame([*labels, (0, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = scored_documents(docs, labs).collect()
+    assert len(got) == len(rows) and {r.predicted for r in got if r.doc_id == 0} == {1} and [r.predicted for r in got if r.doc_id == 7000] == [1]
+    assert sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
