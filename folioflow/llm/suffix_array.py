@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import discard, keep, key_runs, mix
+from .tasks import discard, free_shuffles, keep, key_runs, mix
 
 KEY_BYTES = 64
 #: Zero bytes after each string of a pack: a step of as many needs no test for its end.
@@ -445,6 +445,7 @@ def repeated_strings(packs: DataFrame, length: int) -> DataFrame:
         for r in sorted(answers.select("bucket", "many").distinct().collect()):  # one number for each bucket
             before[r["bucket"]] = total
             total += r["many"]
+        free_shuffles(passed.sparkSession)  # the slices, which are many
         return answers, before
 
     symbols: dict[int, DataFrame] = {}
