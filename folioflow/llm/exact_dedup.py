@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tasks import SPACES, hot_join, keep, text_or_empty
@@ -92,7 +92,13 @@ def duplicate_groups(
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are not the first of their group, all
-    columns as they were."""
-    won = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__won"))
-    return docs.join(won, F.col(id_col).eqNullSafe(F.col("__won")), "left_semi")
+    """``docs`` without the rows that are not the first of their group, all columns as
+    they were. Of rows of one id and one text, or without an id, one stays; rows of one
+    id and other texts are judged each by its own."""
+    key = lambda sha: F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), sha)
+    won = duplicate_groups(docs, id_col, text_col).where("kept").select(key(F.col("text_sha256")).alias("__won"))
+    rows = docs.withColumn("__key", key(F.sha2(normalised(text_col), 256)))
+    rows = rows.join(won, F.col("__key") == F.col("__won"), "left_semi")
+    # Rows of a key are together already: the window moves none.
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__key", "__nth")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .tasks import keep, text_or_empty
 
@@ -220,6 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return lexicon
 
 
+def _scores(lexicon: Lexicon, rows: list[tuple[float, float]]) -> np.ndarray:
+    z = [lexicon.bias + lexicon.heaviest * a + lexicon.density * b for a, b in rows]
+    return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -40, 40)))
+
+
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) and predicted of each row of ``docs``. Null and empty texts match nothing. Only the text is looked at;
     the lexicon, of bounded size, goes to each task."""
@@ -228,9 +234,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
         automaton = lexicon.automaton()
         for batch in batches:
             rows = [features(automaton, t) for t in batch.column("text").to_pylist()]
-            z = [lexicon.bias + lexicon.heaviest * a + lexicon.density * b for a, b in rows]
-            s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(lexicon, rows))], ["id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     scored = texts.mapInArrow(run, "id long, score double")
@@ -249,6 +253,17 @@ def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic, all columns as they were."""
-    bad = scored_documents(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    """``docs`` without those predicted toxic, all columns as they were. Each row is
+    judged by its own text, whatever its id; rows never move."""
+    lexicon = fit(docs, labels.where(~held_out()))
+    names = [f.name for f in docs.schema.fields]
+
+    def run(batches):
+        automaton = lexicon.automaton()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            s = _scores(lexicon, [features(automaton, t) for t in texts])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s < 0.5)], [*names, "__stays"])
+
+    kept = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__stays", BooleanType())]))
+    return kept.where("__stays").drop("__stays")

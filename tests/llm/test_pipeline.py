@@ -42,3 +42,43 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     assert corpus_pipeline.run(spark, d).collect() == []
+
+
+def test_missing_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Every row is judged by itself; columns of any name go through all stages."""
+    import collections
+
+    import corpus_pipeline
+    from folioflow.llm.tasks import keep
+
+    rng = random.Random(21)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lm", "rt", "n")]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    a, b, c = say(60), say(60), say(60)
+    rows = [(i, say(60), f"s{i % 2}") for i in range(100, 220)]
+    rows += [(1, a, "s0"), (1, a, "s0"), (1, b, "s0"), (2, b, "s1"), (None, c, "s1"), (None, c, "s1"), (3, say(30) + " grumpol", "s0"), (3, c + " x y", "s0"), (None, say(30) + " grumpol", None), (None, None, None)]
+    rows += [(400 + i, say(30) + " grumpol", "s0") for i in range(40)]
+    extra = "ids string, score double, kept int, component_id string, id int, n long, taken int, rep string"
+    data = [(i, t, "en", s, 0, f"x{k}", 0.5, 1, "c", k, 7, 2, None) for k, (i, t, s) in enumerate(rows)]
+    d = str(tmp_path)
+    spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(3).write.parquet(f"{d}/documents.parquet")
+    labels = [(i, 0) for i in range(100, 220)] + [(i, 1) for i in range(400, 432)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{d}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = keep(stage(spark, docs, d), name)
+        assert len(docs.columns) == 5 + 8
+        seen[name] = sorted((str(r.doc_id), r.text or "", r.ids) for r in docs.collect())
+    clean = [x for x in rows if "grumpol" not in (x[1] or "")]
+    assert [x[:2] for x in seen["toxicity"]] == sorted((str(i), t or "") for i, t, _ in clean)
+    # One row of (1, a); b stays with id 1, the smaller; one of the rows without an id.
+    first = [(1, a), (1, b), (None, c), (3, c + " x y"), (None, None), *((i, t) for i, t, _ in rows[:120])]
+    assert [x[:2] for x in seen["exact_dedup"]] == sorted((str(i), t or "") for i, t in first)
+    # What has no id stays; 3 is a near copy of c, which names no smaller id.
+    assert [x[:2] for x in seen["near_dedup"]] == sorted((str(i), t or "") for i, t in first)
+    out = docs.collect()
+    words_of = collections.Counter()
+    for r in out:
+        words_of[r.source] += len((r.text or "").split())
+    assert abs(words_of["s0"] + words_of["s1"] - 1.5 * sum(len((t or "").split()) for _, t in first)) <= 64
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == len(out)
