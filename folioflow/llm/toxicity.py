@@ -56,8 +56,9 @@ def fold(text: str) -> str:
     t = text.lower()
     if not t.isascii():
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t)).lower().translate(_ALIKE)
-    t = _MIXED.sub(lambda m: m[0].translate(_SIGNS), t)
-    return f" {_REST.sub(' ', t).strip()} "
+    # Words of letters alone, most of them, need no look at signs.
+    words = (w if w.isalpha() else _REST.sub(" ", _MIXED.sub(lambda m: m[0].translate(_SIGNS), w)).strip() for w in t.split())
+    return f" {' '.join(filter(None, words))} "
 
 
 def _terms(folded: str) -> set[str]:
