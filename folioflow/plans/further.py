@@ -10,7 +10,6 @@ from ..operators import documents as D
 from ..operators import graph, search
 from ..operators import references as R
 from ..sources import ocr
-from ..sources import tables as T
 from ..streaming import events as E
 from .registry import query
 from .research import COS, EDGES, SEED, blocks, edges, first_vector, reference_blocks, vectors
@@ -206,7 +205,7 @@ UNION ALL SELECT 3, 'Found ' || count(*) || ' citations.', NULL, NULL FROM c
 UNION ALL SELECT 4, 'Processing, (' || count(*) || ' papers)...', 2, 1 FROM l1s
 UNION ALL SELECT 4, 'Processing, (' || count(*) || ' papers)...', 2, 2 FROM l2""")
 def _(t):
-    e = T.keep(edges(t))
+    e = edges(t)
     return graph.progress_rows(e, graph.layers(e, SEED, 2, None), SEED, 2)
 
 

@@ -13,6 +13,7 @@ from ..functions.vectors import cosine, from_blob, strict_cosine, to_blob
 from ..operators import documents as D
 from ..operators import fusion, graph, search
 from ..operators import references as R
+from ..sources.tables import keep
 from ..streaming import events as E
 from .registry import query
 
@@ -147,9 +148,10 @@ SEED = 10
 
 
 def edges(t) -> DataFrame:
+    """Parts that cite one another, written once for all that a plan does with them."""
     a, b = (t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias(n)) for n in ("src", "dst"))
     b = b.withColumnRenamed("l_linenumber", "n")
-    return a.join(b, "l_orderkey").where("l_linenumber > n and src <> dst").select("src", "dst").distinct()
+    return keep(a.join(b, "l_orderkey").where("l_linenumber > n and src <> dst").select("src", "dst").distinct())
 
 
 def papers(t) -> DataFrame:
