@@ -154,3 +154,27 @@ def test_rounding_and_answers(spark):
     assert one(spark, X.json_list(F.lit("```JSON\n[3, 1]```"))) == [3, 1] and one(spark, X.json_list(F.lit('{"a": 1}'))) is None
     assert one(spark, X.settings_key(F.lit(3).alias("topN"), F.lit(None).cast("int").alias("x"))) == '{"topN":3}'
     assert tuple(one(spark, X.capabilities(F.lit("PaddleOCR-vl"), F.array(F.lit(None).cast("string"))))) == (False, False, True)
+
+
+def test_linked_citations(spark):
+    """Against the rule in plain Python, on random answers."""
+    import re
+
+    from folioflow.operators.fusion import linked_citations
+
+    rng = random.Random(8)
+    some = ["[1]", "[2, 3]", "![4]", "[x]", "[0]", "[9]", "[1,x, 2]", "word", " ", "[", "]", "[2a]", "[-1]"]
+    rows = [(i, "".join(rng.choices(some, k=rng.randint(0, 8))), [f"u{k}" for k in range(rng.randint(0, 4))]) for i in range(300)]
+
+    def plain(answer, urls):
+        def one(part):
+            m = re.match(r"[+-]?\d+", part)
+            n = int(m[0]) if m else 0
+            if n <= 0:
+                return f"[{part}]"
+            return f'<citation href="{urls[n - 1]}">{part}</citation>' if n <= len(urls) else ""
+
+        return re.sub(r"(?<!!)\[([^\]]+)\]", lambda m: "".join(one(p.strip()) for p in m[1].split(",")), answer)
+
+    got = {r.i: r.linked for r in linked_citations(spark.createDataFrame(rows, "i int, answer string, urls array<string>")).collect()}
+    assert got == {i: plain(a, u) for i, a, u in rows}
