@@ -178,3 +178,35 @@ def test_linked_citations(spark):
 
     got = {r.i: r.linked for r in linked_citations(spark.createDataFrame(rows, "i int, answer string, urls array<string>")).collect()}
     assert got == {i: plain(a, u) for i, a, u in rows}
+
+
+def test_sidecars_lines_and_sizes(spark, tmp_path):
+    pdfs = spark.createDataFrame([("/a/x.pdf",), ("/a/Y.PDF",), ("/a/z.pdf",)], "path string")
+    sides = spark.createDataFrame([("/a/x.ocr.json",), ("/a/Y.ocr.json",)], "path string")
+    assert sorted(r.path for r in ocr.with_sidecar(pdfs, sides).collect()) == ["/a/Y.PDF", "/a/x.pdf"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"a": 1, "b": "x"}\n{"a": 2}\n')
+    stream = spark.readStream.schema("a int, b string").json(str(tmp_path / "in"))
+    E.to_ndjson(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"a":1,"b":"x"}', '{"a":2}']
+    for n, want in ((7_250_000_000, "7.3B"), (350_500_000, "351M"), (1234, "1,234"), (0, None)):
+        assert one(spark, V.parameter_text(F.lit(n))) == want
+    for gb, want in ((4.65, "4.7 GB"), (1.05, "1.1 GB"), (0.25, "256 MB"), (0.0, None)):
+        assert one(spark, V.size_text(F.lit(gb))) == want
+
+
+def test_folders_thresholds_and_seeds(spark):
+    from folioflow.operators import graph, search
+
+    rows = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(12)], "id int, folder int, vector array<double>")
+    query = spark.createDataFrame([([3.0, 1.0],)], "query_vector array<double>")
+    assert [r.id for r in search.nearest_in(rows, query, 3).collect()] == [3, 2, 4]
+    assert [r.id for r in search.nearest_in(rows, query, 3, [0]).collect()] == [3, 0, 6]
+    scored = spark.createDataFrame([(1, 0.5, 0.1, 0.3), (2, 0.2, 0.4, 0.3), (3, 0.5, 0.4, 0.4)], "id int, bc double, cc double, score double")
+    assert [r.id for r in graph.ranked(scored, 10, 0.3, 0.2).collect()] == [3] and [r.id for r in graph.ranked(scored, 10).collect()] == [3, 1, 2]
+    papers = spark.createDataFrame([(1, None, "A title"), (2, "10.1/x", "Other"), (3, None, "a TITLE")], "id int, doi string, title string")
+    found = [[r.id for r in graph.resolve_seed(papers, d, t).collect()] for d, t in (("10.1/X", "a title"), (None, "a title"), ("10.9/z", "A Title"), ("", ""), ("10.9/z", None))]
+    assert found == [[2], [1], [1], [], []]
+    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (2, 5)], "src int, dst int")
+    steps = [tuple(r) for r in graph.progress_rows(edges, graph.layers(edges, 1, 2), 1, 2).orderBy("phase", "current").collect()]
+    assert steps == [(2, "Found 2 references.", None, None), (3, "Found 1 citations.", None, None), (4, "Processing, (3 papers)...", 2, 1), (4, "Processing, (1 papers)...", 2, 2)]
