@@ -434,6 +434,8 @@ def repeated_strings(packs: DataFrame, length: int) -> DataFrame:
     end, in order, whether these bytes start at any other such position of all packs.
     """
     size = packs.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)).alias("bytes"), F.count(F.lit(1)).alias("packs")).first()
+    if not size["packs"]:
+        return packs.select("pack", F.lit(None).cast("binary").alias("flags"))
     cuts = _sampled_cuts(packs, size["packs"], -(-(size["bytes"] or 0) // BUCKET_BYTES))
     symbol, depth = levels_for(length)
 
