@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .tasks import key_runs, text_or_empty
 
-PACK_PIECES = 6_000_000
+PACK_PIECES = 4_000_000
 BUCKET_CHARS = 16_000_000
-DECODE_BYTES = 2 << 20
+DECODE_BYTES = 1 << 20
 _CUT = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 
 
@@ -250,6 +250,11 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     special tokens that occur in a text are encoded as the library does it. Other
     columns are not looked at.
     """
+    return _answered(docs, tokenizer_path, id_col, text_col).mapInArrow(_put_in, "id long, ids binary").withColumnRenamed("id", id_col)
+
+
+def _answered(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+    """Packs with the ids of their pieces, each pack's rows together."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     packs = texts.mapInArrow(_numbers_of(tokenizer_path), "pack long, ids array<long>, sizes binary, seq binary")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -257,7 +262,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     asked = texts.mapInArrow(_to_buckets(tokenizer_path, buckets), "bucket long, pack long, words binary, at binary")
     answered = asked.groupBy("bucket").applyInArrow(_encode_words(tokenizer_path), "pack long, at binary, n binary, tokens binary")
     both = packs.unionByName(answered, allowMissingColumns=True)
-    return both.repartition("pack").sortWithinPartitions("pack").mapInArrow(_put_in, "id long, ids binary").withColumnRenamed("id", id_col)
+    return both.repartition("pack").sortWithinPartitions("pack")
 
 
 def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
@@ -273,7 +278,10 @@ def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame([(i, raw(piece)) for piece, i in vocab.items()], "token int, piece binary")
 
 
-def _tokens_of(id_col: str):
+TOKENS = "pack long, token int, docs array<long>, seqs array<binary>"
+
+
+def _tokens_of(batches):
     """Rows in packs of about DECODE_BYTES bytes of ids, and after each pack one row for
     each distinct id in it."""
     names = ["pack", "token", "docs", "seqs"]
@@ -286,20 +294,17 @@ def _tokens_of(id_col: str):
             none = lambda kind: pa.nulls(len(used), pa.list_(kind))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), pack, np.int64)), pa.array(used), none(pa.int64()), none(pa.binary())], names)
 
-    def run(batches):
-        docs, seqs, held = [], [], 0
-        for batch in batches:
-            for i, ids in zip(batch.column(id_col).to_pylist(), batch.column("ids").to_pylist()):
-                docs.append(i)
-                seqs.append(ids or b"")
-                held += len(seqs[-1]) + 16
-                if held >= DECODE_BYTES:
-                    yield from rows(docs, seqs)
-                    docs, seqs, held = [], [], 0
-        if docs:
-            yield from rows(docs, seqs)
-
-    return run
+    docs, seqs, held = [], [], 0
+    for batch in batches:
+        for i, ids in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist()):
+            docs.append(i)
+            seqs.append(ids or b"")
+            held += len(seqs[-1]) + 16
+            if held >= DECODE_BYTES:
+                yield from rows(docs, seqs)
+                docs, seqs, held = [], [], 0
+    if docs:
+        yield from rows(docs, seqs)
 
 
 def _texts_of(id_col: str):
@@ -326,15 +331,26 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
     with a pack are put in by position. Ids that the vocabulary lacks are an error;
     null ids are an empty text.
     """
-    vocab = vocabulary(encoded.sparkSession, tokenizer_path)
-    asked = encoded.select(id_col, "ids").mapInArrow(_tokens_of(id_col), "pack long, token int, docs array<long>, seqs array<binary>")
+    asked = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(_tokens_of, TOKENS)
+    return _decoded(asked, tokenizer_path, id_col)
+
+
+def _decoded(asked: DataFrame, tokenizer_path: str, id_col: str) -> DataFrame:
+    vocab = vocabulary(asked.sparkSession, tokenizer_path)
     found = asked.join(F.broadcast(vocab), "token", "left").select("pack", "token", "docs", "seqs", "piece")
     return found.mapInArrow(_texts_of(id_col), f"`{id_col}` long, ids binary, decoded string")
 
 
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))``; a task's ids go from one step to the other in one Python
+    worker."""
+    asked = _answered(docs, tokenizer_path, id_col, text_col).mapInArrow(lambda batches: _tokens_of(_put_in(batches)), TOKENS)
+    return _decoded(asked, tokenizer_path, id_col)
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of each row's encoding."""
-    both = decode(encode(docs, tokenizer_path, id_col, text_col), tokenizer_path, id_col)
+    both = encode_and_decode(docs, tokenizer_path, id_col, text_col)
     return both.select(
         id_col,
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

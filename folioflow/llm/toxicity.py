@@ -32,6 +32,7 @@ MOST_LABELLED = 10_000
 MOST_TERMS = 20_000
 MOST_EXCEPTIONS = 20_000
 STARTS = (4, 5, 6)
+SLICE_ROWS = 500
 
 # Pairs of a look-alike letter and its Latin one (Cyrillic, then
 # Greek, then Latin letters that no decomposition reaches).
@@ -234,7 +235,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     def run(batches):
         automaton = lexicon.automaton()
         for batch in batches:
-            rows = [features(automaton, t) for t in batch.column("text").to_pylist()]
+            rows = [features(automaton, t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(lexicon, rows))], ["id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -262,9 +263,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         automaton = lexicon.automaton()
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            s = _scores(lexicon, [features(automaton, t) for t in texts])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s < 0.5)], [*names, "__stays"])
+            for a in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(a, SLICE_ROWS)
+                s = _scores(lexicon, [features(automaton, t.as_py() or "") for t in part.column("text")])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s < 0.5)], [*names, "__stays"])
 
     kept = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__stays", BooleanType())]))
     return kept.where("__stays").drop("__stays")
