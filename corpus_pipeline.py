@@ -13,7 +13,9 @@ of documents.
   of the text that they decode to.
 
 Null and empty texts are not toxic, equal to each other, and not in the mix, as they
-hold no words. Empty tables go through all stages; extra columns are carried along.
+hold no words. Rows without an id go through all stages, and rows of one id each by its
+own text; of rows of one id and one text exact_dedup keeps one. Empty tables go through
+all stages; extra columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.bpe import decode, encode
+from folioflow.llm.bpe import encode_and_decode
 from folioflow.llm.exact_dedup import drop_duplicates
 from folioflow.llm.mixing import mixed_documents
 from folioflow.llm.ngram_join import one_of_each
@@ -47,8 +49,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return decode(encode(docs, path), path).select(
+    return encode_and_decode(docs, tokenizer_path()).select(
         "doc_id",
         "ids",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
