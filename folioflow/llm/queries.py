@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .cdc_dedup import repeats_of
 from .chat_format import formatted_pairs
+from .decontamination import contamination
 from .exact_dedup import duplicate_groups
 from .media import stored_features
 from .mixing import mix
@@ -66,6 +67,10 @@ def op10_toxicity(spark, sf_dir):
     return scored_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_decontamination(spark, sf_dir):
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -78,11 +83,12 @@ def queries() -> dict:
         "op8_suffix_array": op8_suffix_array,
         "op9_media_columns": op9_media_columns,
         "op10_toxicity": op10_toxicity,
+        "op13_decontamination": op13_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4, "op5_exact_dedup": OP5, "op6_source_mix": OP6}
+    return {"op4_chat_format": OP4, "op5_exact_dedup": OP5, "op6_source_mix": OP6, "op13_decontamination": OP13}
 
 
 OP4 = r"""
@@ -198,3 +204,30 @@ SELECT doc_id, size, source_size, target,
          - coalesce(sum(size) OVER (PARTITION BY r, shard ORDER BY seeded, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
 FROM e JOIN l USING (r, shard)
 """
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), s AS (
+  SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0
+), g AS (
+  SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[p:p + 9], ' ') AS words FROM s
+), k AS (
+  SELECT DISTINCT k FROM g
+), a AS (
+  SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d CROSS JOIN k WHERE len(w) >= k
+), o AS (
+  SELECT a.r, a.p, a.k, g.item FROM (SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS words FROM a) a JOIN g ON a.k = g.k AND a.words = g.words
+), h AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM o)) GROUP BY r
+), n AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+"""
