@@ -8,6 +8,7 @@ from .bpe import round_trip
 from .cdc_dedup import repeats_of
 from .chat_format import formatted_pairs
 from .decontamination import contamination
+from .divergence import divergence
 from .exact_dedup import duplicate_groups
 from .media import stored_features
 from .mixing import mix
@@ -15,6 +16,7 @@ from .ngram_join import ngram_components
 from .pii import pseudonymised
 from .suffix_dedup import removed_repeats
 from .toxicity import scored_documents
+from .whitening import whitened
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,14 @@ def op10_toxicity(spark, sf_dir):
     return scored_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence(documents(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_decontamination(spark, sf_dir):
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -83,12 +93,14 @@ def queries() -> dict:
         "op8_suffix_array": op8_suffix_array,
         "op9_media_columns": op9_media_columns,
         "op10_toxicity": op10_toxicity,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_decontamination": op13_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4, "op5_exact_dedup": OP5, "op6_source_mix": OP6, "op13_decontamination": OP13}
+    return {"op4_chat_format": OP4, "op5_exact_dedup": OP5, "op6_source_mix": OP6, "op11_source_divergence": OP11, "op13_decontamination": OP13}
 
 
 OP4 = r"""
@@ -205,6 +217,42 @@ SELECT doc_id, size, source_size, target,
 FROM e JOIN l USING (r, shard)
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), x AS (
+  SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n) AS c FROM x GROUP BY ALL HAVING count(*) >= 30
+), l AS (
+  SELECT lang, count(*) AS v, sum(c) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT lang, source, term, sum(n) AS n FROM x JOIN k USING (lang, term) GROUP BY ALL
+), a AS (
+  SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (coalesce(a.total, 0) + 5 * l.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (k.c + 5)) // (l.total + 5 * l.v))::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
