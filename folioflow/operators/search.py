@@ -48,12 +48,25 @@ def nearest_each(rows: DataFrame, queries: DataFrame, k: int, score: str = "cosi
     block = F.struct(F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("b"))
     blocks = asked.groupBy(block.alias("__block")).agg(F.collect_list("query_id").alias("__ids"), F.flatten(F.collect_list("q")).alias("__q")).select(F.col("__block.dim").alias("__dim"), "__ids", "__q")
     packs = rows.withColumn("vector", F.col("vector").cast("array<double>")).mapInArrow(_packs(list(order)), "__pack binary")
-    kind = StructType([queries.schema["query_id"], *(f for f in rows.schema if f.name != "vector"), StructField("score", DoubleType()), StructField("__rank", DoubleType())])
-    found = packs.repartition(F.xxhash64("__pack")).crossJoin(blocks).mapInArrow(_best(k, score), kind)
+    kind = best_kind(queries, [f for f in rows.schema if f.name != "vector"])
+    found = packs.repartition(F.xxhash64("__pack")).crossJoin(blocks).mapInArrow(best_of_packs(k, score), kind)
     w = Window.partitionBy("query_id").orderBy("__rank", *order)
     return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n", "__rank")
 
 
+def best_kind(queries: DataFrame, fields: list[StructField]) -> StructType:
+    return StructType([queries.schema["query_id"], *fields, StructField("score", DoubleType()), StructField("__rank", DoubleType())])
+
+
+def packed(part: pa.Table, order: list[str]) -> bytes:
+    """Rows in ``order`` as an Arrow stream."""
+    part = part.take(pc.sort_indices(part, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")).combine_chunks()
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, part.schema) as stream:
+        stream.write_table(part)
+    return out.getvalue().to_pybytes()
+
+
 def _packs(order: list[str]):
     """Rows as Arrow streams of bounded size, in ``order``."""
 
@@ -63,12 +76,8 @@ def _packs(order: list[str]):
             widest = max(1, pc.max(pc.list_value_length(flat)).as_py() or 1)
             step = max(1, PACK_NUMBERS // widest)
             for a in range(0, batch.num_rows, step):
-                part = pa.Table.from_batches([batch.slice(a, step)])
-                part = part.take(pc.sort_indices(part, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")).combine_chunks()
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, part.schema) as stream:
-                    stream.write_table(part)
-                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["__pack"])
+                part = packed(pa.Table.from_batches([batch.slice(a, step)]), order)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["__pack"])
 
     return run
 
@@ -80,7 +89,7 @@ def _in_order(a: np.ndarray, b: np.ndarray, step) -> np.ndarray:
     return total
 
 
-def _best(k: int, score: str):
+def best_of_packs(k: int, score: str):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):

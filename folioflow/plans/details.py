@@ -204,7 +204,7 @@ def _(t):
 
 @query("v12_projection")
 def _(t):
-    """Three coordinates of each vector: principal components, spread for display."""
+    """Three principal components of each vector; ``v12_layout`` is the map by neighbours."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..functions.vectors import cosine, from_blob, strict_cosine, to_blob
 from ..operators import documents as D
-from ..operators import fusion, graph, search
+from ..operators import fusion, graph, pivots, search
 from ..operators import references as R
 from ..sources.tables import keep
 from ..streaming import events as E
@@ -57,20 +57,37 @@ def _(t):
 
 
 # The same for all queries of the contract; those above take the one of their SQL.
-@query("v5_vector_topk_each", f"""
+TOP_EACH = f"""
 SELECT query_id, id, folder, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, a.label AS folder, {COS} AS s FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0)
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10""")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10"""
+
+
+@query("v5_vector_topk_each", TOP_EACH)
 def _(t):
     return search.nearest_each(vectors(t), asked_vectors(t), 10).withColumn("score", F.round("score", 6))
 
 
-@query("v5_distance_scores_each", f"""
+NEAR_EACH = f"""
 SELECT query_id, id, folder, round(exp(-d), 6) AS score FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, a.label AS folder, {L2} AS d FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0)
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 20""")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 20"""
+
+
+@query("v5_distance_scores_each", NEAR_EACH)
 def _(t):
     return search.nearest_each(vectors(t), asked_vectors(t), 20, "distance").withColumn("score", F.round("score", 6))
 
 
+# The same rows by pivots and triangle bounds.
+@query("v5_vector_topk_pruned", TOP_EACH)
+def _(t):
+    return pivots.nearest_pruned(vectors(t), asked_vectors(t), 10).withColumn("score", F.round("score", 6))
+
+
+@query("v5_distance_scores_pruned", NEAR_EACH)
+def _(t):
+    return pivots.nearest_pruned(vectors(t), asked_vectors(t), 20, "distance").withColumn("score", F.round("score", 6))
+
+
 @query("v7_in_folders_each", f"""
 SELECT query_id, id, folder, round(exp(-d), 6) AS score FROM (
   SELECT * FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, a.label AS folder, {L2} AS d FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0)
@@ -488,15 +505,6 @@ def _(t):
     return t("orders").select("o_orderkey", V.time_difference(F.col("o_orderdate").cast("timestamp"), then).alias("ago"), b["percent"].alias("percent"), b["colour"].alias("colour"), V.clamp(F.col("o_custkey"), 1, 500).alias("clamped"))
 
 
-@query("f47_display_coordinates", """
-WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings), m AS (SELECT (min(x) + max(x)) / 2 AS c, greatest(max(x) - min(x), 1) AS s FROM v)
-SELECT vec_id, round((x - c) / s * 6, 6) AS x FROM v, m""")
-def _(t):
-    v = t("embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    ends = v.agg(((F.min("x") + F.max("x")) / 2).alias("c"), F.greatest(F.max("x") - F.min("x"), F.lit(1.0)).alias("s"))
-    return v.crossJoin(F.broadcast(ends)).select("vec_id", F.round((F.col("x") - F.col("c")) / F.col("s") * 6, 6).alias("x"))  # one row
-
-
 @query("f51_line_chunks", """
 SELECT doc_id, i AS nth, array_to_string(string_split(text, chr(10))[i * 3 + 1:i * 3 + 3], chr(10)) AS part
 FROM (SELECT doc_id, text, unnest(range(0, (len(string_split(text, chr(10))) + 2) // 3)) AS i FROM documents)""")

@@ -18,20 +18,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write once to the folder in spark.checkpoint.dir and read back: cuts the lineage
-    and outlives executors. Where it is unset, a local master gets a temporary folder;
-    on a cluster that is an error, as executors share no disk."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a local master gets a
+    temporary one; on a cluster that is an error, as executors share no disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back: cuts the lineage and outlives
+    executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def swap(df: DataFrame, folder: str, name: str) -> str:
