@@ -25,12 +25,15 @@ SMOOTHING = 5
 UNIT = 1_000_000_000
 TOP = 50
 #: Counts that a task holds before it hands them on, bytes that it splits at once.
-MOST_HELD = 200_000
+MOST_HELD = 400_000
 SLICE_BYTES = 1 << 20
 #: Counts in a block of terms, sources in a stripe, columns of a dense indicator matrix.
 BLOCK_COUNTS = 16_384
 STRIPE = 64
 COLUMNS = 2048
+#: Rows of a table of languages' levels or groups that goes to all tasks; larger ones are
+#: left to Spark's joins.
+MOST_SENT = 100_000
 
 #: To lower case, and all that no term has to a space.
 _LETTERS = bytes(c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -136,13 +139,20 @@ def _priced(stripe: int, columns: int):
     return run
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """``small``, sent to all tasks if its rows are few: its keys are, so a shuffle by
+    them would leave a few large tasks."""
+    small = keep(small, "divergence-small")
+    return F.broadcast(small) if small.count() <= MOST_SENT else small
+
+
 def _pairs(counts: DataFrame, groups: DataFrame, stripe: int, block_counts: int, columns: int) -> DataFrame:
     """(lang, source, item, value): all pairs of sources of a language."""
     level = F.floor(F.log2("c")).cast("int").alias("level")
     sizes = counts.groupBy("lang", level).agg(F.ceil(F.count(F.lit(1)) / block_counts).alias("blocks"))
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block")
-    dealt = counts.withColumn("level", level).join(sizes, ["lang", "level"]).withColumn("block", block)
-    of_group = groups.select("lang", "source", "nr", "stripes", "total", "v")
+    dealt = counts.withColumn("level", level).join(_sent(sizes), ["lang", "level"]).withColumn("block", block)
+    of_group = _sent(groups.select("lang", "source", "nr", "stripes", "total", "v"))
     rows = dealt.join(of_group, ["lang", "source"]).select(
         "lang", "level", "block", "nr", "stripes", "term", F.col("n"), share(F.col("n"), F.col("total"), F.col("v")).alias("p"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("terms")
     )
@@ -186,7 +196,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, st
 
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("c"), F.col("lang_total"), F.col("v"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    terms = counts.join(groups.select("lang", "source", "total", "v", "lang_total"), ["lang", "source"])
+    terms = counts.join(_sent(groups.select("lang", "source", "total", "v", "lang_total")), ["lang", "source"])
     terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (p - q).alias("value")).where("value > 0")
     terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("item", F.col("item").cast("string"))
     pairs = _pairs(counts, groups, stripe, block_counts, columns).select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
