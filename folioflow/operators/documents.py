@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_caption, is_first_caption, is_methods_heading, is_numbered_caption, is_panel, is_references_heading, is_uninformative, trimmed
 from ..functions.values import js_round, line_chunks
+from . import boxes
 from .references import entries
 
 # Block kinds that become chunks.
@@ -149,34 +150,13 @@ def sections(blocks: DataFrame, key: str) -> DataFrame:
     )
 
 
-def figure_clusters(blocks: DataFrame, key: str, gap: float = 40.0) -> DataFrame:
+def figure_clusters(blocks: DataFrame, key: str, gap: float = boxes.GAP) -> DataFrame:
     """(key, page, cluster, x0, y0, x1, y1, covered): groups of images and charts on
     a page whose grown boxes meet, or that stand close above one another."""
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = list(range(len(pdf)))
-
-        def find(x):
-            while top[x] != x:
-                x = top[x]
-            return x
-
-        margin = min(30.0, 0.015 * float(pdf["height"].iloc[0]))
-        box = pdf.sort_values("nth")[["x0", "y0", "x1", "y1"]].to_numpy()
-        for i, a in enumerate(box):
-            for j, b in enumerate(box[:i]):
-                wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-                meet = wide + 2 * margin > 0 and high + 2 * margin > 0
-                stacked = 0 <= -high < gap and wide > 0.1 * min(a[2] - a[0], b[2] - b[0])
-                if meet or stacked:
-                    top[max(find(i), find(j))] = min(find(i), find(j))
-        return pdf.sort_values("nth")[[key, "page", "nth", "x0", "y0", "x1", "y1"]].assign(cluster=[find(i) for i in range(len(box))])
-
-    fields = ", ".join(f"{c} {t}" for c, t in blocks.dtypes if c in (key, "page", "nth")) + ", x0 double, y0 double, x1 double, y1 double, cluster long"
-    order = [key, "page", "nth", "x0", "y0", "x1", "y1"]
-    schema = ", ".join(sorted(fields.split(", "), key=lambda f: [*order, "cluster"].index(f.split(" ")[0])))
-    grouped = _visual(blocks).select(*order, "height").groupBy(key, "page").applyInPandas(near, schema)
-    return grouped.groupBy(key, "page", "cluster").agg(
+    page = Window.partitionBy(key, "page")
+    margin = F.least(F.lit(30.0), F.coalesce(F.first("height").over(page.orderBy("nth")) * 0.015, F.lit(30.0)))
+    rows = _visual(blocks).select(key, "page", "x0", "y0", "x1", "y1", margin.alias("margin"), (F.row_number().over(page.orderBy("nth")) - 1).cast("long").alias("i"))
+    return boxes.grouped(rows, [key, "page"], gap).groupBy(key, "page", "cluster").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("covered"),
     )

@@ -58,21 +58,32 @@ def _(t):
     return found.select("p_partkey", "c.*")
 
 
-@query("f52_nested_blocks", """
-SELECT doc_id, 0 AS nth, 'text' AS label, coalesce(text, '') AS content, NULL::DOUBLE AS y1 FROM documents
-UNION ALL SELECT doc_id, 1, 'reference', lang, 4.0 FROM documents
-UNION ALL SELECT doc_id, 2, 'image', '', NULL FROM documents""")
+# The way to the blocks goes through two of the five wrapper keys and a list, in turn
+# with all documents; blocks have their old and their new field names.
+_WAYS = "['res', 'result', 'parsing_result', 'blocks', 'children']"
+
+
+@query("f52_nested_blocks", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, {_WAYS}[doc_id % 5 + 1] AS a, {_WAYS}[doc_id // 5 % 5 + 1] AS b, doc_id % 3 AS k FROM documents WHERE doc_id % 11 > 0)
+SELECT doc_id, 0::BIGINT AS nth, 'text' AS label, text AS content, 7::BIGINT AS block_order, NULL::DOUBLE AS x0, NULL::DOUBLE AS y1 FROM d
+UNION ALL SELECT doc_id, 1, 'reference', lang, NULL, 1.0, 4.0 FROM d
+UNION ALL SELECT doc_id, 2, 'number', '12', NULL, NULL, NULL FROM d
+UNION ALL SELECT doc_id, 3, '', '', NULL, NULL, NULL FROM d WHERE k > 0
+UNION ALL SELECT doc_id, 3 + (k > 0)::BIGINT, 'last', 'true', NULL, 0.5, 2.0 FROM d WHERE k < 2""")
 def _(t):
-    def one(label, text, box=None, old=False):
-        names = ("block_label", "block_content", "block_bbox") if old else ("label", "rec_text", "bbox")
-        return F.struct(F.lit(label).alias(names[0]), *([text.alias(names[1])] if text is not None else []), *([box.alias(names[2])] if box is not None else []))
-
-    own = F.array(one("text", F.coalesce("text", F.lit("")), old=True)).alias("parsing_res_list")
-    child = F.struct(F.array(one("reference", F.col("lang"), F.array(*map(F.lit, (1, 2, 3, 4))))).alias("parsing_res_list"))
-    last = F.struct(F.array(one("image", None)).alias("parsing_res_list"))
-    data = F.to_json(F.struct(F.struct(own, F.array(F.struct(last.alias("blocks"))).alias("children"), F.array(child).alias("result")).alias("res")))
-    pages = t("documents").select("doc_id", F.lit(0).alias("page"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), data.alias("raw"))
-    return ocr.blocks_of_pages(pages, "doc_id").select("doc_id", "nth", "label", "content", "y1")
+    said = lambda c: F.get_json_object(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("c"))), "$")
+    quoted = lambda c: F.regexp_extract(said(c), r'(?s)^\{"c":(.*)\}$', 1)
+    ways = F.array(*map(F.lit, ocr.WRAPPERS))
+    n = F.col("doc_id")
+    a, b = F.get(ways, (n % 5).cast("int")), F.get(ways, (F.floor(n / 5) % 5).cast("int"))
+    own = F.concat(F.lit('"parsing_res_list":[{"block_label":"text","label":"x","block_content":'), quoted("text"), F.lit(',"block_order":7,"block_bbox":[1,2]},"no block"]'))
+    near = F.concat(F.lit('"parsing_res_list":[{"label":"reference","rec_text":'), quoted("lang"), F.lit(',"bbox":[1,2,3,4,5]},{"block_label":null,"label":"number","content":12}]'))
+    bare = F.when(n % 3 > 0, '{"parsing_res_list":[{}]},').otherwise('{"other":{"parsing_res_list":[{"label":"never"}]}},')
+    last = F.when(n % 3 < 2, '{"parsing_res_list":[{"label":"last","text":true,"block_bbox":[0.5,0,1,2]}]}').otherwise('{"parsing_res_list":{"label":"never"}}')
+    inner = F.concat(F.lit('{"'), b, F.lit('":[['), bare, last, F.lit("]],"), near, F.lit("}"))
+    raw = F.when(n % 11 == 0, "{broken").otherwise(F.concat(F.lit('{"'), a, F.lit('":'), inner, F.lit(","), own, F.lit("}")))
+    pages = t("documents").select("doc_id", F.lit(0).alias("page"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), raw.alias("raw"))
+    return ocr.blocks_of_pages(pages, "doc_id").select("doc_id", F.col("nth").cast("long").alias("nth"), "label", "content", "block_order", "x0", "y1")
 
 
 @query("f58_settings_key", """
@@ -196,6 +207,19 @@ def _(t):
     return E.lines_of(parts, "conv_id", "part", "seq")
 
 
+@query("t5_output_between_tags", """
+WITH w AS (SELECT conv_id, string_agg('<' || coalesce(role, '') || '>' || coalesce(text, ''), '' ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS m FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, substr(m, strpos(m, '<assistant>') + 11) AS rest FROM w WHERE strpos(m, '<assistant>') > 0)
+SELECT conv_id, CASE WHEN strpos(rest, '<user>') > 0 THEN left(rest, strpos(rest, '<user>') - 1) ELSE rest END AS output, strpos(rest, '<user>') > 0 AS over FROM r""")
+def _(t):
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("x"))
+    whole = whole.select("conv_id", F.array_join(F.transform("x", lambda x: F.concat(F.lit("<"), x["role"], F.lit(">"), x["text"])), "").alias("all"))
+    # Cut after every seven characters, so tags go over the cuts.
+    parts = whole.select("conv_id", F.posexplode(F.regexp_extract_all("all", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "part"))
+    return E.output_of(parts, "conv_id", "part", "seq", "<assistant>", "<user>")
+
+
 @query("t8_graph_progress", f"""
 WITH {EDGES}, r AS (SELECT DISTINCT dst AS id FROM e WHERE src = {SEED}), c AS (SELECT DISTINCT src AS id FROM e WHERE dst = {SEED}),
 l1 AS (SELECT id FROM r UNION SELECT id FROM c), l1s AS (SELECT id FROM l1 WHERE id <> {SEED}),

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import layout, search
+from ..operators.cache import ResultCache
 from ..operators.substrings import SubstringIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.tables import shared_folder
@@ -100,3 +101,19 @@ def _(t):
 @query("o7_substring_first_ten", _searched("QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY doc_id) <= 10"))
 def _(t):
     return SubstringIndex(t("documents"), "doc_id").search(_terms(t), limit=10)
+
+
+@query("v9_cached_search", """
+SELECT * FROM (VALUES ('first', false, 10), ('again', true, 10), ('changed', false, 10), ('back', true, 10)) v(step, hit, rows)
+WHERE (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) > 0""")
+def _(t):
+    """Hits and misses of one search over a library, over one with other rows, and over the first again."""
+    rows, said = vectors(t), []
+    cache = ResultCache(rows.sparkSession, f"{shared_folder(rows.sparkSession)}/cache-{uuid.uuid4().hex}")
+    other = rows.withColumn("vector", F.when(F.col("id") % 2 == 0, F.reverse("vector")).otherwise(F.col("vector")))
+    for step, query_text, library in (("first", "Graphs ", rows), ("again", "graphs", rows.repartition(3)), ("changed", "graphs", other), ("back", "graphs", rows)):
+        asked = {"query": query_text, "folders": [3, 1, 2] if step == "first" else [1, 2, 3], "scope": "all", "model": None}
+        one = asked_vectors(t).where("query_id = 0")
+        found, hit = cache.get(asked, {"library": library, "asked": one}, lambda library=library, one=one: search.nearest_each(library, one, 10))
+        said.append((step, hit, found.count()))
+    return rows.sparkSession.createDataFrame(said, "step string, hit boolean, rows int")

@@ -10,9 +10,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 GAP = "500 milliseconds"
+#: Seconds of event time after which a key without parts is done.
+IDLE = 60.0
 # File kinds that a watcher reports, and folders that it ignores.
 WATCHED = (
     ".md", ".mdx", ".markdown", ".txt", ".text", ".json", ".jsonc", ".json5", ".yaml", ".yml", ".toml",
@@ -72,18 +74,62 @@ def gathered(parts: DataFrame, key: str, text: str, order: str) -> DataFrame:
     return parts.groupBy(key).agg(F.array_join(F.transform(rows, lambda p: p[text]), "").alias("message"), F.count(F.lit(1)).alias("parts"))
 
 
-def safe_output(parts: DataFrame, key: str = "key", begin: str = "<output>", end: str = "</output>") -> DataFrame:
-    """(key, piece, over): of a stream of parts (key, seq, part), text between the tags
-    as soon as it can't be part of the end tag. State is one buffer a key."""
-
-    def run(k, batches, state):
-        buffer, inside, over = state.get if state.exists else ("", False, False)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for part in rows["part"]:
+class _Kept(StatefulProcessor):
+    """One buffer a key, which goes after ``idle`` milliseconds without parts; what it
+    still holds is handed out then. ``step`` gives (state, rows) of a state and the next
+    parts, ``last`` the rows of a state that goes."""
+
+    def __init__(self, state: str, empty: tuple, step, last, columns: list[str], idle: int | None, at: str | None):
+        self.schema, self.empty, self.step, self.last, self.columns, self.idle, self.at = state, empty, step, last, columns, idle, at
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("buffer", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = pd.concat(list(rows)).sort_values("seq")
+        state, out = self.step(tuple(self.state.get() or self.empty), [p if isinstance(p, str) else "" for p in parts["part"]])
+        self.state.update(state)
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+        if self.idle is None:
+            return
+        # The timer moves on with the newest part.
+        now = timerValues.getCurrentProcessingTimeInMs() if self.at is None else int(parts[self.at].max().timestamp() * 1000)
+        earlier = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+        if not earlier or now + self.idle > max(earlier):
+            for timer in earlier:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(now + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out = self.last(tuple(self.state.get() or self.empty))
+        self.state.clear()
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _kept(parts: DataFrame, key: str, at: str | None, idle: float | None, state: str, empty: tuple, step, last, out: str) -> DataFrame:
+    columns = [f.split(" ")[0] for f in out.split(", ")]
+    # State with timers lives in RocksDB.
+    parts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = parts.select(F.col(key).cast("string").alias("key"), "seq", F.col("part").cast("string").alias("part"), *([at] if at else []))
+    idle = IDLE if at and idle is None else idle
+    processor = _Kept(state, empty, step, last, columns, None if idle is None else int(idle * 1000), at)
+    mode = "eventTime" if at else "none" if idle is None else "processingTime"
+    return rows.groupBy("key").transformWithStateInPandas(processor, out, "append", mode)
+
+
+def _tagged(begin: str, end: str):
+    """Of (buffer, inside, over) and parts: the state after them, and (piece, over) of the
+    text between the tags that can't be part of the end tag."""
+
+    def step(state: tuple, parts: list[str]):
+        (buffer, inside, over), out = state, []
+        for part in parts:
             if over:
                 break
-            buffer += part or ""
+            buffer += part
             if not inside and (at := buffer.find(begin)) >= 0:
                 inside, buffer = True, buffer[at + len(begin) :]
             if inside:
@@ -92,35 +138,61 @@ def safe_output(parts: DataFrame, key: str = "key", begin: str = "<output>", end
                 over = at >= 0
                 buffer = "" if over else buffer[len(piece) :]
                 if piece or over:
-                    out.append((k[0], piece, over))
-        state.update((buffer, inside, over))
-        yield pd.DataFrame(out, columns=["key", "piece", "over"])
+                    out.append((piece, over))
+            else:
+                buffer = buffer[-len(begin) :]  # all that may still become the tag
+        return (buffer, inside, over), out
+
+    return step
+
+
+def _rest_of_output(state: tuple) -> list[tuple]:
+    buffer, inside, over = state
+    return [(buffer, True)] if inside and not over else []
+
+
+def safe_output(parts: DataFrame, key: str = "key", begin: str = "<output>", end: str = "</output>", at: str | None = None, idle: float | None = None) -> DataFrame:
+    """(key, piece, over): of a stream of parts (key, seq, part), text between the tags
+    as soon as it can't be part of the end tag. State is one buffer a key; ``idle``
+    seconds after a key's last part, by the event time ``at`` (with a watermark; IDLE if
+    not given) or else by the clock, it goes, and text without an end tag comes out as it
+    is. Without both it stays. By the clock a stream never ends by itself, as timers may
+    come. Parts with a null text count as empty; those of a key come in order of seq."""
+    return _kept(parts, key, at, idle, "buffer string, inside boolean, over boolean", ("", False, False), _tagged(begin, end), _rest_of_output, "key string, piece string, over boolean")
+
+
+def output_of(parts: DataFrame, key: str, text: str, order: str, begin: str = "<output>", end: str = "</output>") -> DataFrame:
+    """(key, output, over): the same of a table of all parts: the text after the first
+    begin tag, up to the end tag if there is one (over); keys without a tag have none."""
+    whole = gathered(parts, key, text, order)
+    start = F.locate(begin, F.col("message"))
+    inner = F.substr("message", start + len(begin))
+    stop = F.locate(end, inner)
+    out = whole.where(start > 0).select(key, F.when(stop > 0, F.left(inner, stop - 1)).otherwise(inner).alias("output"), (stop > 0).alias("over"))
+    return out
+
+
+def _split_lines(state: tuple, parts: list[str]):
+    (buffer, nth), out = state, []
+    for part in parts:
+        *whole, buffer = (buffer + part).split("\n")
+        for line in whole:
+            if line.strip(" "):
+                out.append((nth, line))
+                nth += 1
+    return (buffer, nth), out
+
 
-    return parts.select(F.col(key).alias("key"), "seq", "part").groupBy("key").applyInPandasWithState(
-        run, "key string, piece string, over boolean", "buffer string, inside boolean, over boolean", "append", GroupStateTimeout.NoTimeout
-    )
+def _last_line(state: tuple) -> list[tuple]:
+    buffer, nth = state
+    return [(nth, buffer)] if buffer.strip(" ") else []
 
 
-def complete_lines(parts: DataFrame, key: str = "key") -> DataFrame:
+def complete_lines(parts: DataFrame, key: str = "key", at: str | None = None, idle: float | None = None) -> DataFrame:
     """(key, nth, line): of a stream of parts (key, seq, part), which may end anywhere,
     the lines that are not blank, each as soon as its end is there. State is one
-    unfinished line a key."""
-
-    def run(k, batches, state):
-        buffer, nth = state.get if state.exists else ("", 0)
-        out = []
-        for part in pd.concat(list(batches)).sort_values("seq")["part"]:
-            *whole, buffer = (buffer + (part or "")).split("\n")
-            for line in whole:
-                if line.strip():
-                    out.append((k[0], nth, line))
-                    nth += 1
-        state.update((buffer, nth))
-        yield pd.DataFrame(out, columns=["key", "nth", "line"])
-
-    return parts.select(F.col(key).alias("key"), "seq", "part").groupBy("key").applyInPandasWithState(
-        run, "key string, nth long, line string", "buffer string, nth long", "append", GroupStateTimeout.NoTimeout
-    )
+    unfinished line a key, which comes out and goes as in ``safe_output``."""
+    return _kept(parts, key, at, idle, "buffer string, nth long", ("", 0), _split_lines, _last_line, "key string, nth long, line string")
 
 
 def lines_of(parts: DataFrame, key: str, text: str, order: str) -> DataFrame:
