@@ -46,7 +46,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
     Turns are in order of turn, then role and text, so ties and repeated rows have
     one order. Null roles and texts count as empty. A conversation of one table
     alone pairs with an empty one; a null key is left out; equal conversations have
-    empty completions. Other columns are not looked at.
+    empty completions. Other columns are not looked at, whatever their names; texts of
+    any length are rendered whole.
     """
     a, b = _turns(chosen, key, "a"), _turns(rejected, key, "b")
     none = F.array().cast("array<struct<turn: long, role: string, text: string>>")
@@ -75,6 +76,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
 def swapped_last_reply(conversations: DataFrame) -> DataFrame:
     """Conversations whose last assistant turn says what the next conversation (by
     number) answered first: rejected partners for a table that has none."""
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     is_reply = F.col("role") == ASSISTANT
     last = conversations.where(is_reply).groupBy("conv_id").agg(F.max("turn").alias("__last"))
     first = (

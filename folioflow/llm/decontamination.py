@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .suffix_automaton import SuffixAutomaton
-from .tasks import keep, text_slices
+from .tasks import keep, text_slices, unused
 
 WINDOW = 10
 PIECE_WORDS = 2000
@@ -135,9 +135,7 @@ def _streamed(texts: list[bytes], automata: list, marks: list[_Marks]) -> np.nda
 def _marked(docs: DataFrame, items: DataFrame, text_col: str, columns: list[StructField], make, length: int, item_id: str, item_text: str) -> DataFrame:
     """``docs`` with the columns that ``make`` gives for (texts, numbers of words, marks)
     of some rows in place of a column of marks that none else has."""
-    marks_col, n = "__marks", 0
-    while marks_col in docs.columns:
-        marks_col, n = f"__marks{n}", n + 1
+    marks_col = unused("__marks", docs.columns)
     rows = docs.withColumn(marks_col, F.lit(None).cast("binary"))
     automata_of, count = _automata(items, item_id, item_text, length)
     text_at = docs.columns.index(text_col)
@@ -220,7 +218,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     any name, are as they were, but for the text."""
     names = docs.columns
     text_at = names.index(text_col)
-    marks = [StructField(_free("text", names), BinaryType()), *StructType.fromDDL(f"{_free('stays', names)} boolean").fields]
+    marks = [StructField(unused("text", names), BinaryType()), *StructType.fromDDL(f"{unused('stays', names)} boolean").fields]
 
     def make(texts, counts, found):
         return [pa.array([_without(t, m.spans) if m.spans else None for t, m in zip(texts, found)], pa.binary()),
@@ -229,9 +227,3 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     out = _marked(docs, items, text_col, marks, make, length, item_id, item_text).where(F.col(marks[1].name))
     left = F.coalesce(F.col(marks[0].name).cast("string"), F.col(text_col)).alias(text_col)
     return out.select(*names[:text_at], left, *names[text_at + 1 :])
-
-
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name = f"{name}_"
-    return name

@@ -94,11 +94,12 @@ def duplicate_groups(
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are not the first of their group, all columns as
     they were. Of rows of one id and one text, or without an id, one stays; rows of one
-    id and other texts are judged each by its own."""
+    id and other texts are judged each by its own. Texts of any length are compared whole."""
     key = lambda sha: F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), sha)
     won = duplicate_groups(docs, id_col, text_col).where("kept").select(key(F.col("text_sha256")).alias("__won"))
-    rows = docs.withColumn("__key", key(F.sha2(normalised(text_col), 256)))
+    # Whole rows go in one column, so no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("__doc"), key(F.sha2(normalised(text_col), 256)).alias("__key"))
     rows = rows.join(won, F.col("__key") == F.col("__won"), "left_semi")
     # Rows of a key are together already: the window moves none.
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__key", "__nth")
+    return rows.withColumn("__nth", nth).where("__nth = 1").select("__doc.*")

@@ -179,17 +179,20 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     shares = _dealt(sizes, seed, BLOCK_WORDS, SHARD_DOCS).where("taken > 0")
     shares = shares.groupBy(F.col("__row").alias("__of")).agg(F.first("size").alias("__size"), F.sort_array(F.collect_list("taken"), asc=False).alias("__shares"))
     nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
-    numbered = docs.withColumn("__row", row).withColumn("__nth", nth)
-    mixed = numbered.join(shares, numbered["__row"] == shares["__of"]).withColumn("__taken", F.get("__shares", F.col("__nth") - 1)).where("__taken > 0")
+    # Whole rows go in one column, so no name of theirs can clash.
+    numbered = docs.select(F.struct("*").alias("__doc"), row.alias("__row")).withColumn("__nth", nth)
+    mixed = numbered.join(shares, F.col("__row") == F.col("__of")).withColumn("__taken", F.get("__shares", F.col("__nth") - 1)).where("__taken > 0")
     copies = F.transform(
         F.sequence(F.lit(0), F.expr("int((__taken - 1) div __size)")),
         lambda i: F.least(F.col("__size"), F.col("__taken") - i * F.col("__size")),
     )
     # Each word with the white space before it; the first n of them are a prefix.
-    words = F.regexp_extract_all(text_or_empty(), F.lit(SPACES.replace("+", "*") + WORDS), F.lit(0))
+    whole = F.col("__doc").getField("text")
+    words = F.regexp_extract_all(F.coalesce(whole.cast("string"), F.lit("")), F.lit(SPACES.replace("+", "*") + WORDS), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), "")
     mixed = mixed.withColumn("__words", F.explode(copies))
-    mixed = mixed.withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*docs.columns)
+    own = {c: F.col("__doc").getField(c) for c in docs.columns}
+    own["text"] = F.when(F.col("__words") == F.col("__size"), whole).otherwise(part)
+    if "n_chars" in own:
+        own["n_chars"] = F.length(own["text"]).cast(docs.schema["n_chars"].dataType)
+    return mixed.select(*(v.alias(c) for c, v in own.items()))

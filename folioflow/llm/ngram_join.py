@@ -379,4 +379,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     nothing tells them apart."""
     found = ngram_components(docs, id_col)
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(first, docs[id_col] == F.col("__first"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    # Whole rows go in one column, so no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("__doc"), F.col(id_col).alias("__id"))
+    kept = rows.join(first, F.col("__id") == F.col("__first"), "left_semi")
+    return kept.select("__doc.*").unionByName(rows.where("__id is null").select("__doc.*"))

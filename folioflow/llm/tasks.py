@@ -86,6 +86,13 @@ def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> D
     return salted.drop("__salts").join(groups.withColumn("__salt", spread), [*on, "__salt"], "left").drop("__salt")
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as no column has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"{name}_"
+    return name
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

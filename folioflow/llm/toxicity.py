@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .tasks import keep, text_or_empty
+from .tasks import keep, text_or_empty, unused
 
 #: Most labelled rows of either label that fitting looks at, and most terms and
 #: exception phrases that a lexicon holds: all that is broadcast or collected.
@@ -256,9 +256,10 @@ def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic, all columns as they were. Each row is
-    judged by its own text, whatever its id; rows never move."""
+    judged by its own text, whatever its id; rows never move. Texts of any length are scored whole."""
     lexicon = fit(docs, labels.where(~held_out()))
     names = [f.name for f in docs.schema.fields]
+    stays = unused("__stays", names)
 
     def run(batches):
         automaton = lexicon.automaton()
@@ -266,7 +267,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(a, SLICE_ROWS)
                 s = _scores(lexicon, [features(automaton, t.as_py() or "") for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s < 0.5)], [*names, "__stays"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s < 0.5)], [*names, stays])
 
-    kept = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__stays", BooleanType())]))
-    return kept.where("__stays").drop("__stays")
+    kept = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(stays, BooleanType())]))
+    return kept.where(F.col(stays)).drop(stays)

@@ -1,4 +1,4 @@
-from folioflow.llm.chat_format import format_preferences, formatted_pairs
+from folioflow.llm.chat_format import format_preferences, formatted_pairs, swapped_last_reply
 
 S = "conv_id long, turn long, role string, text string"
 
@@ -19,3 +19,22 @@ def test_prefix_once_and_masks(spark):
 
 def test_empty(spark):
     assert formatted_pairs(spark.createDataFrame([], S)).collect() == []
+
+
+def test_columns_of_the_helpers_names_and_null_keys(spark):
+    rows = [(1, 0, "user", "q", "a", 1), (1, 1, "assistant", None, "b", 2), (2, 0, "assistant", "first", "c", 3), (2, 1, "assistant", "first", "c", 3), (None, 0, "assistant", "x", None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, __last string, __other int")
+    swapped = sorted(map(tuple, swapped_last_reply(table).collect()), key=str)
+    assert swapped == sorted([(1, 0, "user", "q"), (1, 1, "assistant", "first"), (2, 0, "assistant", "first"), (2, 1, "assistant", "first"), (None, 0, "assistant", "x")], key=str)
+    got = {r.conv_id: r for r in formatted_pairs(table).collect()}
+    assert sorted(got) == [1, 2] and got[1].n_common == 1
+    assert got[1].chosen == "<|assistant|>\n<|end|>\n" and got[1].rejected == "<|assistant|>\nfirst<|end|>\n"
+
+
+def test_ties_repeated_rows_and_very_long_texts(spark):
+    long = "word " * 300_000
+    a = [(1, 0, "user", long), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a")]
+    b = [(1, 1, "assistant", "a"), (1, 0, "user", long), (1, 1, "assistant", "c"), (1, 1, "assistant", "a")]
+    r = format_preferences(spark.createDataFrame(a, S), spark.createDataFrame(b, S)).collect()[0]
+    assert r.n_common == 3 and len(r.prompt) > len(long)
+    assert r.chosen == "<|assistant|>\nb<|end|>\n" and r.rejected == "<|assistant|>\nc<|end|>\n"

@@ -59,7 +59,10 @@ def test_missing_and_repeated_ids_and_clashing_columns(spark, tmp_path):
     rows += [(1, a, "s0"), (1, a, "s0"), (1, b, "s0"), (2, b, "s1"), (None, c, "s1"), (None, c, "s1"), (3, say(30) + " grumpol", "s0"), (3, c + " x y", "s0"), (None, say(30) + " grumpol", None), (None, None, None)]
     rows += [(400 + i, say(30) + " grumpol", "s0") for i in range(40)]
     extra = "ids string, score double, kept int, component_id string, id int, n long, taken int, rep string"
-    data = [(i, t, "en", s, 0, f"x{k}", 0.5, 1, "c", k, 7, 2, None) for k, (i, t, s) in enumerate(rows)]
+    # Names that the stages' own columns have.
+    helpers = ["__key", "__nth", "__row", "__words", "__first", "__stays", "__stays_", "__doc", "__id", "__of", "__size", "__shares", "__taken", "__won", "__salt", "__t", "__marks"]
+    extra += "".join(f", {h} string" for h in helpers)
+    data = [(i, t, "en", s, 0, f"x{k}", 0.5, 1, "c", k, 7, 2, None, *(f"{h}{k}" for h in helpers)) for k, (i, t, s) in enumerate(rows)]
     d = str(tmp_path)
     spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(3).write.parquet(f"{d}/documents.parquet")
     labels = [(i, 0) for i in range(100, 220)] + [(i, 1) for i in range(400, 432)]
@@ -67,7 +70,9 @@ def test_missing_and_repeated_ids_and_clashing_columns(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{d}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = keep(stage(spark, docs, d), name)
-        assert len(docs.columns) == 5 + 8
+        assert docs.columns == [c.split(" ")[0] for c in f"doc_id, text, lang, source, n_chars, {extra}".split(", ")]
+        for r in docs.collect():
+            assert all(r[h] == f"{h}{r['id']}" for h in helpers) and r.ids == f"x{r['id']}"
         seen[name] = sorted((str(r.doc_id), r.text or "", r.ids) for r in docs.collect())
     clean = [x for x in rows if "grumpol" not in (x[1] or "")]
     assert [x[:2] for x in seen["toxicity"]] == sorted((str(i), t or "") for i, t, _ in clean)
@@ -82,3 +87,18 @@ def test_missing_and_repeated_ids_and_clashing_columns(spark, tmp_path):
         words_of[r.source] += len((r.text or "").split())
     assert abs(words_of["s0"] + words_of["s1"] - 1.5 * sum(len((t or "").split()) for _, t in first)) <= 64
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == len(out)
+
+
+def test_very_long_texts_go_through_whole(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lm", "rt", "n")]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    long = say(150_000)
+    rows = [(0, long), (1, long + " end"), (2, long), (3, say(150_000) + " grumpol" * 900), *((k, say(40)) for k in range(10, 60)), *((k, say(30) + " grumpol") for k in range(100, 140))]
+    d = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows if i >= 10], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = corpus_pipeline.run(spark, d).select("doc_id", "n_tokens").collect()
+    assert {r.doc_id for r in got} <= {0, *range(10, 60)} and max(r.n_tokens for r in got if r.doc_id == 0) > 100_000
