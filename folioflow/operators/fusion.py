@@ -75,7 +75,10 @@ def linked_citations(answers: DataFrame) -> DataFrame:
     mark = r"(?<!!)\[([^\]]+)\]"
 
     def one(part):
-        n = F.try_to_number(F.regexp_extract(part, r"^[+-]?\d+", 0), F.lit("S9999999999")).cast("int")
+        sign, digits = F.regexp_extract(part, r"^([+-]?)0*(\d+)", 1), F.regexp_extract(part, r"^([+-]?)0*(\d+)", 2)
+        # Numbers of more digits than a list can have places are as good as the largest.
+        size = F.when(F.length(digits) > 9, 2_000_000_000).when(digits != "", digits.try_cast("int"))
+        n = F.when(sign == "-", -size).otherwise(size)
         url = F.get(F.col("urls"), n - 1)
         link = F.concat(F.lit('<citation href="'), url, F.lit('">'), part, F.lit("</citation>"))
         return F.when(n.isNull() | (n <= 0), F.concat(F.lit("["), part, F.lit("]"))).when(url.isNotNull(), link).otherwise("")

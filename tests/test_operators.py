@@ -85,6 +85,8 @@ def test_fusion(spark):
     assert fusion.judged(fusion.fused(rows, 10), none, fallback=2).count() == 2
     a = spark.createDataFrame([("see [2] ![1] [x] [2,9]", ["a", "b"])], "answer string, urls array<string>")
     assert fusion.linked_citations(a).first().linked == 'see <citation href="b">2</citation> ![1] [x] <citation href="b">2</citation>'
+    large = spark.createDataFrame([("call [4155551234] or [99999999999999999999999, 1] not [-4155551234] [002] [0]", ["a", "b"])], "answer string, urls array<string>")
+    assert fusion.linked_citations(large).first().linked == 'call  or <citation href="a">1</citation> not [-4155551234] <citation href="b">002</citation> [0]'
 
 
 def test_streams_equal_batches(spark, tmp_path):
