@@ -28,9 +28,11 @@ from .tasks import discard, free_shuffles, keep, key_runs, mix
 KEY_BYTES = 64
 #: Zero bytes after each string of a pack: a step of as many needs no test for its end.
 GAP = 96
-#: Bytes of regions for each bucket, and strings that the cuts are chosen from.
+#: Bytes of regions for each bucket. Strings that the cuts are chosen from: so many at
+#: least, and so many for each bucket, so that buckets stay as small when the input grows.
 BUCKET_BYTES = 2 << 20
 SAMPLE = 50_000
+SAMPLE_EACH = 4
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNDO = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -473,11 +475,13 @@ def repeated_strings(packs: DataFrame, length: int) -> DataFrame:
 
 
 def _sampled_cuts(packs: DataFrame, many: int, buckets: int) -> list[bytes]:
-    """The strings at which buckets start, from a sample of SAMPLE strings at most."""
+    """The strings at which buckets start, from a sample: KEY_BYTES for each BUCKET_BYTES
+    of regions go to all tasks."""
     if buckets < 2:
         return []
-    each = max(1, SAMPLE // max(1, many))
-    share = min(1.0, SAMPLE / max(1, many))
+    wanted = max(SAMPLE, SAMPLE_EACH * buckets)
+    each = max(1, wanted // max(1, many))
+    share = min(1.0, wanted / max(1, many))
 
     def run(batches):
         for batch in batches:
