@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import details, further, indexes, registry, relational, research  # noqa: F401  (plans register themselves)
+from .plans import details, further, indexes, registry, relational, research, trees  # noqa: F401  (plans register themselves)
 
 
 def queries() -> dict:

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import cited_numbers, closed_thinking, is_reputable, renumbered, renumbering
 
 
-def fused(results: DataFrame, most: int) -> DataFrame:
+def fused(results: DataFrame, most: int, *by: str) -> DataFrame:
     """results (query_idx, rank, title, url, content) without later rows of a URL that
-    came before, the first ``most`` of them, numbered from 1 in nth."""
-    w = Window.partitionBy("url").orderBy("query_idx", "rank")
+    came before, the first ``most`` of them, numbered from 1 in nth; with ``by``, those
+    of each request."""
+    w = Window.partitionBy(*by, "url").orderBy("query_idx", "rank")
     first = results.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    if by:
+        return _nth(first, by, "query_idx", "rank").where(F.col("nth") <= most)
     return numbered(first.orderBy("query_idx", "rank").limit(most), "query_idx", "rank")
 
 
@@ -21,14 +24,26 @@ def numbered(rows: DataFrame, *order) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def reputable_first(rows: DataFrame) -> DataFrame:
+def _nth(rows: DataFrame, by: tuple, *order) -> DataFrame:
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def reputable_first(rows: DataFrame, *by: str) -> DataFrame:
     """nth anew: reputable publishers first, both parts in their old order."""
+    if by:
+        return _nth(rows.withColumnRenamed("nth", "__old"), by, F.desc(is_reputable(F.col("url"))), "__old").drop("__old")
     return numbered(rows.withColumnRenamed("nth", "__old"), F.desc(is_reputable(F.col("url"))), "__old").drop("__old")
 
 
-def judged(rows: DataFrame, relevant: DataFrame, fallback: int = 3, most: int = 15) -> DataFrame:
+def judged(rows: DataFrame, relevant: DataFrame, fallback: int = 3, most: int = 15, by: tuple = ()) -> DataFrame:
     """rows (nth, url, ...) that the judge named (nth), or the first ``fallback`` if it
-    named none; at most ``most`` of them, then reputable ones first."""
+    named none; at most ``most`` of them, then reputable ones first. With ``by``, those
+    of each request, named by (by, nth)."""
+    if by:
+        good = rows.join(relevant.select(*by, "nth"), [*by, "nth"], "left_semi")
+        first = rows.where(F.col("nth") <= fallback).join(good.select(*by).distinct(), list(by), "left_anti")
+        some = _nth(good.unionByName(first).withColumnRenamed("nth", "__of"), by, "__of").where(F.col("nth") <= most).drop("__of")
+        return reputable_first(some, *by)
     good = rows.join(relevant.select("nth"), "nth", "left_semi")
     none = good.agg(F.count(F.lit(1)).alias("__good"))
     first = rows.orderBy("nth").limit(fallback).crossJoin(F.broadcast(none)).where("__good = 0").drop("__good")  # one row

@@ -35,11 +35,11 @@ def layers(edges: DataFrame, seed, depth: int, most: int | None = MAX_EDGES) ->
     """(id, depth) of the nodes within ``depth`` (1 to 3) steps in either direction;
     the smallest depth counts, the seed is left out."""
     first = references(edges, seed, most).unionByName(citations(edges, seed, most)).distinct().where(F.col("id") != seed)
-    found = keep(first.withColumn("depth", F.lit(1)))
+    found = last = keep(first.withColumn("depth", F.lit(1)))
     for d in range(2, depth + 1):
-        last = found.where(F.col("depth") == d - 1)
         new = neighbours(edges, last).where(F.col("id") != seed).join(found, "id", "left_anti")
-        found = keep(found.unionByName(new.withColumn("depth", F.lit(d))))
+        last = keep(new.withColumn("depth", F.lit(d)))  # each layer is written once
+        found = found.unionByName(last)
     return found
 
 

@@ -21,7 +21,7 @@ from ..sources.tables import keep
 from .pivots import nearest_pruned
 
 MIN_DIST = 0.25
-ROUNDS = 30
+ROUNDS = 20
 #: Rows that each row is pushed away from in a round, and how much pushing counts.
 PUSHED_BY = 512
 PUSH = 5.0

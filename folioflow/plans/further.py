@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..functions.vectors import strict_cosine
 from ..operators import documents as D
-from ..operators import graph, search
+from ..operators import fusion, graph, search
 from ..operators import references as R
 from ..sources import ocr
 from ..streaming import events as E
 from .registry import query
-from .research import COS, EDGES, SEED, blocks, edges, first_vector, reference_blocks, vectors
+from .research import BLOCKS, COS, EDGES, SEED, asked_vectors, blocks, edges, first_vector, reference_blocks, vectors
 
 
 def _q(s: str) -> str:
@@ -243,16 +244,73 @@ def _(t):
     return E.polled(o.where("id % 3 > 0"), fresh, "id", F.col("id") % 40 == 0)
 
 
+# Searches of a request meet in thirty pages: three lists with pages in common.
+_REQUESTS = """u AS (SELECT page_id // 30 AS request, 0 AS query_idx, page_id AS rank, url FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id // 30, 1, page_id, url FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id // 30, 2, -page_id, url FROM pages WHERE page_id % 5 > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY query_idx, rank) AS nth FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY request, url ORDER BY query_idx, rank) = 1) QUALIFY nth <= 20)"""
+
+
+def _fused_requests(t):
+    p = t("pages").select(F.expr("page_id div 30").alias("request"), "page_id", "url")
+    parts = [p.where(c).select("request", F.lit(i).alias("query_idx"), (F.col("page_id") * s).alias("rank"), "url") for i, c, s in ((0, "page_id % 2 = 0", 1), (1, "page_id % 3 = 0", 1), (2, "page_id % 5 > 0", -1))]
+    return fusion.fused(parts[0].unionByName(parts[1]).unionByName(parts[2]), 20, "request")
+
+
+@query("d9_fused_each", f"WITH {_REQUESTS} SELECT request, url, query_idx, row_number() OVER (PARTITION BY request ORDER BY contains(lower(url), 'cell.com') DESC, nth) AS nth FROM f")
+def _(t):
+    return fusion.reputable_first(_fused_requests(t), "request").select("request", "url", "query_idx", "nth")
+
+
+@query("d10_judged_each", f"""
+WITH {_REQUESTS}, j AS (SELECT request, nth FROM f WHERE request % 3 > 0 AND nth % (request % 3) = 0),
+g AS (SELECT f.* FROM f JOIN j USING (request, nth) UNION ALL SELECT * FROM f WHERE nth <= 3 AND request NOT IN (SELECT request FROM j)),
+m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY request ORDER BY nth) <= 15)
+SELECT request, url, row_number() OVER (PARTITION BY request ORDER BY contains(lower(url), 'cell.com') DESC, nth) AS nth FROM m""")
+def _(t):
+    rows = _fused_requests(t)
+    # The judge names none for a third of the requests, all or half of the others'.
+    named = rows.where("request % 3 > 0").where("nth % (request % 3) = 0").select("request", "nth")
+    return fusion.judged(rows, named, by=("request",)).select("request", "url", "nth")
+
+
+@query("v10_chunks_each", f"""
+SELECT q.vec_id AS query_id, a.vec_id AS id, a.vec_id % 50 AS paper_id, round({COS}, 6) AS score FROM embeddings a, embeddings q
+WHERE q.vec_id % 100 = 0 AND a.vec_id % 2 = 0 AND (a.vec_id % 50) % 25 IN (SELECT n_nationkey FROM nation WHERE n_name IN ('FRANCE', 'GERMANY', 'CHINA') UNION SELECT 3)
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, a.vec_id) <= 20""")
+def _(t):
+    return _named_chunks(t, asked_vectors(t)).select("query_id", "id", "paper_id", F.round("score", 6).alias("score"))
+
+
+@query("v3_strict_cosine_pairs", f"SELECT a.vec_id AS id, round({COS}, 6) AS score FROM embeddings a JOIN embeddings q ON q.vec_id = a.vec_id + 1")
+def _(t):
+    v = vectors(t)
+    both = v.join(v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other")), "id")
+    return both.select("id", F.round(strict_cosine(F.col("vector"), F.col("other")), 6).alias("score"))
+
+
+@query("f8_metadata_with_dois", f"""
+WITH {BLOCKS}, n AS (SELECT doc_id, min(page) AS page FROM b WHERE page < 3 AND page >= doc_id % 4 AND label <> 'doc_title' GROUP BY doc_id)
+SELECT DISTINCT d.doc_id, '10.1000/d' || d.doc_id || '.' || n.page AS doi FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id WHERE d.doc_id IN (SELECT doc_id FROM b)""")
+def _(t):
+    # From a page on, which may lie beyond the first three, all blocks but titles have a DOI.
+    said = F.concat(F.coalesce("content", F.lit("")), F.lit(" https://doi.org/10.1000/d"), F.col("doc_id").cast("string"), F.lit("."), F.col("page").cast("string"), F.lit(")."))
+    rows = blocks(t).withColumn("content", F.when((F.col("page") >= F.col("doc_id") % 4) & (F.col("label") != "doc_title"), said).otherwise(F.col("content")))
+    return R.document_metadata(rows, "doc_id").select("doc_id", "doi")
+
+
 @query("v10_chunks_by_folder_names", f"""
 SELECT a.vec_id AS id, a.vec_id % 50 AS paper_id, round({COS}, 6) AS score FROM embeddings a, embeddings q
 WHERE q.vec_id = 0 AND a.vec_id % 2 = 0 AND (a.vec_id % 50) % 25 IN (SELECT n_nationkey FROM nation WHERE n_name IN ('FRANCE', 'GERMANY', 'CHINA') UNION SELECT 3)
 ORDER BY {COS} DESC, id LIMIT 20""")
 def _(t):
+    return _named_chunks(t, first_vector(t)).select("id", "paper_id", F.round("score", 6).alias("score"))
+
+
+def _named_chunks(t, asked):
     names = t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     v = vectors(t).withColumn("paper_id", F.col("id") % 50)
     papers = v.select("paper_id").distinct().withColumn("folder", F.col("paper_id") % 25)
     chunks = v.where("id % 2 = 0").select("id", "paper_id", F.col("id").cast("string").alias("content"))
-    found = search.search_chunks(papers, chunks, v.select("id", "vector"), first_vector(t), names, ["FRANCE", "GERMANY", "CHINA"], [3], 20)
-    return found.select("id", "paper_id", F.round("score", 6).alias("score"))
+    return search.search_chunks(papers, chunks, v.select("id", "vector"), asked, names, ["FRANCE", "GERMANY", "CHINA"], [3], 20)
 
 

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import is_academic, is_reputable, loose_title, model_family, trimmed
 from ..operators.references import duplicates
 from ..sources import tables as T
+from ..sources.tables import numbered_in_order
 from .registry import query
 
+# Fixed value: colours that papers get in turn.
+COLOURS = 102
+
 
 @query("s2_projected_scan", "SELECT doc_id, lang, source, n_chars FROM documents")
 def _(t):
@@ -239,11 +243,17 @@ def _(t):
 
 @query("w7_colour_index", "SELECT n_nationkey, (dense_rank() OVER (ORDER BY n_regionkey) - 1) % 3 AS colour FROM nation")
 def _(t):
-    ids = t("nation").select("n_regionkey").distinct()
-    colours = ids.select("n_regionkey", ((F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("n_regionkey")) - 1) % 3).alias("colour"))
+    ids = numbered_in_order(t("nation").select("n_regionkey").distinct(), "nth", ["n_regionkey"])
+    colours = ids.select("n_regionkey", ((F.col("nth") - 1) % 3).cast("int").alias("colour"))
     return t("nation").join(colours, "n_regionkey").select("n_nationkey", "colour")
 
 
+@query("w7_paper_colours", "SELECT doc_id, ((dense_rank() OVER (ORDER BY doc_id) - 1) % 102)::INT AS colour FROM documents")
+def _(t):
+    ids = numbered_in_order(t("documents").select("doc_id").distinct(), "nth", ["doc_id"])
+    return ids.select("doc_id", ((F.col("nth") - 1) % COLOURS).cast("int").alias("colour"))
+
+
 @query("w8_last_turns", """
 SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6""")
 def _(t):
@@ -267,8 +277,8 @@ def _(t):
 SELECT n_name, n_regionkey = 1 AS flagged, row_number() OVER (ORDER BY n_regionkey = 1 DESC, n_name) AS nth FROM nation""")
 def _(t):
     flagged = F.col("n_regionkey") == 1
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(flagged), "n_name")
-    return t("nation").select("n_name", flagged.alias("flagged"), F.row_number().over(w).alias("nth"))
+    rows = t("nation").select("n_name", flagged.alias("flagged"), (~flagged).alias("rest"))
+    return numbered_in_order(rows, "nth", ["rest", "n_name"]).select("n_name", "flagged", F.col("nth").cast("int").alias("nth"))
 
 
 @query("o11_most_recent", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")

@@ -52,7 +52,13 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def with_new_ids(rows: DataFrame, old: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """New rows numbered on from the largest id of ``old``, in the given order.
+    """New rows numbered on from the largest id of ``old``, in the given order."""
+    start = old.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    return numbered_in_order(rows, id_col, order, start)
+
+
+def numbered_in_order(rows: DataFrame, id_col: str, order: list[str], start: int = 0) -> DataFrame:
+    """``rows`` with ``id_col``, ``start`` + 1 and so on in the given order.
 
     Ranges are numbered in parallel: each partition of the sorted rows adds the
     counts of those before it.
@@ -60,7 +66,7 @@ def with_new_ids(rows: DataFrame, old: DataFrame, id_col: str, order: list[str])
     # The number of partitions bounds what is collected.
     ranged = keep(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     counts = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
-    start, total = old.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0], {}
+    total = {}
     for part in sorted(counts):
         total[part] = start
         start += counts[part]
