@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tasks import key_runs, text_or_empty
+from .tasks import key_runs, text_or_empty, tidy, tidy_group
 
 PACK_PIECES = 4_000_000
 BUCKET_CHARS = 16_000_000
@@ -250,17 +250,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     special tokens that occur in a text are encoded as the library does it. Other
     columns are not looked at.
     """
-    return _answered(docs, tokenizer_path, id_col, text_col).mapInArrow(_put_in, "id long, ids binary").withColumnRenamed("id", id_col)
+    return _answered(docs, tokenizer_path, id_col, text_col).mapInArrow(tidy(_put_in), "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def _answered(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
     """Packs with the ids of their pieces, each pack's rows together."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    packs = texts.mapInArrow(_numbers_of(tokenizer_path), "pack long, ids array<long>, sizes binary, seq binary")
+    packs = texts.mapInArrow(tidy(_numbers_of(tokenizer_path)), "pack long, ids array<long>, sizes binary, seq binary")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, -(-chars // BUCKET_CHARS))
-    asked = texts.mapInArrow(_to_buckets(tokenizer_path, buckets), "bucket long, pack long, words binary, at binary")
-    answered = asked.groupBy("bucket").applyInArrow(_encode_words(tokenizer_path), "pack long, at binary, n binary, tokens binary")
+    asked = texts.mapInArrow(tidy(_to_buckets(tokenizer_path, buckets)), "bucket long, pack long, words binary, at binary")
+    answered = asked.groupBy("bucket").applyInArrow(tidy_group(_encode_words(tokenizer_path)), "pack long, at binary, n binary, tokens binary")
     both = packs.unionByName(answered, allowMissingColumns=True)
     return both.repartition("pack").sortWithinPartitions("pack")
 
@@ -331,20 +331,20 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
     with a pack are put in by position. Ids that the vocabulary lacks are an error;
     null ids are an empty text.
     """
-    asked = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(_tokens_of, TOKENS)
+    asked = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(tidy(_tokens_of), TOKENS)
     return _decoded(asked, tokenizer_path, id_col)
 
 
 def _decoded(asked: DataFrame, tokenizer_path: str, id_col: str) -> DataFrame:
     vocab = vocabulary(asked.sparkSession, tokenizer_path)
     found = asked.join(F.broadcast(vocab), "token", "left").select("pack", "token", "docs", "seqs", "piece")
-    return found.mapInArrow(_texts_of(id_col), f"`{id_col}` long, ids binary, decoded string")
+    return found.mapInArrow(tidy(_texts_of(id_col)), f"`{id_col}` long, ids binary, decoded string")
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``decode(encode(docs))``; a task's ids go from one step to the other in one Python
     worker."""
-    asked = _answered(docs, tokenizer_path, id_col, text_col).mapInArrow(lambda batches: _tokens_of(_put_in(batches)), TOKENS)
+    asked = _answered(docs, tokenizer_path, id_col, text_col).mapInArrow(tidy(lambda batches: _tokens_of(_put_in(batches))), TOKENS)
     return _decoded(asked, tokenizer_path, id_col)
 
 

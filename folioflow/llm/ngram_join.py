@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .ngrams import shingle_sets
 from .prefix_tree import PrefixTree, spanning_links
-from .tasks import hot_join, keep, key_runs, mix, text_or_empty, text_slices
+from .tasks import hot_join, keep, key_runs, mix, text_or_empty, text_slices, tidy, tidy_group
 
 #: Share of the shingles, in hundredths beyond what a linked pair may differ in,
 #: that step 2 looks at. More finds more sets without partner, and moves more.
@@ -265,7 +265,7 @@ def ngram_components(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    prints = keep(texts.mapInArrow(_fingerprints(k), "id long, h long, n long, f1 long, f2 long"), "ngram-prints")
+    prints = keep(texts.mapInArrow(tidy(_fingerprints(k)), "id long, h long, n long, f1 long, f2 long"), "ngram-prints")
     # A class of equal sets goes by the number f1; its text is that of its smallest id.
     first = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("first")
     classes = prints.where("n > 0").groupBy("f1", "f2", "n").agg(first, F.count(F.lit(1)).alias("copies"))
@@ -275,9 +275,9 @@ def ngram_components(
     buckets = max(16, -(-chars // BUCKET_CHARS))
     # Each shingle takes two characters at least, so fewer than MOST_FREQUENT pass.
     frequent_from = max(16, -(-chars * (100 - percent + MARGIN) // (200 * MOST_FREQUENT)))
-    packs = texts.mapInArrow(_first_shingles(k, percent, buckets), "bucket long, pack binary")
+    packs = texts.mapInArrow(tidy(_first_shingles(k, percent, buckets)), "bucket long, pack binary")
     shared = keep(
-        packs.groupBy("bucket").applyInArrow(_shared(frequent_from), "kind int, name long, many long"), "ngram-shared"
+        packs.groupBy("bucket").applyInArrow(tidy_group(_shared(frequent_from)), "kind int, name long, many long"), "ngram-shared"
     )
     counted = shared.where("kind = 0").groupBy(F.col("name").alias("f1")).agg(F.sum("many").alias("shared"))
     near = classes.join(counted, "f1").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") * MARGIN / 100) - 2))
@@ -288,10 +288,10 @@ def ngram_components(
     frequent = spark.sparkContext.broadcast((names[order], level[order]))
 
     chosen = texts.join(near.select("f1", "rep", near["h"].alias("of")), (F.col("h") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep"))).select("f1", "text")
-    sets = keep(chosen.mapInArrow(_ordered_sets(k, buckets, frequent), "rep long, n long, items binary"), "ngram-sets")
+    sets = keep(chosen.mapInArrow(tidy(_ordered_sets(k, buckets, frequent)), "rep long, n long, items binary"), "ngram-sets")
 
     # Blocks of equal min-hash; a frequent one is split, each part with its first set.
-    keyed = sets.mapInArrow(_min_hashes(rounds), "key long, rep long, items binary")
+    keyed = sets.mapInArrow(tidy(_min_hashes(rounds)), "key long, rep long, items binary")
     stats = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("rep").alias("pivot")), "ngram-keys")
     total = stats.agg(F.sum("many")).first()[0] or 0
     per_block = max(256, -(-total // MOST_HOT_KEYS))
@@ -300,7 +300,7 @@ def ngram_components(
     block = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     blocks = keyed.join(F.broadcast(hot), "key", "left").select("key", F.explode(block).alias("block"), "rep", "items")
     links = keep(
-        blocks.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_block_links(percent), "a long, b long"),
+        blocks.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(tidy(_block_links(percent)), "a long, b long"),
         "ngram-links",
     )
 
@@ -310,7 +310,7 @@ def ngram_components(
     labelled = sets.join(labels, sets["rep"] == labels["id"], "left").select(
         "rep", "items", F.coalesce("component", "rep").alias("label")
     )
-    firsts = keep(labelled.mapInArrow(_prefix_rows(percent), "token long, rep long, n int, label long"), "ngram-firsts")
+    firsts = keep(labelled.mapInArrow(tidy(_prefix_rows(percent)), "token long, rep long, n int, label long"), "ngram-firsts")
     mixed = (
         firsts.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
         .groupBy("token").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
@@ -352,7 +352,7 @@ def ngram_components(
     more = (
         walked.unionByName(stored).join(sets.select("rep", "items"), "rep")
         .repartition("block", "salt").sortWithinPartitions("block", "salt")
-        .mapInArrow(_probe_links(percent), "a long, b long")
+        .mapInArrow(tidy(_probe_links(percent)), "a long, b long")
     )
     more = keep(more, "ngram-more")
     if not more.isEmpty():

@@ -86,6 +86,43 @@ def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> D
     return salted.drop("__salts").join(groups.withColumn("__salt", spread), [*on, "__salt"], "left").drop("__salt")
 
 
+def _given_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` over batches; when a partition is done, its worker gives freed memory back
+    to the system. Workers stay between stages, and what they hold counts against the
+    executor while others work."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _given_back()
+
+    return tidied
+
+
+def tidy_group(run):
+    """The same for a function of one group."""
+
+    def tidied(table):
+        out = run(table)
+        _given_back()
+        return out
+
+    return tidied
+
+
 def unused(name: str, taken: list[str]) -> str:
     """``name``, with as many underscores behind it as no column has."""
     while name.lower() in {t.lower() for t in taken}:

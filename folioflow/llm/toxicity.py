@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .tasks import keep, text_or_empty, unused
+from .tasks import keep, text_or_empty, tidy, unused
 
 #: Most labelled rows of either label that fitting looks at, and most terms and
 #: exception phrases that a lexicon holds: all that is broadcast or collected.
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(rows) < 2:
         return Lexicon()
     bad, good = rows[1], rows[0]
-    counts = sample.select("toxic", "text").mapInArrow(_count_terms, "term string, toxic int, rows long")
+    counts = sample.select("toxic", "text").mapInArrow(tidy(_count_terms), "term string, toxic int, rows long")
     counts = keep(
         counts.groupBy("term").agg(F.sum(F.expr("rows * toxic")).alias("p"), F.sum(F.expr("rows * (1 - toxic)")).alias("n")), "tox-terms"
     )
@@ -203,13 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     lexicon.weights = {r["term"]: r["weight"] for r in found}
     if any(r["n"] for r in found):
-        contexts = sample.select("toxic", "text").mapInArrow(_count_contexts(lexicon), "term string, toxic int, rows long")
+        contexts = sample.select("toxic", "text").mapInArrow(tidy(_count_contexts(lexicon)), "term string, toxic int, rows long")
         contexts = contexts.groupBy("term").agg(F.sum(F.expr("rows * toxic")).alias("p"), F.sum(F.expr("rows * (1 - toxic)")).alias("n"))
         lexicon.exceptions = [
             r["term"]
             for r in contexts.where("p = 0 and n >= 5").orderBy(F.desc("n"), "term").limit(MOST_EXCEPTIONS).collect()
         ]
-    got = sample.mapInArrow(_feature_rows(lexicon), "id long, toxic int, heaviest double, density double").orderBy("id", "heaviest").collect()
+    got = sample.mapInArrow(tidy(_feature_rows(lexicon)), "id long, toxic int, heaviest double, density double").orderBy("id", "heaviest").collect()
     x = np.array([[1.0, r["heaviest"], r["density"]] for r in got])
     y = np.array([float(r["toxic"]) for r in got])
     w = np.zeros(3)
@@ -239,7 +239,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(lexicon, rows))], ["id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    scored = texts.mapInArrow(run, "id long, score double")
+    scored = texts.mapInArrow(tidy(run), "id long, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -269,5 +269,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = _scores(lexicon, [features(automaton, t.as_py() or "") for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s < 0.5)], [*names, stays])
 
-    kept = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(stays, BooleanType())]))
+    kept = docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(stays, BooleanType())]))
     return kept.where(F.col(stays)).drop(stays)
