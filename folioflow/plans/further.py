@@ -13,7 +13,8 @@ from ..operators import references as R
 from ..sources import ocr
 from ..streaming import events as E
 from .registry import query
-from .research import BLOCKS, COS, EDGES, SEED, asked_vectors, blocks, edges, first_vector, reference_blocks, vectors
+from .research import _coupled as coupled
+from .research import BLOCKS, COS, EDGES, L1, SEED, SETS, asked_vectors, blocks, edges, first_vector, reference_blocks, vectors
 
 
 def _q(s: str) -> str:
@@ -244,6 +245,32 @@ def _(t):
     return E.polled(o.where("id % 3 > 0"), fresh, "id", F.col("id") % 40 == 0)
 
 
+@query("k10_sse_messages", """
+SELECT event_id AS id, 'id: ' || event_id || chr(10) || 'event: folder-change' || chr(10) || 'data: {"user_id":' || user_id || ',"type":"' || event_type || '"}' || chr(10) || chr(10) AS message FROM events""")
+def _(t):
+    return E.sse_messages(t("events").select("event_id", "user_id", F.col("event_type").alias("type")), "folder-change")
+
+
+@query("p11_dual_threshold", f"""
+WITH {SETS}, {L1}, {coupled('l1')} SELECT id, round(bc, 6) AS bc, round(cc, 6) AS cc, round(0.5 * bc + 0.5 * cc, 6) AS score FROM k
+WHERE bc >= 0.002 AND cc >= 0.002 ORDER BY 0.5 * bc + 0.5 * cc DESC, id LIMIT 40""")
+def _(t):
+    e = edges(t)
+    rows = graph.ranked(graph.coupling(e, graph.layers(e, SEED, 1), SEED), 40, 0.002, 0.002)
+    return rows.select("id", *(F.round(c, 6).alias(c) for c in ("bc", "cc", "score")))
+
+
+@query("p7_folders_if_given", f"""
+SELECT q.vec_id AS query_id, a.vec_id AS id, round({COS}, 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0 AND a.vec_id % 2 = 0
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, a.vec_id) <= 20""")
+def _(t):
+    """As ``v10_chunks_each``, with no folder given: no folder is left out."""
+    v = vectors(t).withColumn("paper_id", F.col("id") % 50)
+    papers = v.select("paper_id").distinct().withColumn("folder", F.col("paper_id") % 25)
+    chunks = v.where("id % 2 = 0").select("id", "paper_id", F.col("id").cast("string").alias("content"))
+    return search.search_chunks(papers, chunks, v.select("id", "vector"), asked_vectors(t)).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 # Searches of a request meet in thirty pages: three lists with pages in common.
 _REQUESTS = """u AS (SELECT page_id // 30 AS request, 0 AS query_idx, page_id AS rank, url FROM pages WHERE page_id % 2 = 0
   UNION ALL SELECT page_id // 30, 1, page_id, url FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id // 30, 2, -page_id, url FROM pages WHERE page_id % 5 > 0),

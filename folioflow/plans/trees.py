@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import sidecar_path
+from ..sources import ocr
 from ..sources.page_tree import PageTree
 from ..sources.tables import shared_folder
 from ..sources.watch import WatchSource
@@ -58,6 +60,24 @@ def _(t):
     return rows.select("document", "page", "file", "is_json", F.when(F.col("is_json"), F.get_json_object("raw", "$.url")).alias("url"))
 
 
+@query("s5_sidecars", """
+SELECT page_id::VARCHAR AS pdf, page_id % 2 = 0 AS has_sidecar, CASE WHEN page_id % 2 = 0 AND page_id % 3 > 0 THEN url END AS source FROM pages""")
+def _(t):
+    """A PDF for each page, half of them with a sidecar, a third of these damaged."""
+    pages = t("pages").select("page_id", "url")
+    spark, root = pages.sparkSession, _folder(pages.sparkSession, "papers")
+    said = F.to_json(F.struct(F.col("url").alias("source"), F.array().alias("pages")))
+    name = lambda end: F.concat(F.col("page_id").cast("string"), F.lit(end)).alias("path")
+    side = pages.where("page_id % 2 = 0").select(name(".ocr.json"), F.when(F.col("page_id") % 3 > 0, said).otherwise("{broken").alias("text"))
+    _written(pages.select(name(".PDF"), F.lit("pdf").alias("text")).unionByName(side), root)
+    pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "*.PDF").load(root).select("path")
+    sidecars = ocr.read_sidecars(spark, root)
+    known = ocr.with_sidecar(pdfs, sidecars).select(F.col("path").alias("__path"), F.lit(True).alias("has_sidecar"))
+    both = pdfs.select(F.col("path").alias("__path")).join(known, "__path", "left").withColumn("__side", sidecar_path(F.col("__path")))
+    both = both.join(sidecars.select(F.col("path").alias("__side"), "source"), "__side", "left")
+    return both.select(F.regexp_extract("__path", r"([0-9]+)\.PDF$", 1).alias("pdf"), F.coalesce("has_sidecar", F.lit(False)).alias("has_sidecar"), "source")
+
+
 @query("s16_watched_tree", """
 SELECT 'sub/' || page_id || '.md' AS path, CASE page_id % 5 WHEN 1 THEN 'change' WHEN 2 THEN 'unlink' WHEN 3 THEN 'add' END AS type, CASE WHEN page_id % 5 <> 2 THEN length('now ' || page_id) END AS size
 FROM pages WHERE page_id % 5 IN (1, 2, 3)""")

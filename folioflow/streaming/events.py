@@ -215,6 +215,13 @@ def merge_every(fresh: DataFrame, merge, checkpoint: str, seconds: int = 5):
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def sse_messages(rows: DataFrame, event: str, event_id: str = "event_id") -> DataFrame:
+    """(id, message): each row as a message of a server-sent stream, its columns as JSON."""
+    data = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != event_id]))
+    said = F.concat(F.lit("id: "), F.col(event_id).cast("string"), F.lit(f"\nevent: {event}\ndata: "), data, F.lit("\n\n"))
+    return rows.select(F.col(event_id).alias("id"), said.alias("message"))
+
+
 def to_ndjson(rows: DataFrame, path: str, checkpoint: str):
     """A started query that writes each row as a line of JSON."""
     lines = rows.select(F.to_json(F.struct("*")).alias("value"))
