@@ -449,9 +449,20 @@ def _(t):
     return fusion.pruned(cited_answers(t)).drop("cited")
 
 
-@query("f21_linked_citations")
-def _(t):
-    return fusion.linked_citations(cited_answers(t).withColumnRenamed("sources", "urls")).select("conv_id", "turn", "linked")
+# RE2 has no look-behind: marks that a ! precedes are put aside first.
+@query("f21_linked_citations", r"""
+WITH x AS (SELECT conv_id, turn, list_transform([1, 2, 3, 4], lambda i: 's' || i || '-' || conv_id) AS urls,
+  replace('x [' || conv_id % 7 || '] y [' || turn + 1 || ', ' || conv_id % 4 || '] z tel. [41555512' || conv_id || '34] ![1] [x, 2] [-2] [00' || turn % 3 || ']', '![', chr(1)) AS s FROM conversations),
+m AS (SELECT *, string_split_regex(s, '\[[^\]]+\]') AS gaps, regexp_extract_all(s, '\[([^\]]+)\]', 1) AS marks FROM x),
+l AS (SELECT *, list_transform(marks, lambda k: array_to_string(list_transform(list_transform(string_split(k, ','), lambda p: trim(p)), lambda p:
+  CASE WHEN NOT regexp_matches(p, '^[+-]?\d') OR regexp_matches(p, '^(-|[+-]?0+($|\D))') THEN '[' || p || ']'
+    WHEN length(regexp_extract(p, '^\+?0*(\d+)', 1)) < 10 AND urls[regexp_extract(p, '^\+?0*(\d+)', 1)::BIGINT] IS NOT NULL
+    THEN '<citation href="' || urls[regexp_extract(p, '^\+?0*(\d+)', 1)::BIGINT] || '">' || p || '</citation>' ELSE '' END), '')) AS made FROM m)
+SELECT conv_id, turn, replace(array_to_string(list_transform(generate_series(1, len(gaps)), lambda i: gaps[i] || coalesce(made[i], '')), ''), chr(1), '![') AS linked FROM l""")
+def _(t):
+    more = F.concat(F.lit(" tel. [41555512"), F.col("conv_id").cast("string"), F.lit("34] ![1] [x, 2] [-2] [00"), (F.col("turn") % 3).cast("string"), F.lit("]"))
+    answers = cited_answers(t).withColumn("answer", F.concat("answer", more)).withColumnRenamed("sources", "urls")
+    return fusion.linked_citations(answers).select("conv_id", "turn", "linked")
 
 
 @query("d11_chat_sections", """

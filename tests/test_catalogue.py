@@ -7,7 +7,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["v5_vector_topk", "g6_snowball", "d4_sections", "d9_fused_results", "f19_f20_pruned_citations", "k2_upsert", "t1_debounced", "j11_duplicate_detection",
-          "d9_fused_each", "d10_judged_each", "t5_output_between_tags", "s7_page_tree", "s16_watched_tree", "v5_distance_scores_pruned", "f52_nested_blocks", "v8_index_life"]
+          "d9_fused_each", "d10_judged_each", "t5_output_between_tags", "s7_page_tree", "p11_dual_threshold"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")

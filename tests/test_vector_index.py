@@ -32,7 +32,7 @@ def same_rows(a, b):
 
 
 @pytest.mark.parametrize("score", ["cosine", "distance"])
-@pytest.mark.parametrize("k", [1, 7, 200])
+@pytest.mark.parametrize("k", [1, 200])
 def test_pruned_join_equals_the_scan(spark, score, k):
     rows = spark.createDataFrame(clustered(900) + odd_rows(), ROWS).repartition(3)
     queries = rows.where("id % 45 = 0 or id > 9000").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
