@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import keep
+from ..sources.tables import forget, keep
 
 GAP = 40.0
 #: Cells on a side of a page's grid: so many at least, and as many as boxes need.
@@ -69,7 +69,9 @@ def grouped(boxes: DataFrame, by: list[str], gap: float = GAP) -> DataFrame:
             ahead = low.select(*by, F.col("i").alias("cluster"), F.col("cluster").alias("ahead"))
             new = keep(low.join(ahead, [*by, "cluster"]).select(*by, "i", F.least("cluster", "ahead").alias("cluster")))
             moved = new.agg(F.sum("cluster")).first()[0] != labels.agg(F.sum("cluster")).first()[0]
+            forget(labels)
             labels = new
             if not moved:
                 break
+        forget(both)
     return boxes.join(own.select(*by, "i", "rep"), [*by, "i"]).join(labels.withColumnRenamed("i", "rep"), [*by, "rep"]).drop("rep")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import keep
+from ..sources.tables import forget, keep
 from .pivots import nearest_pruned
 
 MIN_DIST = 0.25
@@ -131,7 +131,8 @@ def laid_out(rows: DataFrame, rounds: int = ROUNDS, min_dist: float = MIN_DIST)
         pulls = pulls.groupBy("id").agg(*(mean(c) for c in AXES))
         moved = places.join(pulls, "id", "left").select("id", *AXES, *(f"p{c}" for c in AXES))
         sample = np.array([list(r) for r in some])
-        places = keep(moved.mapInArrow(_pushed(sample, a, b, 1.0 - 0.95 * nth / rounds), places.schema))
+        last, places = places, keep(moved.mapInArrow(_pushed(sample, a, b, 1.0 - 0.95 * nth / rounds), places.schema))
+        forget(last)
     return places
 
 

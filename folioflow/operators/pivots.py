@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..sources.tables import keep
+from ..sources.tables import forget, keep
 from .search import BLOCK_NUMBERS, PACK_NUMBERS, best_kind, best_of_packs, packed
 
 #: Numbers in all pivots, pivots of vectors of one size, rows for each pivot, and sizes
@@ -139,6 +139,7 @@ class PivotIndex:
         ranged = placed.repartitionByRange("__dim", "__cell", "__dist", F.xxhash64(*self.order)).sortWithinPartitions("__dim", "__cell", "__dist")
         rings = ranged.mapInArrow(_rings(self.order, pack_numbers), "__pack binary, __dim int, __cell int, low double, high double, n long")
         self.packs = keep(rings.withColumn("ring", F.monotonically_increasing_id()))
+        forget(placed)
         self.rings = self.packs.drop("__pack")
         cells = self.rings.groupBy("__dim", "__cell").agg(F.min("low"), F.max("high"), F.sum("n")).collect()  # as many as pivots
         self.cells: dict[int, dict[int, tuple]] = {}

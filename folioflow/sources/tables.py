@@ -38,6 +38,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``keep`` wrote, once all that was made of them is written too."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def swap(df: DataFrame, folder: str, name: str) -> str:
     """Write a new version of a table; readers take the path that is returned. The
     table that ``df`` may read is never overwritten."""
