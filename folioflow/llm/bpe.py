@@ -247,7 +247,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     Ids equal those of the tokenizers library for byte-level vocabularies. Null
     and empty texts give no tokens, a table without rows none. A vocabulary's
-    special tokens that occur in a text are encoded as the library does it. Other
+    special tokens that occur in a text are encoded as the library does it. Texts of any
+    length are encoded whole. Other
     columns are not looked at.
     """
     return _answered(docs, tokenizer_path, id_col, text_col).mapInArrow(tidy(_put_in), "id long, ids binary").withColumnRenamed("id", id_col)

@@ -251,7 +251,7 @@ def dedup_substrings(
     Null and empty texts have no chunks. Spans never split a character. Rows of one
     id, or of none, are rows of their own; rows without an id come last where the first
     of equal pairs stays, and which of several rows of one id has it is not said. Extra
-    columns are not looked at; an empty table gives no rows.
+    columns are not looked at; an empty table gives no rows. Texts of any length are cut whole.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     packs = keep(texts.mapInArrow(pack_rows(), PACK_SCHEMA), "cdc-packs")

@@ -106,7 +106,7 @@ def mix(
     A null source is a source of its own, last in order; null and empty texts have
     size 0 and give nothing. A source's taken words differ from its target by about
     a block. Rows of one id, or of none, are rows of their own, in the order of their
-    sizes; an empty table gives no rows. Other columns are not looked at.
+    sizes; an empty table gives no rows. Other columns are not looked at; texts of any length count whole.
     """
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
     dealt = _dealt(keep(sizes, "mix-sizes"), seed, block, shard_docs)

@@ -261,7 +261,7 @@ def ngram_components(
     Ids are integers. Rows of one id are one document, so what any of its texts links
     with hangs together; each keeps its own n_shingles. Rows without an id link like
     others; their component_id is null where nothing with an id is reached. Other
-    columns are not looked at; an empty table gives no rows.
+    columns are not looked at; an empty table gives no rows. Texts of any length are compared whole.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))

@@ -230,7 +230,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts anywhere else too is removed, overlaps included; cuts may fall inside a
     character, so ``kept`` is binary. Null and empty texts have nothing to remove.
     Ids are integers; rows of one id, or of none, stay rows of their own, each a copy
-    of the others where texts are equal. Other columns are not looked at; an empty
+    of the others where texts are equal. Texts of any length are looked at whole. Other
+    columns are not looked at; an empty
     table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

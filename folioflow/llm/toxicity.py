@@ -249,7 +249,8 @@ def held_out(id_col: str = "doc_id"):
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each document; labels of held-out
-    rows are not learned from."""
+    rows are not learned from. A row without an id has a null held_out. Texts of any
+    length are scored whole."""
     lexicon = fit(docs, labels.where(~held_out()))
     return score(docs, lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 

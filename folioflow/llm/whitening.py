@@ -4,7 +4,8 @@ Entries become integers, so that sums and centred products are exact however row
 dealt. Three passes: number and sums; products centred at the integer next to each
 mean, per task and then by rows of the matrix; the whitened rows' own covariance. What
 comes to the driver is the covariance matrix, whose size is that of a vector, squared.
-Its components come from contour integration (``feast``), one task an interval.
+Each pass reads the rows anew, and none is written: they must come from files or another
+source that gives the same rows again. Its components come from contour integration (``feast``), one task an interval.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from . import feast
-from .tasks import keep
 
 MOST = 32
 SCALE, OFFSET = 64, 1_000_000
@@ -151,7 +151,7 @@ def whitened(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     kind = rows.schema[id_col].dataType
     out = StructType([StructField(id_col, kind), StructField("component", IntegerType()), StructField("n", LongType()), StructField("deviation", LongType()),
                       StructField("whitened", DoubleType()), StructField("explained", DoubleType()), StructField("identity_error", DoubleType())])
-    vectors = keep(usable(rows.select(F.col(id_col).alias("__id"), F.col(vector).alias("__e")), "__e").select("__id", "__v"), "white-vectors")
+    vectors = usable(rows.select(F.col(id_col).alias("__id"), F.col(vector).alias("__e")), "__e").select("__id", "__v")
     first = vectors.select(F.size("__v").alias("d")).first()
     if first is None:
         return spark.createDataFrame([], out)
