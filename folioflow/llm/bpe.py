@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .tasks import key_runs, text_or_empty, tidy, tidy_group
 
-PACK_PIECES = 4_000_000
-BUCKET_CHARS = 16_000_000
+PACK_PIECES = 1_000_000
+BUCKET_CHARS = 8_000_000
 DECODE_BYTES = 1 << 20
 _CUT = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 
@@ -161,13 +161,13 @@ def _encode_words(path: str):
     """Encodes each distinct piece of a bucket once and answers each pack."""
 
     def run(table):
-        lists = [_unsqueeze_words(x) for x in table.column("words").to_pylist()]
-        number = {}
-        for words in lists:
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
+        # Of a pack's words only their numbers stay.
+        number, lists = _Numbers(), []
+        for blob in table.column("words"):
+            words = _unsqueeze_words(blob.as_py())
+            lists.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         distinct, tok = list(number), _tokenizer(path)
+        del number
         sizes, flat = np.zeros(len(distinct) + 1, np.int64), []
         for a in range(0, len(distinct), 4096):
             got = [e.ids for e in tok.encode_batch(distinct[a : a + 4096], add_special_tokens=False)]
@@ -175,8 +175,7 @@ def _encode_words(path: str):
             flat.append(np.fromiter((i for x in got for i in x), np.uint32))
         flat, starts = np.concatenate(flat), np.cumsum(sizes)
         answers = []
-        for words in lists:
-            own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        for own in lists:
             n = sizes[own + 1]
             ids = flat[_ranges(starts[own], n)]
             answers.append((_squeeze(n.astype(np.uint32)), _squeeze(ids)))
