@@ -46,32 +46,38 @@ def candidates(boxes: DataFrame, by: list[str], gap: float = GAP) -> DataFrame:
         out = rows.select(*by, box.alias(name), spread("x").alias("__x"), "__ya", "__yb")
         return out.select(*by, name, "__x", spread("y").alias("__y"))
 
-    return cells("a", 0).join(cells("b", 1), [*by, "__x", "__y"]).where("a.i < b.i").drop("__x", "__y")
+    return cells("a", 0).join(cells("b", 1).hint("merge"), [*by, "__x", "__y"]).where("a.i < b.i").drop("__x", "__y")
 
 
 def grouped(boxes: DataFrame, by: list[str], gap: float = GAP) -> DataFrame:
     """``boxes`` (by, i, x0, y0, x1, y1, margin; i numbers the boxes of a page) with
     cluster, the smallest i of the boxes reached by near ones. Boxes without a
     coordinate stand alone. Equal boxes that are near each other count as one."""
-    own = boxes.select(*by, "i", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "margin")))
-    same = Window.partitionBy(*by, "x0", "y0", "x1", "y1", "margin")
-    meets = (F.col("x1") - F.col("x0") + 2 * F.col("margin") > 0) & (F.col("y1") - F.col("y0") + 2 * F.col("margin") > 0)
-    own = keep(own.withColumn("rep", F.when(meets, F.min("i").over(same)).otherwise(F.col("i"))))
-    pairs = candidates(own.where("i = rep").drop("rep"), by, gap).where(_near(F.col("a.margin"), gap))
+    names, drawn = ("x0", "y0", "x1", "y1", "margin"), Window.partitionBy(*by)
+    side = {c: F.col(c).cast("double") for c in names}
+    same = Window.partitionBy(*by, *side.values())
+    meets = (side["x1"] - side["x0"] + 2 * side["margin"] > 0) & (side["y1"] - side["y0"] + 2 * side["margin"] > 0)
+    own = boxes.repartition(*by).withColumn("rep", F.when(meets, F.min("i").over(same)).otherwise(F.col("i")))
+    # A page's only box, as most are, takes no part in the rounds.
+    own = keep(own.withColumn("__met", F.count(F.when(F.col("i") == F.col("rep"), 1)).over(drawn) > 1))
+    single = own.where("i = rep and __met").select(*by, "i", *(c.alias(n) for n, c in side.items()))
+    pairs = candidates(single, by, gap).where(_near(F.col("a.margin"), gap))
     pairs = keep(pairs.select(*by, F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct())
-    labels = keep(own.where("i = rep").select(*by, "i", F.col("i").alias("cluster")))
+    labels = keep(single.select(*by, "i", F.col("i").alias("cluster")))
     if not pairs.isEmpty():
         both = keep(pairs.unionByName(pairs.select(*by, F.col("j").alias("i"), F.col("i").alias("j"))))
         while True:
-            # The least label around each box, then the label of that label.
-            around = both.join(labels.select(*by, F.col("i").alias("j"), "cluster"), [*by, "j"]).groupBy(*by, "i").agg(F.min("cluster").alias("least"))
-            low = labels.join(around, [*by, "i"], "left").withColumn("cluster", F.least("cluster", "least")).drop("least")
+            # The least label around each box, then the label of that label. Such tables are
+            # a few bytes a row on disk and many in memory: no size check sends them whole.
+            around = both.join(labels.select(*by, F.col("i").alias("j"), "cluster").hint("merge"), [*by, "j"]).groupBy(*by, "i").agg(F.min("cluster").alias("least"))
+            low = labels.join(around.hint("merge"), [*by, "i"], "left").withColumn("cluster", F.least("cluster", "least")).drop("least")
             ahead = low.select(*by, F.col("i").alias("cluster"), F.col("cluster").alias("ahead"))
-            new = keep(low.join(ahead, [*by, "cluster"]).select(*by, "i", F.least("cluster", "ahead").alias("cluster")))
+            new = keep(low.join(ahead.hint("merge"), [*by, "cluster"]).select(*by, "i", F.least("cluster", "ahead").alias("cluster")))
             moved = new.agg(F.sum("cluster")).first()[0] != labels.agg(F.sum("cluster")).first()[0]
             forget(labels)
             labels = new
             if not moved:
                 break
         forget(both)
-    return boxes.join(own.select(*by, "i", "rep"), [*by, "i"]).join(labels.withColumnRenamed("i", "rep"), [*by, "rep"]).drop("rep")
+    found = own.join(labels.withColumnRenamed("i", "rep").hint("merge"), [*by, "rep"], "left")
+    return found.select(*boxes.columns, F.coalesce("cluster", "rep").alias("cluster"))

@@ -166,10 +166,10 @@ def figure_regions(blocks: DataFrame, key: str) -> DataFrame:
     """Clusters of at least a hundredth of the page, each with the first caption that
     starts within 15 % of the page's height of its lower edge."""
     size = blocks.groupBy(key, "page").agg(F.max("height").alias("height"), F.max("width").alias("width"))
-    regions = figure_clusters(blocks, key).join(size, [key, "page"]).where("covered >= 0.01 * width * height")
+    regions = figure_clusters(blocks, key).join(size.hint("merge"), [key, "page"]).where("covered >= 0.01 * width * height")
     captions = blocks.where((F.col("label") == "figure_title") & (F.length(trimmed(F.col("content"))) > 0) & F.col("y1").isNotNull())
     captions = captions.select(key, "page", F.col("nth").alias("__nth"), F.col("y0").alias("__y"), trimmed(F.col("content")).alias("__text"))
-    near = regions.join(captions, [key, "page"], "left")
+    near = regions.join(captions.hint("merge"), [key, "page"], "left")
     fits = F.abs(F.col("__y") - F.col("y1")) < 0.15 * F.col("height")
     out = near.groupBy(key, "page", "cluster", "x0", "y0", "x1", "y1", "covered").agg(F.min_by(F.when(fits, F.col("__text")), F.when(fits, F.col("__nth"))).alias("caption"))
     return out.withColumn("doc_order", F.col("page") * 10000 + js_round(F.col("y0"))).withColumn("caption", F.coalesce("caption", F.lit("")))
@@ -214,7 +214,7 @@ def first_figures(blocks: DataFrame, key: str, band: float = 0.8) -> DataFrame:
     )
     near = _visual(blocks).join(chosen, key).withColumn("__tier", tier).where("__tier is not null")
     near = near.withColumn("__best", F.min("__tier").over(Window.partitionBy(key))).where("__tier = __best").withColumn("height", F.col("__height"))
-    groups = figure_clusters(near, key).join(chosen.select(key, "__page"), key)
+    groups = figure_clusters(near, key).join(chosen.select(key, "__page").hint("merge"), key)
     best = groups.groupBy(key, "__page").agg(F.max_by(F.struct("x0", "y0", "x1", "y1"), F.struct("covered", -F.col("cluster"))).alias("b"))
     return best.select(key, F.col("__page").alias("page"), "b.*")
 

@@ -72,3 +72,13 @@ def test_candidates_grow_with_the_boxes_where_none_meet(spark):
 
 def test_no_boxes(spark):
     assert grouped(spark.createDataFrame([], BOX), ["page"]).collect() == []
+
+
+def test_groups_send_no_kept_table_whole(spark):
+    """Kept tables are a few bytes a row on disk: size checks of joins must not send them."""
+    rows = spark.createDataFrame(pages(3), BOX)
+    with_more = grouped(rows.withColumn("name", F.lit("n")), ["page"])
+    assert with_more.columns == [*rows.columns, "name", "cluster"]
+    plans = [with_more, candidates(rows, ["page"])]
+    assert all("Broadcast" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert {(r["page"], r["i"]): r["cluster"] for r in with_more.collect()} == brute(pages(3))
