@@ -41,6 +41,10 @@ PUBLISHED = r"published\s*[:\s]\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[a-z]+\s+\d{1,2
 # One name is enough for the marks of authors: further ones up to the next comma or
 # full stop are part of what follows it.
 AUTHOR_MARK = r"[A-Z][a-z]+[^,.]+([,.]\s*)?(\$?\s?\^\{\d+\}\s?\$?|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)"
+MARK = r"\^\{\d+\}|[¹²³⁴⁵⁶⁷⁸⁹⁰]"
+# From the first to the last character that is no white space: a hundred or more.
+LONG_ENOUGH = r"(?s)\S.{98,}\S"
+DOI_START = r"^\s*((https?://)?(www\.)?doi\.org/|10\.)"
 METHODS = (
     r"methods|materials?\s+and\s+methods|methods?\s+and\s+materials?|experimental|experimental\s+section|"
     r"experimental\s+methods?|materials?|methodology|procedures?|computational\s+methods?|"
@@ -71,22 +75,30 @@ def contains_any(c: Column, words) -> Column:
 def normal_lines(c: Column) -> Column:
     """Trimmed, with LF line ends, single blanks, and no blank around a line end."""
     c = F.replace(trimmed(c), F.lit("\r\n"), F.lit("\n"))
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
     return F.replace(F.replace(c, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
 
 
+def with_value(c: Column, made) -> Column:
+    """``made(c)``, for which ``c`` is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
 def is_uninformative(content: Column) -> Column:
     """Whether a chunk is too short, bare of letters and digits, a DOI, boilerplate,
-    a publication date or a list of marked authors."""
-    t = trimmed(content)
-    marks = F.size(F.regexp_extract_all(t, F.lit(AUTHOR_MARK), F.lit(0)))
+    a publication date or a list of marked authors.
+
+    White space at the ends counts for the length and the DOI only. What looks for
+    authors may go back over all that follows a name, so it sees marked texts alone.
+    """
+    marks = F.size(F.regexp_extract_all(content, F.lit(AUTHOR_MARK), F.lit(0)))
     return (
-        (F.length(t) < 100)
-        | ~t.rlike("[a-zA-Z0-9]")
-        | t.rlike(f"(?i){DOI_ONLY}")
-        | contains_any(F.lower(t), BOILERPLATE)
-        | t.rlike(f"(?i){PUBLISHED}")
-        | (marks >= 2)
+        ~content.rlike(LONG_ENOUGH)
+        | ~content.rlike("[a-zA-Z0-9]")
+        | (content.rlike(f"(?i){DOI_START}") & trimmed(content).rlike(f"(?i){DOI_ONLY}"))
+        | with_value(F.lower(content), lambda t: contains_any(t, BOILERPLATE))
+        | content.rlike(f"(?i){PUBLISHED}")
+        | (content.rlike(MARK) & (marks >= 2))
     )
 
 

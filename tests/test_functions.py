@@ -1,6 +1,7 @@
 """Golden cases of text, value and vector functions."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,24 @@ def test_vectors(spark):
     assert math.isclose(one(spark, strict_cosine(v(1.0, 2.0), v(2.0, 4.0))), 1)
     with pytest.raises(Exception, match="can't be compared"):
         one(spark, strict_cosine(v(0.0), v(1.0)))
+
+
+def test_the_chunk_filter_reads_long_texts_once(spark):
+    """Names without marks after them: each one looked on to the end of the text."""
+    begun = time.time()
+    assert one(spark, X.is_uninformative(F.repeat(F.lit("Smith and so on "), 20_000))) is False
+    assert time.time() - begun < 10
+    for text, want in (
+        ("  " + "b" * 99 + "\n", True), ("  " + "b" * 98 + " c\n", False), (" \n10.1234/" + "A" * 100 + " ", True), ("10.1234/" + "A" * 100 + " b", False), ("." * 200, True), (None, None),
+        ("Smith^{1}, Jones^{2} " + "and more " * 20, True), ("Smith^{1} " + "and more " * 20, False), ("One ², Two ³ " + "and more " * 20, True), ("x" * 100 + " OPEN Access", True), ("x" * 100 + " published: 1 May 2020", True),
+    ):
+        assert one(spark, X.is_uninformative(F.lit(text).cast("string"))) is want, text
+
+
+def test_segments_of_a_block_need_no_shuffle(spark):
+    rows = spark.createDataFrame([("d", 0, "one line"), ("d", 1, "before\n1. First\nof it\n2. Second \n"), ("d", 2, "a\n3. only one\nb"), ("d", 3, "1. a\n2. b")], "k string, block int, content string")
+    got = R.segments(rows, "k")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [
+        ("d", 0, 0, "one line"), ("d", 1, 0, "before\n1. First\nof it"), ("d", 1, 1, "2. Second"), ("d", 2, 0, "a\n3. only one\nb"), ("d", 3, 0, "1. a"), ("d", 3, 1, "2. b"),
+    ]
