@@ -11,9 +11,10 @@ def js_round(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
-def one_digit(c: Column) -> Column:
+def one_digit(c: Column, to_even: bool = False) -> Column:
     """A number from 0 on with one digit after the point. The exact binary value is
-    rounded, halves up, so 358.65, which is stored as a bit less, gives 358.6.
+    rounded, halves up, so 358.65, which is stored as a bit less, gives 358.6. With
+    ``to_even`` halves go to the even digit, as printf has it: 1.25 gives 1.2.
 
     The fraction is split in two parts of few bits, so that twenty times either is
     exact and no rounding of its own can move a value over a half.
@@ -23,7 +24,8 @@ def one_digit(c: Column) -> Column:
     part = c - whole
     high = F.floor(part * 67_108_864) / 67_108_864
     low = part - high
-    tenths = sum((F.when((high * 20 - (2 * k + 1)) + low * 20 >= 0, 1).otherwise(0) for k in range(10)), F.lit(0))
+    over = lambda k: (high * 20 - (2 * k + 1)) + low * 20
+    tenths = sum((F.when(over(k) > 0 if to_even and k % 2 == 0 else over(k) >= 0, 1).otherwise(0) for k in range(10)), F.lit(0))
     total = whole * 10 + tenths
     return F.concat(F.floor(total / 10).cast("string"), F.lit("."), F.pmod(total, F.lit(10)).cast("string"))
 
@@ -53,11 +55,11 @@ def size_text(gb: Column) -> Column:
     return F.when(gb >= 1, F.concat(one_digit(gb), F.lit(" GB"))).when(gb > 0, F.concat(js_round(gb * 1024).cast("string"), F.lit(" MB")))
 
 
-def count_text(n: Column, thousands: bool = True) -> Column:
+def count_text(n: Column, thousands: bool = True, to_even: bool = False) -> Column:
     """A count in millions or thousands with one digit after the point."""
-    out = F.when(n >= 1_000_000, F.concat(one_digit(n / 1_000_000), F.lit("M")))
+    out = F.when(n >= 1_000_000, F.concat(one_digit(n / 1_000_000, to_even), F.lit("M")))
     if thousands:
-        out = out.when(n >= 1_000, F.concat(one_digit(n / 1_000), F.lit("K")))
+        out = out.when(n >= 1_000, F.concat(one_digit(n / 1_000, to_even), F.lit("K")))
     return out.otherwise(n.cast("string"))
 
 
@@ -69,12 +71,9 @@ def parameter_text(n: Column) -> Column:
     )
 
 
-def context_text(n: Column) -> Column:
-    return (
-        F.when(n >= 1_000_000, F.concat(one_digit(n / 1_000_000), F.lit("M")))
-        .when(n >= 1_000, F.concat(js_round(n / 1_000).cast("string"), F.lit("K")))
-        .when(n > 0, n.cast("string"))
-    )
+def context_text(n: Column, millions: bool = True) -> Column:
+    thousands = F.when(n >= 1_000, F.concat(js_round(n / 1_000).cast("string"), F.lit("K"))).when(n > 0, n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(one_digit(n / 1_000_000), F.lit("M"))).otherwise(thousands) if millions else thousands
 
 
 def rgb(colour: Column) -> Column:

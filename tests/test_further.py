@@ -210,3 +210,10 @@ def test_folders_thresholds_and_seeds(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (2, 5)], "src int, dst int")
     steps = [tuple(r) for r in graph.progress_rows(edges, graph.layers(edges, 1, 2), 1, 2).orderBy("phase", "current").collect()]
     assert steps == [(2, "Found 2 references.", None, None), (3, "Found 1 citations.", None, None), (4, "Processing, (3 papers)...", 2, 1), (4, "Processing, (1 papers)...", 2, 2)]
+
+
+def test_formats_as_their_sql_has_them(spark):
+    """Halves go to the even digit, and contexts stay in thousands."""
+    for n, up, even in ((1250.0, "1.3K", "1.2K"), (1750.0, "1.8K", "1.8K"), (2_250_000.0, "2.3M", "2.2M"), (358_650.0, "358.6K", "358.6K"), (1999.99, "2.0K", "2.0K")):
+        assert (one(spark, V.count_text(F.lit(n))), one(spark, V.count_text(F.lit(n), to_even=True))) == (up, even)
+    assert one(spark, V.context_text(F.lit(1_250_499))) == "1.3M" and one(spark, V.context_text(F.lit(1_250_499), millions=False)) == "1250K"
