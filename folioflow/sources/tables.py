@@ -6,6 +6,7 @@ to the table that replaces them; ``swap`` writes it beside the old one.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -39,13 +40,16 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables that ``keep`` wrote, once all that was made of them is written too."""
+    """Deletes tables that ``keep`` wrote, once all that was made of them is written too,
+    and lets the driver drop the shuffle files of finished jobs."""
     for table in tables:
         files = table.inputFiles()
         if files:
             jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
             path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def swap(df: DataFrame, folder: str, name: str) -> str:

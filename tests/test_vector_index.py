@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import search, vector_index
+from folioflow.operators import pivots, search, vector_index
 from folioflow.operators.pivots import PivotIndex, nearest_pruned
 from folioflow.operators.vector_index import VectorIndex, linked, recall, walked
 
@@ -49,6 +49,22 @@ def test_pruned_join_scores_fewer_pairs(spark):
     assert index.rings.agg(F.max("n")).first()[0] <= 64
 
 
+@pytest.mark.parametrize("score", ["cosine", "distance"])
+def test_pruned_join_writes_no_pairs(spark, monkeypatch, score):
+    """Vectors without groups: nearly each query meets each ring, what is kept stays by the rows."""
+    v = np.random.default_rng(4).standard_normal((1500, 8))
+    rows = spark.createDataFrame([(k, 1, [float(x) for x in r]) for k, r in enumerate(v)], ROWS)
+    queries = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    written, kept = [], pivots.keep
+    monkeypatch.setattr(pivots, "keep", lambda df: written.append(kept(df)) or written[-1])
+    index, before = PivotIndex(rows, score, pack_numbers=8 * 20), len(written)
+    got = index.nearest(queries, 3)
+    assert index.rings.count() > 75
+    assert all(df.count() <= 3 * 1500 for df in written[before:] if df.inputFiles() and os.path.exists(df.inputFiles()[0].removeprefix("file://")))
+    assert not any(c[1].startswith("array") for df in written[before:] for c in df.dtypes if c[0] != "q")
+    same_rows(got, search.nearest_each(rows, queries, 3, score))
+
+
 def test_a_cell_of_equal_vectors_is_cut_into_rings(spark):
     rows = spark.range(1000).select("id", F.lit(1).alias("folder"), F.array(F.lit(1.0), F.when(F.col("id") % 3 == 0, F.col("id") / 7).otherwise(2.0)).alias("vector"))
     index = PivotIndex(rows, "distance", pack_numbers=100)
