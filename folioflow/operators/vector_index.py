@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import BLOCK_NUMBERS, best_kind
+from .search import best_kind
 
 #: Numbers in a shard's vectors, links of a row (twice that with links back), near rows
 #: looked at for them, random links, rows where walks start, rows expanded at once.
@@ -29,9 +29,15 @@ NEAR = 64
 RANDOM_LINKS = 4
 STARTS = 128
 AT_ONCE = 4
-#: Width of the beam, and the most slots that shards are dealt to for a search.
+#: Pairs of rows whose distances are held at once to link them.
+PAIRS = 1 << 21
+#: Width of the beam, and the most slots that shards are dealt to for a search. Numbers in
+#: the queries that come to a shard at once, as the shard comes anew each time; queries
+#: that walk at once, each with some hundred vectors in hand.
 EF = 64
 SLOTS = 1000
+BLOCK_NUMBERS = 1 << 18
+WALKING = 64
 
 
 def _sound(rows: DataFrame, vector: str) -> DataFrame:
@@ -47,7 +53,7 @@ def linked(x: np.ndarray, links: int = LINKS, near: int = NEAR, seed: int = 0) -
     if near < 1:
         return out
     squares = np.einsum("ij,ij->i", x, x)
-    step = max(1, min(1024, (1 << 24) // max(n, near * near, near * x.shape[1])))
+    step = max(1, min(1024, PAIRS // max(n, near * near, near * x.shape[1])))
     for a in range(0, n, step):
         own = np.arange(a, min(n, a + step))
         d = squares - 2 * (x[own] @ x.T)
@@ -265,6 +271,24 @@ class VectorIndex:
 
 
 def _found(dim: int, k: int, ef: int):
+    def of_some(rows, x, links, ends, ids, q):
+        near, _, _ = walked(x, links, q, k, ef)
+        # All rows of a node, as long as nearer ones are fewer than k.
+        copies = np.where(near >= 0, ends[near] - np.where(near > 0, ends[near - 1], 0), 0)
+        wanted = (near >= 0) & (np.cumsum(copies, axis=1) - copies < k)
+        row, at = np.nonzero(wanted)
+        node, n = near[row, at], copies[row, at]
+        row, node = np.repeat(row, n), np.repeat(node, n)
+        nth = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
+        place = ends[node] - np.repeat(n, n) + nth
+        # Scores as an exact search has them: summed in order.
+        d = np.zeros(len(node))
+        for j in range(dim):
+            d += (x[node, j] - q[row, j]) ** 2
+        out = rows.take(pa.array(place))
+        table = pa.table([ids.take(pa.array(row)), *out.columns, pa.array(np.exp(-d)), pa.array(d)], ["query_id", *out.column_names, "score", "__rank"])
+        yield from table.combine_chunks().to_batches(max_chunksize=4096)
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -274,22 +298,8 @@ def _found(dim: int, k: int, ef: int):
                 ids = batch.column("ids")[i].values
                 q = batch.column("q")[i].values.to_numpy(zero_copy_only=False).reshape(-1, dim)
                 ends = np.frombuffer(batch.column("ends")[i].as_buffer(), "<i8")
-                near, _, _ = walked(x, links, q, k, ef)
-                # All rows of a node, as long as nearer ones are fewer than k.
-                copies = np.where(near >= 0, ends[near] - np.where(near > 0, ends[near - 1], 0), 0)
-                wanted = (near >= 0) & (np.cumsum(copies, axis=1) - copies < k)
-                row, at = np.nonzero(wanted)
-                node, n = near[row, at], copies[row, at]
-                row, node = np.repeat(row, n), np.repeat(node, n)
-                nth = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
-                place = ends[node] - np.repeat(n, n) + nth
-                # Scores as an exact search has them: summed in order.
-                d = np.zeros(len(node))
-                for j in range(dim):
-                    d += (x[node, j] - q[row, j]) ** 2
-                out = rows.take(pa.array(place))
-                table = pa.table([ids.take(pa.array(row)), *out.columns, pa.array(np.exp(-d)), pa.array(d)], ["query_id", *out.column_names, "score", "__rank"])
-                yield from table.combine_chunks().to_batches(max_chunksize=4096)
+                for a in range(0, len(q), WALKING):
+                    yield from of_some(rows, x, links, ends, ids.slice(a, WALKING), q[a : a + WALKING])
 
     return run
 

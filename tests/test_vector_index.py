@@ -91,6 +91,20 @@ def test_walks_find_near_rows_and_look_at_a_part():
     assert (np.diff(dist, axis=1) >= 0).all()
 
 
+def test_linking_and_walking_hold_a_bounded_part():
+    import tracemalloc
+
+    x = np.random.default_rng(7).standard_normal((16384, 64))
+    tracemalloc.start()
+    links = linked(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    walked(x, links, x[: vector_index.WALKING] + 0.1, 10, 64)
+    walking = tracemalloc.get_traced_memory()[1] - links.nbytes
+    tracemalloc.stop()
+    assert most < 100 << 20 and walking < 50 << 20
+
+
 def test_copies_are_one_node(spark, tmp_path):
     v = np.concatenate([np.zeros((400, 4)), np.eye(4) * 3, np.arange(40.0).reshape(10, 4)])
     rows = spark.createDataFrame([(k, 1, [float(x) for x in r]) for k, r in enumerate(v)], ROWS)
