@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .tasks import key_runs, text_or_empty, tidy, tidy_group
 
-PACK_PIECES = 1_000_000
+PACK_PIECES = 250_000
 BUCKET_CHARS = 8_000_000
 DECODE_BYTES = 1 << 20
 _CUT = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
@@ -87,12 +87,11 @@ class _Numbers(dict):
         return n
 
 
-def _packs(path: str):
+def _packs(added: list[str]):
     """(name, numbers, ids, sizes, seqs) of each pack of a partition's texts. A text
-    that holds one of the vocabulary's added tokens is one piece."""
+    that holds one of the vocabulary's ``added`` tokens is one piece."""
 
     def run(batches):
-        added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
         numbers, ids, sizes, seqs, held = _Numbers(), [], [], [], 0
 
         def named():
@@ -111,17 +110,19 @@ def _packs(path: str):
                 seqs.append(np.fromiter(map(numbers.__getitem__, parts), np.uint32, len(parts)))
                 held += len(parts)
                 if held >= PACK_PIECES:
-                    yield named()
+                    pack = [named()]
                     numbers, ids, sizes, seqs, held = _Numbers(), [], [], [], 0
+                    yield pack.pop()  # nobody holds a pack while the next one is made
         if ids:
             yield named()
 
     return run
 
 
-def _numbers_of(path: str):
+def _numbers_of(added: list[str]):
     def run(batches):
-        for name, _, ids, sizes, seqs in _packs(path)(batches):
+        for name, numbers, ids, sizes, seqs in _packs(added)(batches):
+            del numbers
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name], pa.int64()),
@@ -131,14 +132,16 @@ def _numbers_of(path: str):
                 ],
                 ["pack", "ids", "sizes", "seq"],
             )
+            del ids, sizes, seqs
 
     return run
 
 
-def _to_buckets(path: str, buckets: int):
+def _to_buckets(added: list[str], buckets: int):
     def run(batches):
-        for name, numbers, *_ in _packs(path)(batches):
+        for name, numbers, *rest in _packs(added)(batches):
             words = list(numbers)
+            del numbers, rest
             at = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
             order = np.argsort(at, kind="stable")
             cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
@@ -153,6 +156,7 @@ def _to_buckets(path: str, buckets: int):
                     ],
                     ["bucket", "pack", "words", "at"],
                 )
+            del words
 
     return run
 
@@ -256,10 +260,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 def _answered(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
     """Packs with the ids of their pieces, each pack's rows together."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    packs = texts.mapInArrow(tidy(_numbers_of(tokenizer_path)), "pack long, ids array<long>, sizes binary, seq binary")
+    # Only the tasks that encode load the vocabulary.
+    added = [t.content for t in _tokenizer(tokenizer_path).get_added_tokens_decoder().values()]
+    packs = texts.mapInArrow(tidy(_numbers_of(added)), "pack long, ids array<long>, sizes binary, seq binary")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, -(-chars // BUCKET_CHARS))
-    asked = texts.mapInArrow(tidy(_to_buckets(tokenizer_path, buckets)), "bucket long, pack long, words binary, at binary")
+    asked = texts.mapInArrow(tidy(_to_buckets(added, buckets)), "bucket long, pack long, words binary, at binary")
     answered = asked.groupBy("bucket").applyInArrow(tidy_group(_encode_words(tokenizer_path)), "pack long, at binary, n binary, tokens binary")
     both = packs.unionByName(answered, allowMissingColumns=True)
     return both.repartition("pack").sortWithinPartitions("pack")

@@ -57,3 +57,24 @@ def test_decoding_is_of_the_ids(spark):
     rows = [(i if i % 5 else None, bytearray(np.array(s, "<u4").tobytes())) for i, s in enumerate(seqs)] + [(1000, None)]
     got = sorted((str(r.doc_id), r.decoded) for r in decode(spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3), PATH).collect())
     assert got == sorted([(str(i if i % 5 else None), t.decode(s, skip_special_tokens=False)) for i, s in enumerate(seqs)] + [("1000", "")])
+
+
+def test_one_pack_is_held_at_a_time(monkeypatch):
+    """While the next pack is made, nobody holds the words of the one before."""
+    import gc
+
+    import pyarrow as pa
+
+    from folioflow.llm import bpe
+
+    held = []
+
+    def batches():
+        for i in range(12):
+            gc.collect()
+            held.append(sum(len(o) > 3 for o in gc.get_objects() if type(o) is bpe._Numbers))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([" ".join(f"w{i}x{j}" for j in range(20))])], ["id", "text"])
+
+    monkeypatch.setattr(bpe, "PACK_PIECES", 60)
+    assert sum(1 for _ in bpe._to_buckets(["<|endoftext|>"], 1)(batches())) == 4 and max(held) <= 1
+    assert sum(1 for _ in bpe._numbers_of(["<|endoftext|>"])(batches())) == 4 and max(held) <= 1
