@@ -29,7 +29,7 @@ from .tasks import LEAST_HOT, MOST_HOT, bucket_count, discard, free_shuffles, ho
 
 AVERAGE = 4096
 MOST = 65536
-PARTS = 2
+PARTS = 4
 BUCKET_CHARS = 128_000_000
 MOST_BUCKETS = 100_000
 MOST_SEEN = 200_000

@@ -71,3 +71,22 @@ def test_hot_chunk_null_ids_and_repeats_inside_texts(spark):
     assert got == sorted((str(i), hashlib.sha256(to_media(t.encode())).hexdigest()) for i, t in rows)
     store, recipes, _ = chunk_store(df)
     assert store.count() < 0.4 * recipes.count()
+
+
+def test_no_turn_moves_much_of_the_store():
+    """A turn's shuffle files are scratch disk, so each has a small part of the chunks."""
+    import random
+
+    import pyarrow as pa
+
+    from folioflow.llm import media
+
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(["".join(rng.choices("abcdefghij \n", k=20_000)) for _ in range(60)])], ["id", "text"])
+    moved, digests = [], set()
+    for part in range(media.PARTS):
+        rows = [r for b in media._payloads(b"", part, media.PARTS)([batch]) for r in b.to_pylist()]
+        moved.append(sum(len(r["piece"]) for r in rows))
+        digests |= {r["digest"] for r in rows}
+    assert max(moved) < 0.35 * sum(moved)
+    assert digests == {r["digest"] for b in media._recipes([batch]) for r in b.to_pylist()}
