@@ -78,3 +78,27 @@ def test_hot_passage_null_ids_and_long_text(spark, monkeypatch):
     want, _ = brute(list(enumerate(t for _, t in rows)), 40)
     got = sorted(((r.doc_id, bytes(r.kept)) for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length=40).collect()), key=str)
     assert got == sorted(((i, want[k]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def test_a_bucket_is_compared_in_little_memory():
+    """Columns stay as narrow as their numbers are, and are put in order in parts."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from folioflow.llm import suffix_array
+
+    rng, n, slices = np.random.default_rng(3), 20_000, 40
+    rows = []
+    for _ in range(slices):
+        klass = rng.integers(0, 3, n).astype(np.uint64)
+        columns = [np.sort(rng.integers(0, 1 << 40, n)).astype(np.uint64), klass, *(rng.integers(0, m, n).astype(np.uint64) for m in (1 << 40, 1 << 24, 1 << 24, 1 << 62, 2))]
+        rows.append([suffix_array.press(np.diff(columns[0], prepend=np.uint64(0))), *(suffix_array.press(suffix_array._narrow(c)) for c in columns[1:])])
+    table = pa.table({"bucket": [0] * slices, "pack": list(range(slices)), "columns": rows})
+    tracemalloc.start()
+    out = suffix_array._compare_bucket(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["many"].to_pylist() == [n * slices] * slices
+    assert most < 100 * n * slices
