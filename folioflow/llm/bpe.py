@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .tasks import key_runs, text_or_empty, tidy, tidy_group
 
-PACK_PIECES = 250_000
+PACK_PIECES = 500_000
 BUCKET_CHARS = 8_000_000
 DECODE_BYTES = 1 << 20
-_CUT = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
+#: A piece, from its first character to the next cut.
+_MARKS = r"!-/:-@\[-`{-~"
+_PIECE = re.compile(rf"(?s).[^ {_MARKS}]*+(?:(?:(?<![A-Za-z])[{_MARKS}]| (?!\S))[^ {_MARKS}]*+)*+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -66,16 +68,16 @@ def _unsqueeze(raw: bytes) -> np.ndarray:
 
 
 def _squeeze_words(words: list[str]) -> bytes:
+    """Words as one text, and apart from it their sizes, which are small numbers."""
     raw = [w.encode() for w in words]
-    ends = np.cumsum([len(w) for w in raw], dtype=np.uint32).tobytes()
-    return len(raw).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(ends + b"".join(raw))
+    sizes = _squeeze(np.fromiter(map(len, raw), np.uint32, len(raw)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
 
 
 def _unsqueeze_words(blob: bytes) -> list[str]:
     n = int.from_bytes(blob[:4], "little")
-    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
-    ends = np.frombuffer(raw, np.uint32, n).tolist()
-    raw, starts = raw[4 * n :], [0, *ends[:-1]]
+    ends = np.cumsum(_unsqueeze(blob[4 : 4 + n])).tolist()
+    raw, starts = zstandard.ZstdDecompressor().decompress(blob[4 + n :]), [0, *ends[:-1]]
     return [raw[a:b].decode() for a, b in zip(starts, ends)]
 
 
@@ -104,7 +106,7 @@ def _packs(added: list[str]):
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                parts = [text] if any(a in text for a in added) else _CUT.split(text)
+                parts = [text] if any(a in text for a in added) else _PIECE.findall(text) or [text]
                 ids.append(i)
                 sizes.append(len(parts))
                 seqs.append(np.fromiter(map(numbers.__getitem__, parts), np.uint32, len(parts)))

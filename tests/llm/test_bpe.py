@@ -78,3 +78,26 @@ def test_one_pack_is_held_at_a_time(monkeypatch):
     monkeypatch.setattr(bpe, "PACK_PIECES", 60)
     assert sum(1 for _ in bpe._to_buckets(["<|endoftext|>"], 1)(batches())) == 4 and max(held) <= 1
     assert sum(1 for _ in bpe._numbers_of(["<|endoftext|>"])(batches())) == 4 and max(held) <= 1
+
+
+def test_words_go_in_few_bytes():
+    """Sizes of words cost less than a byte each beside the text."""
+    import zstandard
+
+    from folioflow.llm import bpe
+
+    rng = random.Random(4)
+    words = [" " + "".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 9))) for _ in range(1000)] + ["", "é", "漢字\x00 ", "a" * 70_000]
+    blob = bpe._squeeze_words(words)
+    assert bpe._unsqueeze_words(blob) == words and bpe._unsqueeze_words(bpe._squeeze_words([""])) == [""]
+    assert len(blob) < len(zstandard.ZstdCompressor(level=3).compress("".join(words).encode())) + 0.8 * len(words)
+
+
+def test_pieces_are_those_between_cuts():
+    import re
+
+    from folioflow.llm import bpe
+
+    cut = re.compile(r"(?= \S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
+    for x in texts():
+        assert bpe._PIECE.findall(x or "") == [p for p in cut.split(x or "") if p]
