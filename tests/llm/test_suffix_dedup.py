@@ -102,3 +102,24 @@ def test_a_bucket_is_compared_in_little_memory():
     tracemalloc.stop()
     assert out["many"].to_pylist() == [n * slices] * slices
     assert most < 100 * n * slices
+
+
+def test_copies_of_a_passage_are_put_in_order_once(spark, monkeypatch):
+    """A passage of forty texts, whole or with a word changed, goes on about once."""
+    from folioflow.llm import suffix_dedup
+
+    ordered, real = [], suffix_dedup.repeated_strings
+
+    def counted(packs, length):
+        ordered.append(sum(n for r in packs.select("sizes").collect() for n in r.sizes))
+        return real(packs, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_strings", counted)
+    rng = random.Random(14)
+    say = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage = say(3000)
+    rows = [(k, say(60) + (passage if k % 4 else passage[:1500] + "XY" + passage[1500:]) + say(60)) for k in range(40)]
+    want, _ = brute(rows, 400)
+    got = {r.doc_id: bytes(r.kept) for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+    assert ordered[0] < 15 * len(passage)
