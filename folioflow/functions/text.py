@@ -42,6 +42,7 @@ PUBLISHED = r"published\s*[:\s]\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[a-z]+\s+\d{1,2
 # full stop are part of what follows it.
 AUTHOR_MARK = r"[A-Z][a-z]+[^,.]+([,.]\s*)?(\$?\s?\^\{\d+\}\s?\$?|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)"
 MARK = r"\^\{\d+\}|[¹²³⁴⁵⁶⁷⁸⁹⁰]"
+MARK_STARTS = ("^{", *"¹²³⁴⁵⁶⁷⁸⁹⁰")  # found faster, for texts that have none
 # From the first to the last character that is no white space: a hundred or more.
 LONG_ENOUGH = r"(?s)\S.{98,}\S"
 DOI_START = r"^\s*((https?://)?(www\.)?doi\.org/|10\.)"
@@ -98,7 +99,7 @@ def is_uninformative(content: Column) -> Column:
         | (content.rlike(f"(?i){DOI_START}") & trimmed(content).rlike(f"(?i){DOI_ONLY}"))
         | with_value(F.lower(content), lambda t: contains_any(t, BOILERPLATE))
         | content.rlike(f"(?i){PUBLISHED}")
-        | (content.rlike(MARK) & (marks >= 2))
+        | (contains_any(content, MARK_STARTS) & content.rlike(MARK) & (marks >= 2))
     )
 
 

@@ -88,10 +88,11 @@ def version_number(c: Column) -> Column:
 
 
 def line_chunks(content: Column, lines: int = 1000) -> Column:
-    """The text in parts of so many lines."""
+    """The text in parts of so many lines. One of fewer characters has no second part."""
     all_lines = F.split(content, "\n", -1)
     starts = F.sequence(F.lit(0), F.size(all_lines) - 1, F.lit(lines))
-    return F.transform(starts, lambda i: F.array_join(F.slice(all_lines, i + 1, F.lit(lines)), "\n"))
+    parts = F.transform(starts, lambda i: F.array_join(F.slice(all_lines, i + 1, F.lit(lines)), "\n"))
+    return F.when(F.length(content) < lines, F.array(content)).otherwise(parts)
 
 
 def short_hash(c: Column) -> Column:

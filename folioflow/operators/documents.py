@@ -25,16 +25,13 @@ CHUNK_LABELS = ("paragraph_title", "abstract", "figure_title", "table", "display
 def chunks(blocks: DataFrame, key: str) -> DataFrame:
     """key, block, section_type, chunk_index, content of the informative chunks.
 
-    A heading goes with the next text block, and only with that: texts before a
-    block number its group, and the last heading of the group is the carried one.
+    A heading goes with the next text block, and only with that: of the headings and
+    texts before a block the last one tells, and a text tells that there is none.
     """
     rows = blocks.where(F.col("label").isin(*CHUNK_LABELS))
-    order = Window.partitionBy(key).orderBy("page", "nth")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__group", F.coalesce(F.sum(F.when(F.col("label") == "text", 1).otherwise(0)).over(before), F.lit(0)))
-    carried = Window.partitionBy(key, "__group").orderBy("page", "nth").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.last(F.when(F.col("label") == "paragraph_title", F.col("content")), ignorenulls=True).over(carried)
-    rows = rows.withColumn("__heading", heading).where("label <> 'paragraph_title'")
+    before = Window.partitionBy(key).orderBy("page", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    told = F.when(F.col("label") == "paragraph_title", F.col("content")).when(F.col("label") == "text", F.lit(""))
+    rows = rows.withColumn("__heading", F.last(told, ignorenulls=True).over(before)).where("label <> 'paragraph_title'")
     text = F.when((F.col("label") == "text") & (F.coalesce("__heading", F.lit("")) != ""), F.concat("__heading", F.lit("\n"), "content"))
     kind = F.when(F.col("label") == "text", F.lit("paragraph_title")).otherwise(F.col("label"))
     parts = rows.select(key, "page", "nth", kind.alias("section_type"), F.posexplode(line_chunks(F.coalesce(text, "content"))).alias("chunk_index", "content"))

@@ -108,3 +108,16 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination()
     assert "".join(r.piece for r in spark.table("out").collect()) == "hello world"
     assert E.watched(spark.createDataFrame([("a/b.PDF",), ("node_modules/x.md",), ("a.exe",)], "path string")).count() == 1
+
+
+def test_chunks_are_put_in_order_once(spark):
+    """Headings come by one window: whole contents are not sorted a second time."""
+    say = "plain words and numbers 12 " * 5
+    given = [("paragraph_title", "A"), ("figure_title", say), ("text", "1" + say), ("text", "2" + say), ("paragraph_title", "B"), ("paragraph_title", None), ("text", "3" + say), ("paragraph_title", "C"), ("paragraph_title", ""), ("text", "4" + say), ("text", None)]
+    rows = [(1, 0, n, label, content) for n, (label, content) in enumerate(given)]
+    out = D.chunks(spark.createDataFrame(rows, "k long, page int, nth int, label string, content string"), "k")
+    got = [(r.nth, r.section_type, r.chunk_index, r.content) for r in out.orderBy("nth").collect()]
+    text = "paragraph_title"
+    assert got == [(1, "figure_title", 0, say), (2, text, 0, "A\n1" + say), (3, text, 0, "2" + say), (6, text, 0, "B\n3" + say), (9, text, 0, "4" + say)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in line for line in plan.splitlines()) == 1
